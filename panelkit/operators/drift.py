@@ -16,6 +16,7 @@ from panelkit.operators.quantiles import (
     bin_left_closed, counted, quantiles_of_counts, unique_edges,
 )
 from panelkit.operators.rows import combine
+from panelkit.session import materialize
 
 CFG = PanelConfig()
 
@@ -127,7 +128,7 @@ def _bin_shares(vc: DataFrame, groups: list[str], edges: DataFrame, small: bool)
 
 
 def _edges(vc: DataFrame, groups: list[str], points: int) -> DataFrame:
-    q = quantiles_of_counts(vc, groups, [i / points for i in range(points + 1)], bounded=False, name="_q")
+    q = quantiles_of_counts(vc, groups, [i / points for i in range(points + 1)], name="_q")
     return q.select(*groups, unique_edges("_q").alias("_edges"))
 
 
@@ -195,7 +196,7 @@ def drift_metrics(
     feats = features or feature_columns(df)
     if means is None:
         means = daily_feature_means(df, cfg, feats)
-    vc = counted(long_features(means, feats), ["feature", "win"], "value")
+    vc = materialize(counted(long_features(means, feats), ["feature", "win"], "value"), "feature-counts")
     g = ["feature"]
     stats = window_stats(vc, g)
     # One row per feature: bounded by the table's columns.
@@ -212,7 +213,7 @@ def drift_by_zone(df: DataFrame, cfg: PanelConfig = CFG, means: DataFrame | None
         means = daily_feature_means(df, cfg, [metric])
     district = next((c for c in DISTRICT_COLUMNS if c in means.columns), None)
     z = means.withColumn("zone", X.zone_label("lat", "lon", 2, ",", district=district)).filter("zone is not null")
-    vc = counted(z, ["zone", "win"], metric)
+    vc = materialize(counted(z, ["zone", "win"], metric), "zone-counts")
     stats = window_stats(vc, ["zone"]).filter(_enough())
     place = z.filter("win = 'ref'").groupBy("zone").agg(
         F.percentile("lat", 0.5).alias("lat"), F.percentile("lon", 0.5).alias("lon")

@@ -2,9 +2,13 @@
 
 Values are first counted (value, frequency), which spreads a hot group over the
 cluster. `bounded=True` is for domains known to be small, such as dock counts or
-grid ages: the counted values then fit one `percentile`. Otherwise the wanted
-ranks are narrowed bucket by bucket, so only the values of the buckets that hold
-a wanted rank are ever sorted.
+grid ages: the counted values then go straight into one `percentile`.
+
+Otherwise the counts are written to the shared folder and their size is checked.
+Groups with at most `limit` distinct values still take the direct way; larger
+ones are narrowed: the value range is cut into buckets, only buckets that hold a
+wanted rank are kept, and this repeats until what is left fits. The result is
+the same either way.
 """
 
 from __future__ import annotations
@@ -12,8 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelkit.functions.columns import col, dbl
+from panelkit.session import materialize
 
 BUCKETS = 4096
+# Distinct values of one group that one task may hold: about 100 MB of counts.
+DIRECT_LIMIT = 1_000_000
 
 
 def is_count(df: DataFrame, *names: str) -> bool:
@@ -42,84 +49,86 @@ def quantiles(
     *,
     bounded: bool = False,
     name: str = "q",
-    refine: int = 2,
+    limit: int = DIRECT_LIMIT,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: (groups, `name` array, n)."""
-    return quantiles_of_counts(counted(df, groups, value), groups, probs, bounded=bounded, name=name, refine=refine)
+    vc = counted(df, groups, value)
+    if bounded:
+        return _direct(vc, groups, probs, name)
+    return quantiles_of_counts(materialize(vc, "value-counts"), groups, probs, name=name, limit=limit)
 
 
 def quantiles_of_counts(
-    vc: DataFrame, groups: list[str], probs: list[float], *, bounded: bool, name: str = "q", refine: int = 2
+    vc: DataFrame, groups: list[str], probs: list[float], *, name: str = "q", limit: int = DIRECT_LIMIT
 ) -> DataFrame:
+    """The same from a written table of value counts (see `counted`)."""
+    most = vc.groupBy(*groups).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
+    if most <= limit:
+        return _direct(vc, groups, probs, name)
+    if groups:
+        return _narrowed(vc, groups, probs, name, limit)
+    return _narrowed(vc.withColumn("_all", F.lit(0)), ["_all"], probs, name, limit).drop("_all")
+
+
+def _direct(vc: DataFrame, groups: list[str], probs: list[float], name: str) -> DataFrame:
     ps = F.array(*[dbl(p) for p in probs])
-    if bounded:
-        return vc.groupBy(*groups).agg(
-            F.percentile("_v", ps, F.col("_w")).alias(name), F.sum("_w").alias("n")
-        )
+    return vc.groupBy(*groups).agg(F.percentile("_v", ps, F.col("_w")).alias(name), F.sum("_w").alias("n"))
 
-    keys = groups or ["_all"]
-    if not groups:
-        vc = vc.withColumn("_all", F.lit(0))
-    totals = vc.groupBy(*keys).agg(F.sum("_w").alias("n"))
-    at = F.transform(ps, lambda p: p * (F.col("n") - 1).cast("double"))
-    ranks = F.array_distinct(
-        F.concat(
-            F.transform(at, lambda r: F.floor(r)),
-            F.transform(at, lambda r: F.ceil(r)),
-        )
+
+def _narrowed(vc: DataFrame, keys: list[str], probs: list[float], name: str, limit: int) -> DataFrame:
+    bounds = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    totals = materialize(vc.groupBy(*keys).agg(F.sum("_w").alias("n"), *bounds), "quantile-totals")
+    at = F.transform(F.array(*[dbl(p) for p in probs]), lambda p: p * (F.col("n") - 1).cast("double"))
+    ranks = F.array_distinct(F.concat(F.transform(at, lambda r: F.floor(r)), F.transform(at, lambda r: F.ceil(r))))
+    # `_want` per key: the ranks sought there, as (rank in the group, rank in the key).
+    hits = totals.select(
+        *keys, "_lo", "_hi", F.transform(ranks, lambda k: F.struct(k.alias("k"), k.alias("r"))).alias("_want")
     )
-    # One row per narrowing key: the ranks sought there, as (rank in group, rank in key).
-    want = totals.select(*keys, F.transform(ranks, lambda k: F.struct(k.alias("k"), k.alias("r"))).alias("_want"))
-    level, cur = list(keys), vc
-    for i in range(refine):
-        want, cur, level = _narrow(want, cur, level, f"_b{i}")
+    level, cur, most = list(keys), vc, limit + 1
+    while most > limit:
+        b = f"_b{len(level)}"
+        frac = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+        bucket = F.least(F.coalesce(F.floor(frac * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+        cut = cur.join(hits.select(*level, "_lo", "_hi"), level).withColumn(b, bucket).drop("_lo", "_hi")
+        upto = Window.partitionBy(*level).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # At most BUCKETS rows per key enter this running sum.
+        hist = (
+            cut.groupBy(*level, b)
+            .agg(F.sum("_w").alias("_c"), F.count(F.lit(1)).alias("_m"), *bounds)
+            .withColumn("_cum", F.sum("_c").over(upto))
+            .withColumn("_base", F.col("_cum") - F.col("_c"))
+        )
+        found = (
+            hist.join(hits.select(*level, "_want"), level)
+            .withColumn("_want", _inside("_want", F.col("_base"), F.col("_cum")))
+            .filter(F.size("_want") > 0)
+            .withColumn("_want", F.transform(
+                "_want", lambda t: F.struct(t["k"].alias("k"), (t["r"] - F.col("_base")).alias("r"))))
+        )
+        level = level + [b]
+        hits = materialize(found.select(*level, "_want", "_lo", "_hi", "_m"), "quantile-buckets")
+        cur = materialize(cut.join(hits.select(*level), level, "left_semi"), "quantile-values")
+        most = hits.agg(F.max("_m")).first()[0] or 0
 
     order = Window.partitionBy(*level).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = (
+    values = (
         cur.withColumn("_cum", F.sum("_w").over(order))
-        .join(want, level)
+        .join(hits.select(*level, "_want"), level)
         .withColumn("_hit", F.explode(_inside("_want", F.col("_cum") - F.col("_w"), F.col("_cum"))))
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("_hit.k"), F.col("_v")))).alias("_m"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("_hit.k"), F.col("_v")))).alias("_map"))
     )
-    lo = lambda r: F.element_at(F.col("_m"), F.floor(r))
-    hi = lambda r: F.element_at(F.col("_m"), F.ceil(r))
-    out = found.join(totals, keys).select(
+    lo = lambda r: F.element_at(F.col("_map"), F.floor(r))
+    hi = lambda r: F.element_at(F.col("_map"), F.ceil(r))
+    return values.join(totals, keys).select(
         *keys, F.transform(at, lambda r: lo(r) + (hi(r) - lo(r)) * (r - F.floor(r))).alias(name), "n"
     )
-    return out if groups else out.drop("_all")
 
 
 def _inside(want: str, lo: Column, hi: Column) -> Column:
     return F.filter(F.col(want), lambda t: (t["r"] >= lo) & (t["r"] < hi))
 
 
-def _narrow(want: DataFrame, cur: DataFrame, level: list[str], b: str):
-    """Cut each key's value range into buckets; keep the buckets with a wanted rank."""
-    bounds = cur.groupBy(*level).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    frac = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    bucket = F.least(F.coalesce(F.floor(frac * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
-    cut = cur.join(bounds, level).withColumn(b, bucket).drop("_lo", "_hi")
-    order = Window.partitionBy(*level).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (
-        cut.groupBy(*level, b)
-        .agg(F.sum("_w").alias("_c"))
-        .withColumn("_cum", F.sum("_c").over(order))
-        .withColumn("_base", F.col("_cum") - F.col("_c"))
-    )
-    nxt = level + [b]
-    hits = (
-        hist.join(want, level)
-        .withColumn("_want", _inside("_want", F.col("_base"), F.col("_cum")))
-        .filter(F.size("_want") > 0)
-        .withColumn(
-            "_want", F.transform("_want", lambda t: F.struct(t["k"].alias("k"), (t["r"] - F.col("_base")).alias("r")))
-        )
-        .select(*nxt, "_want")
-    )
-    return hits, cut.join(hits.select(*nxt), nxt, "left_semi"), nxt
-
-
 def unique_edges(q) -> Column:
     return F.array_distinct(col(q))
 
