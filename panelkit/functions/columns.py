@@ -74,6 +74,12 @@ def occ_ratio(bikes="bikes", capacity="capacity") -> Column:
     return ratio(bikes, capacity)
 
 
+def floor0(x) -> Column:
+    """max(x, 0); null stays null (`greatest` alone would give 0)."""
+    c = col(x)
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(0)))
+
+
 def unit_interval(x) -> Column:
     """Values outside [0, 1] are not an occupancy."""
     c = col(x)
@@ -81,8 +87,7 @@ def unit_interval(x) -> Column:
 
 
 def docks_available(bikes="bikes", capacity="capacity", docks=None) -> Column:
-    b, c = col(bikes), col(capacity)
-    derived = F.when(b.isNotNull() & c.isNotNull(), F.greatest(c - b, F.lit(0)))
+    derived = floor0(col(capacity) - col(bikes))
     return F.coalesce(col(docks), derived) if docks is not None else derived
 
 

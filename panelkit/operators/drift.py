@@ -65,14 +65,18 @@ def split_windows(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
 
 
 def daily_feature_means(df: DataFrame, cfg: PanelConfig = CFG, features: list[str] | None = None) -> DataFrame:
-    """Mean of every feature per (window, local day, station), wide."""
+    """Mean of every feature per (window, local day, station), wide.
+
+    Means are kept to 12 digits: the order in which a sum was merged must not
+    move a value across the edge of a quantile bin.
+    """
     feats = features or feature_columns(df)
     place = [c for c in ("lat", "lon") if c in df.columns]
     src = df if "win" in df.columns else split_windows(df, cfg)
     district = next((c for c in DISTRICT_COLUMNS if c in df.columns), None)
     keep = [F.max(district).alias(district)] if district else []
     return src.groupBy("win", X.local_day("tbin_utc", cfg.tz).alias("date_local"), "station_id").agg(
-        *[F.avg(F.col(c).cast("double")).alias(c) for c in (*feats, *place)], *keep
+        *[F.round(F.avg(F.col(c).cast("double")), 12).alias(c) for c in (*feats, *place)], *keep
     )
 
 

@@ -179,10 +179,10 @@ def station_tension_rates(df: DataFrame, days: int | None = CFG.last_days, tz: s
 
 
 def _capacity(docks: bool) -> Column:
-    b = F.greatest(F.col("bikes"), F.lit(0))
+    b = X.floor0("bikes")
     stock = F.percentile(b, 0.98)
     if docks:
-        stock = F.coalesce(F.percentile(b + F.greatest(F.col("docks"), F.lit(0)), 0.98), stock)
+        stock = F.coalesce(F.percentile(b + X.floor0("docks"), 0.98), stock)
     declared = F.max("capacity")
     return F.coalesce(F.when(declared > 0, declared.cast("double")), stock)
 
@@ -199,8 +199,8 @@ def capacity_estimate(df: DataFrame, keys: tuple[str, ...] = ("station_id",)) ->
 def exclusive_masks(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
     """`cap_est`, `occ` in [0,1], `valid`, and the states is_sat / is_pen, never both."""
     out = df if "cap_est" in df.columns else df.join(capacity_estimate(df), "station_id", "left")
-    b, c = F.greatest(F.col("bikes"), F.lit(0)), F.col("cap_est")
-    occ = F.when((c > 0) & F.col("bikes").isNotNull(), F.least(F.greatest(b / c, X.dbl(0)), X.dbl(1)))
+    b, c = X.floor0("bikes"), F.col("cap_est")
+    occ = F.when((c > 0) & b.isNotNull(), F.least(b / c, X.dbl(1)))
     full = (F.col("docks") == 0) if "docks" in df.columns else (c - b <= cfg.saturation_threshold)
     yes = lambda cond: F.coalesce(cond, F.lit(False))
     return (
@@ -323,15 +323,13 @@ def regularity(df: DataFrame, cfg: PanelConfig = CFG, ref_curves: int = 90, min_
         (F.col("_day") == today) | ((F.col("_day") < today) & (F.weekday("_day") == F.weekday(today)))
     )
     keys = ("station_id", "_day")
-    stock = F.percentile(F.greatest(F.col("bikes"), F.lit(0)), 0.98)
+    stock = F.percentile(X.floor0("bikes"), 0.98)
     scale = rows.groupBy(*keys).agg(
         _capacity("docks" in df.columns).alias("_cap"), F.when(stock > 0, stock).alias("_stock")
     )
     full = F.coalesce(F.when(F.col("_cap") > 0, F.col("_cap")), F.col("_stock"))
-    occ = F.when(
-        F.col("bikes").isNotNull(),
-        F.coalesce(F.least(F.greatest(F.greatest(F.col("bikes"), F.lit(0)) / full, X.dbl(0)), X.dbl(1)), X.dbl(0)),
-    )
+    share = F.when(full.isNotNull(), F.least(X.floor0("bikes") / full, X.dbl(1))).otherwise(X.dbl(0))
+    occ = F.when(F.col("bikes").isNotNull(), share)
     curves = rows.join(scale, list(keys)).groupBy(*keys, "_hhmm").agg(F.avg(occ).alias("_occ"))
 
     # At most one row per station and reference day enters this ranking.

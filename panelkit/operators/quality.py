@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelkit.config import PanelConfig
 from panelkit.functions import columns as X
 from panelkit.operators.blocks import runs
-from panelkit.operators.clean import as_ts, last_non_null
+from panelkit.operators.clean import KEYS, as_ts, dedup_latest, last_non_null
 from panelkit.operators.quantiles import quantiles
 from panelkit.operators.rows import combine, top
 
@@ -167,6 +167,11 @@ def _unchanged(prev: Column, cur: Column) -> Column:
     return F.coalesce(prev == cur, F.lit(True))
 
 
+def one_per_bin(df: DataFrame) -> DataFrame:
+    """The last row per station and bin, for reports that follow the order of rows."""
+    return dedup_latest(df, KEYS, tuple(c for c in ("ts_utc",) if c in df.columns))
+
+
 def flat_sequences(df: DataFrame, cfg: PanelConfig = CFG, min_steps: int | None = None) -> DataFrame:
     """Stretches without change. A run's first row is a change, except a station's very first."""
     r = runs(df, ["station_id"], "tbin_utc", F.col("bikes"), cfg.bin_min, cfg.block_bins, _unchanged)
@@ -202,7 +207,7 @@ def anomalies(
     k = k or cfg.anomaly_topk
     names = last_non_null(df, ["name"], ["station_id"])
     kinds = {
-        "flat_sequence": top_anomalies(flat_sequences(df, cfg), "duration_min", k, sample),
+        "flat_sequence": top_anomalies(flat_sequences(one_per_bin(df), cfg), "duration_min", k, sample),
         "duplicates": top_anomalies(duplicates(df), "dups", k, sample),
         "missing_bins": top_anomalies(
             coverage_table(df, cfg).select("station_id", "missing", "expected"), "missing", k, sample
@@ -241,7 +246,7 @@ def health_kpis(df: DataFrame, now, cfg: PanelConfig = CFG) -> DataFrame:
         parts.append(ingest_latency(df, cfg.latency_cap_min))
     parts += [
         duplicates_pct(df),
-        flat_sequences(df, cfg).agg(F.count(F.lit(1)).alias("flat_sequences")),
+        flat_sequences(one_per_bin(df), cfg).agg(F.count(F.lit(1)).alias("flat_sequences")),
     ]
     return combine(*parts)
 
