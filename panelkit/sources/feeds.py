@@ -33,20 +33,22 @@ def bike_types(types: Column, key: str) -> Column:
     return F.coalesce(value, F.lit(0))
 
 
-def _stations(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+def _stations(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
+    doc = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     rows = doc.select(F.explode("data.stations").alias("s")).select("s.*")
     return rows.withColumn("station_id", F.trim("station_id")).filter("station_id != ''")
 
 
-def read_gbfs(spark: SparkSession, status_path: str, info_path: str, observed_at, bin_min: int = 5) -> DataFrame:
+def read_gbfs(
+    spark: SparkSession, status_path: str, info_path: str, observed_at, bin_min: int = 5, multi_line: bool = True
+) -> DataFrame:
     """One panel row per station from a status and an information document.
 
     `ts_utc` is the observation time; the station's own report time stays in
     `src_ts_utc`.
     """
-    status = _stations(spark, status_path, STATUS_DOC)
-    info = _stations(spark, info_path, INFO_DOC)
+    status = _stations(spark, status_path, STATUS_DOC, multi_line)
+    info = _stations(spark, info_path, INFO_DOC, multi_line)
     seen = as_ts(observed_at)
     return status.join(info, "station_id").select(
         seen.alias("ts_utc"),
@@ -62,9 +64,11 @@ def read_gbfs(spark: SparkSession, status_path: str, info_path: str, observed_at
     )
 
 
-def read_weather(spark: SparkSession, path: str, lo=None, hi=None, margin_hours: int = 3) -> DataFrame:
+def read_weather(
+    spark: SparkSession, path: str, lo=None, hi=None, margin_hours: int = 3, multi_line: bool = True
+) -> DataFrame:
     """(hour_utc, temp_C, precip_mm, wind_mps) near the data's hours."""
-    doc = spark.read.schema(WEATHER_DOC).option("multiLine", True).json(path)
+    doc = spark.read.schema(WEATHER_DOC).option("multiLine", multi_line).json(path)
     rows = doc.select(
         F.explode(
             F.arrays_zip(
