@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import Imputer, PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,6 +41,15 @@ KNN_FEATURES = [f"knn_mean_bikes_lag{n}" for n in KNN_LAGS]
 FEATURES = TIME_FEATURES + STATIC_FEATURES + KNN_FEATURES
 
 
+# Missing inputs get a value below every real one, so a tree can split them off.
+MISSING = -9999.0
+
+
+def model_input(df: DataFrame, feats: list[str] | tuple[str, ...]) -> DataFrame:
+    """The inputs as doubles with missing values marked."""
+    return df.withColumns({c: F.col(c).cast("double") for c in feats}).na.fill(MISSING, list(feats))
+
+
 @dataclass
 class ModelPack:
     """A fitted pipeline with what is needed to apply it."""
@@ -112,10 +121,10 @@ def train(
 ) -> tuple[ModelPack, DataFrame]:
     """Gradient-boosted trees with early stopping on the latest rows; returns the pack and its errors."""
     feats = features or FEATURES
-    split = materialize(temporal_split(df, train_frac), "training")
+    split = materialize(model_input(temporal_split(df, train_frac), feats), "training")
     pipe = Pipeline(
         stages=[
-            VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
+            VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="error"),
             GBTRegressor(
                 labelCol="y_nb", predictionCol="y_pred", maxIter=max_iter, maxDepth=max_depth, stepSize=step_size,
                 subsamplingRate=subsample, seed=seed, validationIndicatorCol="is_valid", validationTol=0.001,
@@ -136,15 +145,15 @@ def predict(df: DataFrame, pack: ModelPack, now=None) -> DataFrame:
     if missing:
         raise ValueError(f"missing features: {', '.join(missing)}")
     issued = as_ts(now) if now is not None else F.current_timestamp()
-    # The pipeline wants its own input names: serve a copy of the numeric columns.
-    scored = pack.model.transform(df.withColumns({c: F.col(c).cast("float") for c in pack.features}))
+    cap = F.col("_cap").cast("int")
+    scored = pack.model.transform(model_input(df.withColumn("_cap", F.col("capacity")), pack.features))
     return scored.select(
         "station_id",
         F.col("tbin_utc").alias("tbin_latest"),
         F.lit(pack.horizon_min).cast("short").alias("horizon_min"),
         F.col("y_pred").cast("float").alias("bikes_pred"),
-        X.clip_round("y_pred", "capacity").cast("short").alias("bikes_pred_int"),
-        F.col("capacity").cast("int").alias("capacity_bin"),
+        X.clip_round("y_pred", cap).cast("short").alias("bikes_pred_int"),
+        cap.alias("capacity_bin"),
         issued.alias("pred_ts_utc"),
         (F.col("tbin_utc") + F.expr(f"interval {pack.horizon_min} minutes")).alias("target_ts_utc"),
         F.lit(pack.version).alias("model_version"),
@@ -168,16 +177,11 @@ def feature_importance(spark, pack: ModelPack, k: int = 60) -> DataFrame:
 # ---- clustering -----------------------------------------------------------------------------------
 
 
-def _hour_cols() -> list[str]:
-    return [f"h{h:02d}" for h in range(24)]
-
-
 def profile_vectors(profiles: DataFrame) -> DataFrame:
-    """(station_id, features): 24-hour profiles, missing hours set to the hour's mean."""
-    cols = _hour_cols()
-    wide = profiles.select("station_id", *[F.col("profile")[h].alias(c) for h, c in enumerate(cols)])
-    filled = Imputer(strategy="mean", inputCols=cols, outputCols=cols).fit(wide).transform(wide)
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(filled).select("station_id", "features")
+    """(station_id, features): 24-hour profiles; a missing hour gets the network's mean of that hour."""
+    means = profiles.agg(F.array(*[F.coalesce(F.avg(F.col("profile")[h]), X.dbl(0)) for h in range(24)])).scalar()
+    filled = F.zip_with("profile", "_means", lambda v, m: F.coalesce(v, m))
+    return profiles.withColumn("_means", means).select("station_id", array_to_vector(filled).alias("features"))
 
 
 def davies_bouldin(labelled: DataFrame, model) -> float:

@@ -707,3 +707,101 @@ SELECT nrows AS rows, stations, {T('t0', 'span_start')}, {T('t1', 'span_end')},
 sql("health_alerts", KPIS, f"""
 SELECT {I('f95 <= 5', 'freshness_p95_ok')}, {I('coalesce(cg >= 98, false)', 'coverage_ok')}, {I('coalesce(dp >= 1, false)', 'duplication_alert')},
   {I('fs > 0', 'flat_sequences_found')} FROM k""")
+
+# ---- feeds and tables ---------------------------------------------------------------------------------------
+
+sql("gbfs_feed", LAST_ST, f"""
+SELECT station_id, {I('raw.bikes', 'bikes')}, {I('st.capacity', 'capacity')}, {I('raw.bikes // 2', 'mechanical')},
+  {I('CASE WHEN event_id % 2 = 0 THEN raw.bikes - raw.bikes // 2 ELSE 0 END', 'ebike')},
+  CASE WHEN event_id % 2 = 1 THEN 'OK' ELSE 'CLOSED' END AS status, 'Stop ' || station_id AS name,
+  '2024-01-31 12:00:00' AS tbin_utc, {T('ts_utc', 'src_ts_utc')} FROM raw JOIN st USING (station_id)""")
+
+sql("weather_feed", PANEL + WEATHER, f"""
+SELECT {T('hour_utc', 'hour_utc')}, {R('temp_c', '"temp_C"')}, {R('precip_mm', 'precip_mm')}, {R('wind_mps', 'wind_mps')} FROM w
+WHERE w.hour_utc BETWEEN TIMESTAMP '2024-01-09 21:00:00' AND TIMESTAMP '2024-01-20 03:00:00'""")
+
+sql("json_records", RAW, f"""
+SELECT station_id, 15 AS horizon_min, count(*) AS n, {I('sum(bikes) FILTER (WHERE event_id % 4 <> 0)', 'bikes')} FROM raw GROUP BY 1""")
+
+sql("pruned_scan", RAW, f"""
+SELECT station_id, count(*) AS n, {I('sum(bikes)', 'bikes')} FROM raw
+WHERE tbin_utc >= TIMESTAMP '2024-01-10 06:00:00' AND tbin_utc < TIMESTAMP '2024-01-12 18:00:00' GROUP BY 1""")
+
+IN_DAY = "CAST(panel.tbin_utc AS DATE) = DATE '2024-01-24'"
+sql("daily_compaction", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, {T('ts_utc', 'ts_utc')}, status FROM panel WHERE {IN_DAY}")
+sql("monthly_compaction", PANEL, """
+SELECT '2024-01' AS month, count(*) AS rows, count(DISTINCT station_id) AS stations FROM panel WHERE strftime(tbin_utc, '%Y-%m') = '2024-01'""")
+sql("training_base", PANEL, f"SELECT station_id, count(*) AS n, {T('max(tbin_utc)', 'last_bin')}, 0 AS n_temp FROM panel GROUP BY 1")
+sql("date_range_scan", PANEL + ", d AS (SELECT CAST(tbin_utc AS DATE) AS d FROM panel)", """
+SELECT count(*) AS n, count(DISTINCT d) AS days, 'range' AS scan FROM d WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' UNION ALL
+SELECT count(*), count(DISTINCT d), 'latest' FROM d WHERE d = (SELECT max(d) FROM d)""")
+sql("expired_partitions", PANEL + ", d AS (SELECT DISTINCT CAST(tbin_utc AS DATE) AS d FROM panel)", f"""
+SELECT {D('d', 'date')}, 'day' AS kind FROM d WHERE d < DATE '2024-01-24' UNION ALL SELECT {D('d', 'date')}, 'later' FROM d WHERE d < DATE '2024-02-10'""")
+sql("cluster_csv", "", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS station_id, user_id % 4 AS cluster FROM events")
+sql("document_roundtrip", PANEL, f"""
+SELECT station_id, {R('avg(CASE WHEN bikes = 0 THEN 1.0 ELSE 0.0 END)', 'penury_rate')},
+  {R('nullif(avg(CASE WHEN capacity - bikes <= 0 THEN 1.0 ELSE 0.0 END), 0)', 'saturation_rate')} FROM panel GROUP BY 1""")
+sql("manifest", PANEL, """
+SELECT '2024-01-31T12:00:00Z' AS generated_at, 'rates' AS name, count(DISTINCT station_id) AS rows FROM panel UNION ALL
+SELECT '2024-01-31T12:00:00Z', 'hourly', 24""")
+
+# ---- streams: what the watermark (one hour behind the last event) has released ------------------------------
+
+WM = ", wm AS (SELECT max(ts) - INTERVAL '1 hour' AS wm FROM events)"
+SEEN = PANEL + WM + ", seen AS (SELECT panel.* FROM panel, wm WHERE tbin_utc + INTERVAL '360 minutes' <= wm)"
+sql("stream_bronze", RAW, f"""
+SELECT {D('tbin_utc', 'date')}, hour(tbin_utc) AS hour, count(*) AS n, {I('sum(bikes)', 'bikes')} FROM raw GROUP BY 1, 2""")
+sql("stream_dedup", SEEN, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, {T('ts_utc', 'ts_utc')}, event_id, {I('bikes', 'bikes')} FROM seen")
+sql("stream_rates", RAW + WM + ", t AS (SELECT date_trunc('day', ts_utc) AS d, bikes, capacity FROM raw)", f"""
+SELECT {T('d', 'start_utc')}, {T("d + INTERVAL '1 day'", 'end_utc')}, count(*) AS n, {R('avg(CASE WHEN bikes > 0 THEN 1.0 ELSE 0.0 END)', 'availability_rate')},
+  {R('avg(CASE WHEN bikes <= 2 THEN 1.0 ELSE 0.0 END)', 'penury_rate')}, {R('avg(CASE WHEN capacity - bikes <= 2 THEN 1.0 ELSE 0.0 END)', 'saturation_rate')}
+FROM t, wm WHERE d + INTERVAL '1 day' <= wm GROUP BY d""")
+sql("stream_rolling", RAW + WM + ", t AS (SELECT station_id, tbin_utc - to_minutes(k * 360) AS w, bikes FROM raw, range(4) r(k))", f"""
+SELECT station_id, {T('w', 'start_utc')}, {T("w + INTERVAL '1 day'", 'end_utc')}, {R('avg(bikes)', 'bikes_mean')}, count(*) AS n
+FROM t, wm WHERE w + INTERVAL '1 day' <= wm GROUP BY station_id, w""")
+sql("stream_episodes", SEEN + f""", s AS (SELECT station_id, tbin_utc, max(tbin_utc) OVER (PARTITION BY station_id) AS last_bin,
+   CASE WHEN capacity - bikes <= 2 THEN 'saturation' WHEN bikes <= 2 THEN 'penury' ELSE '' END AS st FROM seen),
+ g AS (SELECT *, row_number() OVER {W0} - row_number() OVER (PARTITION BY station_id, st ORDER BY tbin_utc) AS g FROM s)""", f"""
+SELECT station_id, st AS type, {T('min(tbin_utc)', 'start_utc')}, {T('max(tbin_utc)', 'end_utc')}, count(*) AS steps FROM g WHERE st <> ''
+GROUP BY station_id, st, g HAVING count(*) >= 2 AND max(g.tbin_utc) < max(last_bin)""")
+sql("stream_sessions", RAW + WM + """, e AS (SELECT station_id, ts_utc, ts_utc - lag(ts_utc) OVER (PARTITION BY station_id ORDER BY ts_utc) > INTERVAL '48 hours' AS brk FROM raw WHERE bikes <= 2),
+ g AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY station_id ORDER BY ts_utc ROWS UNBOUNDED PRECEDING) AS g FROM e),
+ s AS (SELECT station_id, min(ts_utc) AS t0, max(ts_utc) + INTERVAL '48 hours' AS t1, count(*) AS steps FROM g GROUP BY station_id, g)""", f"""
+SELECT station_id, {T('t0', 'start_utc')}, {T('t1', 'end_utc')}, steps FROM s, wm WHERE t1 <= wm""")
+sql("stream_latest", RAW, f"""
+SELECT station_id, {T('ts_utc', 'ts_utc')}, {I('bikes', 'bikes')}, status FROM raw
+QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY raw.ts_utc DESC, event_id DESC) = 1""")
+sql("late_recompaction", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, {T('ts_utc', 'ts_utc')}, event_id FROM panel WHERE {IN_DAY}")
+
+# ---- models, days, board ------------------------------------------------------------------------------------
+
+sql("training_frame", KNN + f""", tr AS (SELECT * FROM panel WHERE tbin_utc >= TIMESTAMP '2024-01-01' AND tbin_utc <= TIMESTAMP '2024-01-27 18:00:00'),
+ m AS (SELECT DISTINCT k.station_id, p.tbin_utc FROM knn k JOIN tr p ON p.station_id = k.neighbor_id),
+ f AS (SELECT station_id, tbin_utc, lead(bikes) OVER {W0} AS y, lag(bikes) OVER {W0} AS l1,
+   count(bikes) OVER (PARTITION BY station_id ORDER BY tbin_utc ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING) AS c48 FROM tr)""", f"""
+SELECT f.station_id, count(*) AS n, {R('avg(y)', 'y_mean')}, {R('avg(l1)', 'lag1_mean')}, count(m.tbin_utc) AS n_knn1,
+  count(*) FILTER (WHERE c48 >= 24) AS n_std48
+FROM f LEFT JOIN m ON m.station_id = f.station_id AND m.tbin_utc = f.tbin_utc - INTERVAL '360 minutes' WHERE y IS NOT NULL GROUP BY 1""")
+sql("temporal_split", PANEL + ", c AS (SELECT quantile_cont(epoch(tbin_utc), 0.9) AS cut FROM panel)", f"""
+SELECT {I('epoch(tbin_utc) > cut', 'is_valid')}, count(*) AS n, {T('min(tbin_utc)', 'first_bin')}, {T('max(tbin_utc)', 'last_bin')} FROM panel, c GROUP BY 1""")
+sql("lookback", PANEL + ", r AS (SELECT * FROM panel WHERE tbin_utc >= (SELECT date_trunc('day', max(tbin_utc) - INTERVAL '5 days') FROM panel))", f"""
+SELECT count(*) AS rows, count(DISTINCT station_id) AS stations, {T('min(tbin_utc)', 'span_start')}, {T('max(tbin_utc)', 'span_end')} FROM r""")
+sql("station_static", LAST_ST, f"""
+SELECT station_id, {R(hav('lat', 'lon', '48.853', '2.349'), 'dist_center_km')}, {I('floor(lon / (300.0 / 75000.0))', 'grid_x')},
+  {I('floor(lat / (300.0 / 111000.0))', 'grid_y')} FROM st""")
+sql("day_events", PANEL + ", codes AS (SELECT status, row_number() OVER (ORDER BY status) - 1 AS status_code FROM (SELECT DISTINCT status FROM panel))", f"""
+SELECT station_id, {T('tbin_utc', 'tbin_utc')}, {I('bikes', 'bikes')}, {R('occ_ratio', 'occ_ratio')}, {I('is_penury', 'is_penury')},
+  {I('is_saturation', 'is_saturation')}, {I('status_code', 'status_code')}, {I('hour(panel.tbin_utc)', 'h')}, {I('minute(panel.tbin_utc)', 'min')}
+FROM panel JOIN codes USING (status) WHERE {IN_DAY}""")
+
+BOARD = f"""psi AS (SELECT psi_global AS v FROM ({ORACLES['drift_summary']})), act AS (SELECT stations_active AS v FROM ({ORACLES['snapshot_kpis']})),
+ met AS (SELECT weather_min AS v FROM ({ORACLES['feed_freshness']})),
+ fc AS (WITH {PERF} SELECT horizon_bins * 360 AS h, count(*) AS n,
+   greatest((epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(tbin_utc))) / 60.0, 0) AS age FROM perf WHERE y_pred_int IS NOT NULL GROUP BY 1),
+ fl AS (SELECT *, CASE WHEN age <= 7 THEN 'ok' WHEN age <= 20 THEN 'warn' ELSE 'down' END AS led FROM fc)"""
+sql("status_board", BOARD, f"""
+SELECT 'api_stations' AS name, CASE WHEN v > 0 THEN 'ok' ELSE 'down' END AS led, {R('v', '"value"')}, CAST(NULL AS BIGINT) AS rows FROM act UNION ALL
+SELECT 'weather_provider', CASE WHEN v <= 5 THEN 'ok' WHEN v <= 12 THEN 'warn' ELSE 'down' END, {R('v')}, NULL FROM met UNION ALL
+SELECT 'data_drift', CASE WHEN v < 0.1 THEN 'ok' WHEN v < 0.2 THEN 'warn' ELSE 'down' END, {R('v')}, NULL FROM psi UNION ALL
+SELECT * FROM (SELECT 'batch_forecast', led, {R('age')}, n FROM fl ORDER BY h LIMIT 1) UNION ALL
+SELECT 'batch_forecast_h' || h, led, {R('age')}, n FROM fl""")

@@ -221,7 +221,10 @@ def stream_rolling(s, d):
 def stream_episodes(s, d):
     """Ended penury and saturation runs of at least two bins, from deduplicated stream rows."""
     rows = streams.stream_dedup(_stream(s, d), "1 hour", CFG, ("ts_utc", "event_id"))
-    return streams.collect_table(streams.stream_episodes(rows, 2, CFG), "stream-episodes")
+    path = work_path(s, "stream-clean")
+    streams.start_table(rows, path, f"{path}-checkpoint")
+    clean_rows = streams.file_stream(s, path, rows.schema)
+    return streams.collect_table(streams.stream_episodes(clean_rows, 2, CFG), "stream-episodes")
 
 
 @query
@@ -277,7 +280,7 @@ def training_frame(s, d):
     rows = model_parts(s, d)["rows"]
     return rows.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("y_nb").alias("y_mean"), F.avg("lag_bikes_1").alias("lag1_mean"),
-        F.avg("knn_mean_bikes_lag1").alias("knn1_mean"), F.count("roll_std_48").alias("n_std48"))
+        F.count("knn_mean_bikes_lag1").alias("n_knn1"), F.count("roll_std_48").alias("n_std48"))
 
 
 @query
@@ -451,5 +454,6 @@ def monitoring_run(s, d):
     }
     result = compose.run_monitoring(s, steps, out, C.NOW)
     status = s.createDataFrame([(k, "ok" if e is None else "failed") for k, e in result.items()], "step string, state string")
-    sizes = s.read.json(f"{out}/*/manifest/latest").select(F.explode("files").alias("f")).select("f.name")
-    return status.join(sizes.agg(F.count(F.lit(1)).alias("tables")).withColumn("state", F.lit("ok")), "state", "left")
+    step = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/manifest/", 1).alias("step")
+    sizes = s.read.json(f"{out}/*/manifest/latest").select(step, F.size("files").alias("tables"))
+    return status.join(sizes, "step", "left")

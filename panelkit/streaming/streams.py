@@ -40,11 +40,16 @@ def run_to_end(writer, checkpoint: str) -> StreamingQuery:
     return q
 
 
+def start_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream's present input to a parquet table."""
+    return run_to_end(df.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint)
+
+
 def collect_table(df: DataFrame, name: str) -> DataFrame:
     """Run a stream over its present input into a table below the shared folder; append mode."""
     spark = df.sparkSession
     root = work_path(spark, name)
-    run_to_end(df.writeStream.format("parquet").outputMode("append").option("path", f"{root}/data"), f"{root}/checkpoint")
+    start_table(df, f"{root}/data", f"{root}/checkpoint")
     return spark.read.schema(df.schema).parquet(f"{root}/data")
 
 
@@ -140,8 +145,8 @@ def _close_runs(min_steps: int):
 def stream_episodes(df: DataFrame, min_steps: int, cfg: PanelConfig = CFG) -> DataFrame:
     """Penury and saturation runs that have ended, exact: any other row ends a run.
 
-    `df` delivers one row per station and bin in bin order across batches, as
-    `stream_dedup` does.
+    `df` delivers one row per station and bin in bin order across batches: a
+    stream over the table that `stream_dedup` appends to.
     """
     bikes, cap = F.col("bikes"), F.col("capacity")
     full = F.coalesce((cap > 0) & (cap - bikes <= cfg.saturation_threshold), F.lit(False))
