@@ -19,25 +19,26 @@ def repair_grid(df: DataFrame, bin_min: int = 5, ts: str = "ts_utc", tbin: str =
     return df.withColumn(tbin, X.floor_bin(source, bin_min))
 
 
-def dedup_latest(df: DataFrame, keys: list[str] = KEYS, order: tuple[str, ...] = ("ts_utc",)) -> DataFrame:
-    """The last row per key. A hash-side `max_by`, so repeats collapse before the shuffle.
+def dedup_latest(
+    df: DataFrame, keys: list[str] = KEYS, order: tuple[str, ...] = ("ts_utc",), unique: bool = False
+) -> DataFrame:
+    """The last row per key.
 
-    Remaining ties go to the largest row, which keeps the result deterministic.
+    A rank limit of one: Spark prunes to one row per key in every map task, so a
+    key with a third of all rows sends one row per task. Ties go to the largest
+    row, so a retried task picks the same one; `unique` says that `order` leaves
+    no ties, which lets Spark read only the columns used later.
     """
-    rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*order, *[c for c in rest if c not in order])
+    rest = [] if unique else [c for c in df.columns if c not in keys and c not in order]
+    latest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in (*order, *rest)])
     return (
         df.filter(" and ".join(f"`{k}` is not null" for k in keys))
-        .groupBy(*keys)
-        .agg(F.max(rank).alias("_r"))
-        .select(*[F.col(c) if c in keys else F.col(f"_r.`{c}`").alias(c) for c in df.columns])
+        .withColumn("_rn", F.row_number().over(latest))
+        .filter(F.col("_rn") == 1)
+        .drop("_rn")
     )
 
 
-def last_per(df: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
-    return dedup_latest(df, keys, order)
-
-
 def last_non_null(df: DataFrame, cols: list[str], keys: list[str], ts: str = "tbin_utc") -> DataFrame:
     """Latest non-null value of each column per key."""
     return df.groupBy(*keys).agg(
@@ -117,6 +118,9 @@ def best_day(df: DataFrame, anchor: date, day: str = "date") -> DataFrame:
     )
 
 
+MAX_STATUSES = 1000
+
+
 def status_mapping(df: DataFrame) -> DataFrame:
     """(status, status_code): alphabetical codes; write it once and reuse it."""
     return (
@@ -126,7 +130,18 @@ def status_mapping(df: DataFrame) -> DataFrame:
 
 
 def status_code(df: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
-    return df.join(mapping if mapping is not None else status_mapping(df), "status", "left")
+    """Codes looked up in a constant map.
+
+    One status holds most rows, so a join on it would meet in one task. A column
+    with more than MAX_STATUSES values is not a status and fails.
+    """
+    rows = (mapping if mapping is not None else status_mapping(df)).limit(MAX_STATUSES + 1).collect()
+    if len(rows) > MAX_STATUSES:
+        raise ValueError(f"more than {MAX_STATUSES} statuses")
+    if not rows:
+        return df.withColumn("status_code", F.lit(None).cast("long"))
+    codes = F.create_map(*[x for r in rows for x in (F.lit(r.status), F.lit(int(r.status_code)).cast("long"))])
+    return df.withColumn("status_code", F.try_element_at(codes, F.col("status")))
 
 
 def stock_flags(df: DataFrame, penury: float = 2, saturation: float = 2) -> DataFrame:

@@ -16,7 +16,7 @@ from panelkit.operators.blocks import positions, runs
 from panelkit.operators.quantiles import (
     bin_right_closed, is_count, quantiles, unique_edges,
 )
-from panelkit.operators.rows import top
+from panelkit.operators.rows import small_side
 
 CFG = PanelConfig()
 H = "horizon_bins"
@@ -93,7 +93,7 @@ def performance_cuts(perf: DataFrame, tz: str = CFG.tz) -> DataFrame:
 def performance_by_cluster(perf: DataFrame, clusters: DataFrame) -> DataFrame:
     """The cluster cut; stations without a label are left out."""
     labels = clusters.select("station_id", "cluster").filter("cluster is not null")
-    return _with_lift(perf.join(labels, "station_id").groupBy(H, "cluster").agg(*_cut_metrics()))
+    return _with_lift(perf.join(small_side(labels), "station_id").groupBy(H, "cluster").agg(*_cut_metrics()))
 
 
 def lift_curve(daily: DataFrame, last: int | None = None) -> DataFrame:
@@ -328,6 +328,3 @@ def station_timeseries(perf: DataFrame, hours: int = 24, min_points: int = 12) -
         H, "station_id", "tbin_utc", "y_true", F.col("y_hat").alias("y_pred"), F.col("y_baseline_persist").alias("y_base")
     )
 
-
-def worst_first(df: DataFrame, k: int, *order) -> DataFrame:
-    return top(df, k, *order)

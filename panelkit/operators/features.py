@@ -8,6 +8,7 @@ from panelkit.config import LAG_BINS, ROLL_BINS, PanelConfig
 from panelkit.functions import columns as X
 from panelkit.operators.blocks import block_window, drop_halo, with_halo
 from panelkit.operators.clean import dedup_latest
+from panelkit.operators.rows import small_side
 
 STATION = ["station_id"]
 WEATHER = ("temp_C", "precip_mm", "wind_mps")
@@ -113,8 +114,8 @@ def calendar_features(df: DataFrame, ts: str = "tbin_utc", tz: str = "Europe/Par
 
 
 def latest_rows(df: DataFrame, order: tuple[str, ...] = ("tbin_utc",)) -> DataFrame:
-    """The last row of each station."""
-    return dedup_latest(df, STATION, order)
+    """The last row of each station; `order` is unique within a station."""
+    return dedup_latest(df, STATION, order, unique=True)
 
 
 def recent_history(df: DataFrame, minutes: int = 60, ts: str = "tbin_utc") -> DataFrame:
@@ -128,10 +129,10 @@ def recent_history(df: DataFrame, minutes: int = 60, ts: str = "tbin_utc") -> Da
 
 
 def join_weather(df: DataFrame, weather: DataFrame, ts: str = "tbin_utc") -> DataFrame:
-    """Hourly weather on the hour of the bin; the right side is one row per hour."""
+    """Hourly weather on the hour of the bin; one row per hour, broadcast while that is few."""
     return (
         df.withColumn("hour_utc", F.date_trunc("hour", ts))
-        .join(weather, "hour_utc", "left")
+        .join(small_side(weather), "hour_utc", "left")
         .drop("hour_utc")
     )
 

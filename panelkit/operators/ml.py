@@ -20,6 +20,7 @@ from panelkit.operators.features import (
     calendar_features, history_features, latest_rows, recent_history,
 )
 from panelkit.operators.quantiles import quantiles
+from panelkit.operators.rows import small_side
 from panelkit.operators.spatial import knn_map, neighbour_mean, station_static, stations_of
 from panelkit.operators.views import importance_share
 from panelkit.session import materialize
@@ -82,12 +83,12 @@ def feature_frame(
     stations = None
     if static is None or knn is None:
         stations = materialize(stations_of(df), "stations")
-    static = static if static is not None else station_static(stations)
-    knn = knn if knn is not None else knn_map(stations)
+    static = static if static is not None else materialize(station_static(stations), "static")
+    knn = knn if knn is not None else materialize(knn_map(stations), "knn")
     target = X.strict_horizon_bins(horizon_min, cfg.bin_min) if horizon_min else None
-    out = neighbour_mean(history_features(df, cfg, mode, target), knn, KNN_LAGS, cfg, panel=df)
+    out = neighbour_mean(history_features(df, cfg, mode, target), small_side(knn), KNN_LAGS, cfg, panel=df)
     out = status_code(calendar_features(out, tz=cfg.tz), mapping)
-    return out.join(static.drop("lat", "lon"), "station_id", "left")
+    return out.join(small_side(static.drop("lat", "lon")), "station_id", "left")
 
 
 def training_frame(df: DataFrame, start, end_date, cfg: PanelConfig, horizon_min: int, **parts) -> DataFrame:

@@ -15,6 +15,18 @@ def combine(*frames: DataFrame) -> DataFrame:
     return spark.range(1).select(*[p.alias(n) for n, p in parts.items()]).select(*[f"{n}.*" for n in parts])
 
 
+SMALL_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """`df` marked for broadcast if it has at most `max_rows` rows, else as it is.
+
+    For tables that are cheap to count (written tables, dimensions). Beyond the
+    limit the join is left to the optimizer: a shuffle join with skew handling.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def top(df: DataFrame, k: int, *order) -> DataFrame:
     """Top-k by the given order; Spark keeps k rows per task, then merges."""
     return df.orderBy(*order).limit(k)

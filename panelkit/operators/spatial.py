@@ -20,7 +20,7 @@ CELL_TARGET = 64
 
 def stations_of(df: DataFrame, ts: str = "tbin_utc") -> DataFrame:
     """Last (lat, lon, capacity) of each station."""
-    return dedup_latest(df.select("station_id", ts, "lat", "lon", "capacity"), ["station_id"], (ts,)).drop(ts)
+    return dedup_latest(df.select("station_id", ts, "lat", "lon", "capacity"), ["station_id"], (ts,), unique=True).drop(ts)
 
 
 def cluster_capacity_mean(df: DataFrame, cluster: str = "kmeans_cluster") -> DataFrame:

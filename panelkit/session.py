@@ -50,8 +50,12 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/panelkit/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{_app_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _app_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/panelkit-{spark.sparkContext.applicationId}"
 
 
 def materialize(df, name: str):
@@ -64,3 +68,10 @@ def materialize(df, name: str):
     path = work_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_work(spark: SparkSession) -> None:
+    """Delete the intermediate tables; only when no frame built on them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_app_root(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path, True)

@@ -56,7 +56,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deduplicated 6-hour station panel."""
-    return dedup_latest(raw_snapshots(spark, sf_dir), ["station_id", "tbin_utc"], ("ts_utc", "event_id"))
+    return dedup_latest(raw_snapshots(spark, sf_dir), ["station_id", "tbin_utc"], ("ts_utc", "event_id"), unique=True)
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

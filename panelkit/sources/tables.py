@@ -24,10 +24,15 @@ def with_partitions(df: DataFrame, hour: bool = False) -> DataFrame:
 
 
 def write_bronze(df: DataFrame, path: str) -> None:
-    """Append snapshots below date=/hour=; one write task per hour of data."""
-    with_partitions(df, hour=True).repartition("date", "hour").sortWithinPartitions(*KEYS[::-1]).write.mode(
-        "append"
-    ).partitionBy("date", "hour").parquet(path)
+    """Append snapshots below date=/hour=; an hour with much data is split over several tasks."""
+    (
+        with_partitions(df, hour=True)
+        .hint("rebalance", "date", "hour")
+        .sortWithinPartitions("date", "hour", *KEYS[::-1])
+        .write.mode("append")
+        .partitionBy("date", "hour")
+        .parquet(path)
+    )
 
 
 def read_panel(
