@@ -346,12 +346,14 @@ def regularity(df: DataFrame, cfg: PanelConfig = CFG, ref_curves: int = 90, min_
     )
     now = curves.filter(F.col("_day") == today)
     moving = (F.min("_occ") < F.max("_occ")) & (F.min("_typ") < F.max("_typ"))
+    # Pearson by its parts: `corr` itself fails on a flat curve in ANSI mode.
+    pearson = F.try_divide(F.covar_pop("_occ", "_typ"), F.stddev_pop("_occ") * F.stddev_pop("_typ"))
     corr = (
         now.join(typical, ["station_id", "_hhmm"])
         .filter("_occ is not null and _typ is not null")
         .groupBy("station_id")
         .agg(
-            F.when((F.count(F.lit(1)) >= min_common) & moving, F.corr("_occ", "_typ"))
+            F.when((F.count(F.lit(1)) >= min_common) & moving, pearson)
             .alias("regularity_corr_today_vs_typical")
         )
     )
