@@ -10,6 +10,7 @@ from panelkit.operators.blocks import runs
 from panelkit.operators.clean import KEYS, as_ts, dedup_latest, last_non_null
 from panelkit.operators.quantiles import quantiles
 from panelkit.operators.rows import combine, top
+from panelkit.session import materialize
 
 CFG = PanelConfig()
 HUNDRED = 100.0
@@ -57,11 +58,13 @@ def station_bins(df: DataFrame) -> DataFrame:
     )
 
 
-def panel_freshness(df: DataFrame, now, slo_min: float = CFG.freshness_slo_min) -> DataFrame:
+def panel_freshness(
+    df: DataFrame, now, slo_min: float = CFG.freshness_slo_min, bins: DataFrame | None = None
+) -> DataFrame:
     """Age of every station's last bin: p50, p95 and whether p95 meets the objective."""
-    last = df.groupBy("station_id").agg(F.max("tbin_utc").alias("_last"))
+    last = bins if bins is not None else df.groupBy("station_id").agg(F.max("tbin_utc").alias("last_bin"))
     # Ages sit on the grid, so there are at most as many as bins in the window.
-    q = quantiles(last, [], X.minutes_between(as_ts(now), "_last"), [0.5, 0.95], bounded=True, name="_q")
+    q = quantiles(last, [], X.minutes_between(as_ts(now), "last_bin"), [0.5, 0.95], bounded=True, name="_q")
     p50, p95 = F.col("_q")[0], F.col("_q")[1]
     return q.select(
         p50.alias("freshness_age_p50_min"),
@@ -79,9 +82,13 @@ def days_present(df: DataFrame) -> Column:
     return df.agg(F.count_distinct(F.to_date("tbin_utc"))).scalar()
 
 
-def coverage_table(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
-    """Per station: observed and expected bins over the days present in the data."""
-    return station_bins(df).withColumn("_exp", days_present(df) * F.lit(cfg.bins_per_day)).select(
+def coverage_table(df: DataFrame, cfg: PanelConfig = CFG, bins: DataFrame | None = None) -> DataFrame:
+    """Per station: observed and expected bins over the days present in the data.
+
+    Here and below `bins` is a prepared `station_bins` table, so that several
+    reports share its scan.
+    """
+    return (bins if bins is not None else station_bins(df)).withColumn("_exp", days_present(df) * F.lit(cfg.bins_per_day)).select(
         "station_id",
         F.least("obs", "_exp").alias("obs"),
         F.col("_exp").alias("expected"),
@@ -94,19 +101,19 @@ def coverage_global(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
     return coverage_table(df, cfg).agg(F.avg("coverage_pct").alias("coverage_global_pct"))
 
 
-def station_health(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
+def station_health(df: DataFrame, cfg: PanelConfig = CFG, bins: DataFrame | None = None) -> DataFrame:
     """Coverage table with the latest non-null station name."""
     names = last_non_null(df, ["name"], ["station_id"])
-    return coverage_table(df, cfg).join(names, "station_id", "left").select(
+    return coverage_table(df, cfg, bins).join(names, "station_id", "left").select(
         "station_id", "name", "obs", "expected", "coverage_pct", "missing"
     )
 
 
-def presence_table(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
+def presence_table(df: DataFrame, cfg: PanelConfig = CFG, bins: DataFrame | None = None) -> DataFrame:
     """Per station: bins expected only between its first and last sighting."""
     span = F.unix_timestamp("last_bin") - F.unix_timestamp("first_bin")
     return (
-        station_bins(df)
+        (bins if bins is not None else station_bins(df))
         .withColumn("expected", F.floor(span / F.lit(cfg.step_s)) + 1)
         .withColumn("seen", F.least("obs", "expected"))
         .select("station_id", "obs", "expected", "seen", (F.col("seen") / F.col("expected") * HUNDRED).alias("coverage_pct"))
@@ -114,9 +121,10 @@ def presence_table(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
 
 
 def coverage_active(
-    df: DataFrame, cfg: PanelConfig = CFG, min_frac: float | None = None, weighted: bool = False
+    df: DataFrame, cfg: PanelConfig = CFG, min_frac: float | None = None, weighted: bool = False,
+    bins: DataFrame | None = None,
 ) -> DataFrame:
-    t = presence_table(df, cfg)
+    t = presence_table(df, cfg, bins)
     if min_frac is not None and 0 < min_frac <= 1:
         t = t.filter(F.col("seen") >= X.dbl(min_frac) * F.col("expected"))
     pct, w = F.col("coverage_pct"), F.col("expected").cast("double")
@@ -151,13 +159,13 @@ def ingest_latency(df: DataFrame, cap_min: float | None = CFG.latency_cap_min, t
     )
 
 
-def duplicates(df: DataFrame) -> DataFrame:
+def duplicates(df: DataFrame, bins: DataFrame | None = None) -> DataFrame:
     """Extra rows per (station, bin), summed per station."""
-    return station_bins(df).select("station_id", (F.col("rows") - F.col("obs")).alias("dups"))
+    return (bins if bins is not None else station_bins(df)).select("station_id", (F.col("rows") - F.col("obs")).alias("dups"))
 
 
-def duplicates_pct(df: DataFrame) -> DataFrame:
-    return station_bins(df).agg(
+def duplicates_pct(df: DataFrame, bins: DataFrame | None = None) -> DataFrame:
+    return (bins if bins is not None else station_bins(df)).agg(
         (F.try_divide(F.sum(F.col("rows") - F.col("obs")), F.sum("rows")) * HUNDRED).alias("dups_pct")
     )
 
@@ -201,16 +209,18 @@ def top_anomalies(df: DataFrame, key: str, k: int = CFG.anomaly_topk, sample: fl
 
 
 def anomalies(
-    df: DataFrame, cfg: PanelConfig = CFG, k: int | None = None, sample: float = 0.0
+    df: DataFrame, cfg: PanelConfig = CFG, k: int | None = None, sample: float = 0.0,
+    bins: DataFrame | None = None, flats: DataFrame | None = None,
 ) -> DataFrame:
     """Flat, duplicate and missing-bin anomalies in one table."""
     k = k or cfg.anomaly_topk
+    flats = flats if flats is not None else flat_sequences(one_per_bin(df), cfg)
     names = last_non_null(df, ["name"], ["station_id"])
     kinds = {
-        "flat_sequence": top_anomalies(flat_sequences(one_per_bin(df), cfg), "duration_min", k, sample),
-        "duplicates": top_anomalies(duplicates(df), "dups", k, sample),
+        "flat_sequence": top_anomalies(flats, "duration_min", k, sample),
+        "duplicates": top_anomalies(duplicates(df, bins), "dups", k, sample),
         "missing_bins": top_anomalies(
-            coverage_table(df, cfg).select("station_id", "missing", "expected"), "missing", k, sample
+            coverage_table(df, cfg, bins).select("station_id", "missing", "expected"), "missing", k, sample
         ),
     }
     out = None
@@ -235,19 +245,24 @@ def panel_span(df: DataFrame) -> DataFrame:
     )
 
 
-def health_kpis(df: DataFrame, now, cfg: PanelConfig = CFG) -> DataFrame:
-    """All health figures in one row."""
-    cov = coverage_table(df, cfg).agg(
+def health_kpis(
+    df: DataFrame, now, cfg: PanelConfig = CFG, bins: DataFrame | None = None, flats: DataFrame | None = None
+) -> DataFrame:
+    """All health figures in one row; everything per station comes from one scan."""
+    bins = bins if bins is not None else materialize(station_bins(df), "station-bins")
+    flats = flats if flats is not None else flat_sequences(one_per_bin(df), cfg)
+    span = bins.agg(
+        F.sum("rows").alias("rows"), F.count("station_id").alias("stations"),
+        F.min("first_bin").alias("span_start"), F.max("last_bin").alias("span_end"),
+    )
+    cov = coverage_table(df, cfg, bins).agg(
         F.avg("coverage_pct").alias("coverage_global_pct"),
         F.count_if(F.col("missing") > 0).alias("missing_stations"),
     )
-    parts = [panel_span(df), panel_freshness(df, now, cfg.freshness_slo_min), cov, coverage_active(df, cfg)]
+    parts = [span, panel_freshness(df, now, cfg.freshness_slo_min, bins), cov, coverage_active(df, cfg, bins=bins)]
     if "ingested_at" in df.columns:
         parts.append(ingest_latency(df, cfg.latency_cap_min))
-    parts += [
-        duplicates_pct(df),
-        flat_sequences(one_per_bin(df), cfg).agg(F.count(F.lit(1)).alias("flat_sequences")),
-    ]
+    parts += [duplicates_pct(df, bins), flats.agg(F.count(F.lit(1)).alias("flat_sequences"))]
     return combine(*parts)
 
 

@@ -10,6 +10,7 @@ from panelkit.config import CENTER, KNN_LAGS, PanelConfig
 from panelkit.functions import columns as X
 from panelkit.operators.blocks import block_window, drop_halo, with_halo
 from panelkit.operators.clean import dedup_latest
+from panelkit.session import materialize
 
 CFG = PanelConfig()
 # Cells of 2**level * 10 m; the top one spans the globe.
@@ -33,7 +34,7 @@ def station_static(
     stations: DataFrame, center: tuple[float, float] = CENTER, grid_m: float = 300, k: int = 30, seed: int = 42
 ) -> DataFrame:
     """Distance to the centre, grid cell, KMeans cluster and its mean capacity."""
-    st = stations.select("station_id", "lat", "lon", "capacity")
+    st = materialize(stations.select("station_id", "lat", "lon", "capacity"), "stations")
     gx, gy = X.grid_cell("lat", "lon", grid_m)
     st = st.withColumns(
         {
@@ -98,13 +99,19 @@ def knn_map(stations: DataFrame, k: int = 5) -> DataFrame:
     covered. A site in a crowded spot therefore searches small cubes, a remote
     one large cubes.
     """
-    st = stations.select("station_id", "lat", "lon").filter("lat is not null and lon is not null").distinct()
+    # Stations and sites are read many times below: written once, however they were derived.
+    st = materialize(
+        stations.select("station_id", "lat", "lon").filter("lat is not null and lon is not null").distinct(), "stations"
+    )
     at = Window.partitionBy("lat", "lon").orderBy("station_id")
     kept = st.withColumn("_rn", F.row_number().over(at)).filter(F.col("_rn") <= k + 1)
     la, lo, r = F.radians("lat"), F.radians("lon"), X.EARTH_RADIUS_KM
-    sites = kept.groupBy("lat", "lon").agg(F.array_sort(F.collect_list("station_id")).alias("ids")).select(
-        "lat", "lon", "ids", F.element_at("ids", 1).alias("site"),
-        (F.cos(la) * F.cos(lo) * r).alias("x"), (F.cos(la) * F.sin(lo) * r).alias("y"), (F.sin(la) * r).alias("z"),
+    sites = materialize(
+        kept.groupBy("lat", "lon").agg(F.array_sort(F.collect_list("station_id")).alias("ids")).select(
+            "lat", "lon", "ids", F.element_at("ids", 1).alias("site"),
+            (F.cos(la) * F.cos(lo) * r).alias("x"), (F.cos(la) * F.sin(lo) * r).alias("y"), (F.sin(la) * r).alias("z"),
+        ),
+        "sites",
     )
     fine, coarse = _base_level(sites)
     lv = F.explode(F.sequence(F.lit(fine), F.lit(coarse)))

@@ -72,11 +72,13 @@ def build_forecast(
 def data_health(df: DataFrame, now: datetime, cfg: PanelConfig = PanelConfig()) -> Report:
     window = clean.health_window(df, now, max(cfg.last_days, 7), cfg.bin_min)
     _, end = clean.health_bounds(now, cfg.last_days, cfg.bin_min)
-    kpis = quality.health_kpis(window, end, cfg)
-    found = quality.anomalies(window, cfg)
+    bins = materialize(quality.station_bins(window), "station-bins")
+    flats = materialize(quality.flat_sequences(quality.one_per_bin(window), cfg), "flat-sequences")
+    kpis = materialize(quality.health_kpis(window, end, cfg, bins, flats), "health-kpis")
+    found = materialize(quality.anomalies(window, cfg, bins=bins, flats=flats), "anomalies")
     return {
         "kpis": kpis,
-        "station_health": quality.station_health(window, cfg),
+        "station_health": quality.station_health(window, cfg, bins),
         "coverage_by_hour": quality.coverage_by_hour(window, cfg),
         "alerts": quality.health_alerts(kpis, cfg),
         "anomalies": found,
@@ -104,13 +106,18 @@ def model_performance(
     p = features.pick_prediction(perf) if "y_hat" not in perf.columns else perf
     if horizons:
         p = p.filter(F.col("horizon_bins").isin(list(horizons)))
-    daily = evaluate.performance(p, ("date",), cfg.tz)
+    # One scan gives every cut; the single reports are rows of that table.
+    cuts = materialize(evaluate.performance_cuts(p, cfg.tz), "performance-cuts")
+    cut = lambda name, kind: cuts.filter(F.col("cut") == name).withColumn(name, F.col("key").cast(kind)).drop("cut", "key")
+    daily = cut("date", "date")
     out = {
         "kpis": evaluate.performance_global(p),
-        "cuts": evaluate.performance_cuts(p, cfg.tz),
+        "cuts": cuts,
         "daily": daily,
         "lift_curve": evaluate.lift_curve(daily, cfg.last_days),
-        "by_station": evaluate.performance(p, ("station_id",), cfg.tz),
+        "by_hour": cut("hour", "int"),
+        "by_dow": cut("dow", "int"),
+        "by_station": cut("station_id", "string"),
         "hist_residuals": evaluate.residual_histogram(p, cfg.hist_bins),
         "station_timeseries": evaluate.station_timeseries(p),
     }

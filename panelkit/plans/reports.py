@@ -336,6 +336,14 @@ def model_performance(s, d):
     return evaluate.performance_global(features.pick_prediction(perf))
 
 
+@query
+def forecast_bundle(s, d):
+    """Forecasts of all stations for every model, from the recent panel."""
+    m = model_parts(s, d)
+    out = compose.build_forecast(m["panel"], [m["pack"]], datetime(2024, 1, 30, 18), CFG, **m["parts"])
+    return compose.forecast_status(out)
+
+
 @query
 def stream_forecast(s, d):
     """Forecasts issued by a stream of panel rows."""

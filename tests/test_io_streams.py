@@ -194,6 +194,11 @@ def test_perf_uses_predictions_at_their_target(fitted):
     assert p.filter("y_hat is null").count() == 0 and p.filter("y_true is null").count() == 0
 
 
+def test_user_function_per_station(dense):
+    fn = lambda pdf: pdf.head(1)[["station_id", "bikes"]]
+    assert features.panel_apply(dense.select("station_id", "bikes"), fn, "station_id string, bikes int").count() == 40
+
+
 def test_clusters(spark):
     rows = [(f"a{i}", [0.2 if h < 12 else 0.8 for h in range(24)]) for i in range(5)]
     rows += [(f"b{i}", [0.8 if h < 12 else 0.2 + i * 1e-3 for h in range(24)]) for i in range(5)]
