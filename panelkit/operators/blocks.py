@@ -105,7 +105,6 @@ def runs(
     `same(prev, cur)` says whether a row continues the run of the row before it.
     `second` is the time of the run's second row, `leading` marks a key's first run.
     """
-    w = block_window(keys, ts)
     local = (
         df.select(*keys, F.col(ts).alias("_ts"), state.alias("_s"), block_of(ts, bin_min, block_bins).alias(BLK))
         .withColumn("_prev", F.lag(F.struct("_s")).over(block_window(keys, "_ts")))
@@ -128,27 +127,26 @@ def runs(
         .withColumn("_runs", F.max("_run").over(Window.partitionBy(*keys, BLK)))
     )
     edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))
-    cols = [*keys, F.col("_first").alias("state"), "start", "second", "end", "n", "leading"]
-    inner = local.filter(~edge).withColumn("leading", F.lit(False)).select(*cols)
-
-    along = Window.partitionBy(*keys).orderBy("start")
+    # Edge runs of a key meet in one partition, inner runs stay with their block.
+    placed = local.withColumn("_home", F.when(edge, F.lit(None).cast("long")).otherwise(F.col(BLK)))
+    along = Window.partitionBy(*keys, "_home").orderBy("start")
     joins = (F.col(BLK) != F.lag(BLK).over(along)) & same(F.lag("_last").over(along), F.col("_first"))
-    touching = (
-        local.filter(edge)
-        .withColumn("_cut", F.when(F.lag(BLK).over(along).isNull(), 1).when(joins, 0).otherwise(1))
+    return (
+        placed.withColumn("_cut", F.when(F.lag(BLK).over(along).isNull(), 1).when(joins, 0).otherwise(1))
         .withColumn("_gid", F.sum("_cut").over(along))
-        .groupBy(*keys, "_gid")
+        .groupBy(*keys, "_home", "_gid")
         .agg(
-            F.min_by("_first", "start").alias("_first"),
-            F.min(F.when(F.col("_cut") == 1, F.col("second")).otherwise(F.col("start"))).alias("second"),
+            F.min_by("_first", "start").alias("state"),
             F.min("start").alias("start"),
+            F.min(F.when(F.col("_cut") == 1, F.col("second")).otherwise(F.col("start"))).alias("second"),
             F.max("end").alias("end"),
             F.sum("n").alias("n"),
         )
-        .withColumn("leading", F.col("_gid") == 1)
-        .select(*cols)
+        .select(
+            *keys, "state", "start", "second", "end", "n",
+            (F.col("_home").isNull() & (F.col("_gid") == 1)).alias("leading"),
+        )
     )
-    return inner.unionByName(touching)
 
 
 def positions(

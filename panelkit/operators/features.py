@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelkit.config import LAG_BINS, ROLL_BINS, PanelConfig
 from panelkit.functions import columns as X
 from panelkit.operators.blocks import block_window, drop_halo, with_halo
 from panelkit.operators.clean import dedup_latest
+from panelkit.operators.quantiles import is_count
 from panelkit.operators.rows import small_side
 
 STATION = ["station_id"]
@@ -62,18 +63,43 @@ def rolling(
     cfg: PanelConfig = PanelConfig(), mode: str = "rows",
 ) -> DataFrame:
     b, f = _blocked(df, cfg, mode, before=max(bins))
-    return _finish(b.withColumns(_rolling_columns(f, col, bins)))
+    return _finish(_rolling(b, f, col, bins))
 
 
-def _rolling_columns(f: _Frames, col: str, bins: tuple[int, ...]) -> dict:
-    """Mean and sample deviation of the rows before the current one."""
+def _rolling(b: DataFrame, f: _Frames, col: str, bins: tuple[int, ...]) -> DataFrame:
+    """Mean and sample deviation of the rows before the current one.
+
+    For counts by row: differences of running sums, exact in integers, so the
+    cost does not grow with the width. Otherwise the frames themselves.
+    """
+    if f.mode == "rows" and is_count(b, col):
+        return _rolling_counts(b, f, col, bins)
     out = {}
     for n in bins:
         w = f.previous(n)
         enough = F.count(col).over(w) >= max(1, n // 2)
         out[f"roll_mean_{n}"] = F.when(enough, F.avg(col).over(w))
         out[f"roll_std_{n}"] = F.when(enough, F.stddev_samp(col).over(w))
-    return out
+    return b.withColumns(out)
+
+
+def _rolling_counts(b: DataFrame, f: _Frames, col: str, bins: tuple[int, ...]) -> DataFrame:
+    upto = f.rows.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(col).cast("long")
+    runs = b.withColumns({"_s": F.sum(x).over(upto), "_q": F.sum(x * x).over(upto), "_n": F.count(x).over(upto)})
+
+    def within(c: str, n: int):
+        total = lambda k: F.coalesce(F.lag(c, k).over(f.rows), F.lit(0))
+        return total(1) - total(n + 1)
+
+    sums = runs.withColumns({f"{c}{n}": within(c, n) for n in bins for c in ("_s", "_q", "_n")})
+    out = {}
+    for n in bins:
+        s, q, k = (F.col(f"{c}{n}") for c in ("_s", "_q", "_n"))
+        enough = k >= max(1, n // 2)
+        out[f"roll_mean_{n}"] = F.when(enough, s / k)
+        out[f"roll_std_{n}"] = F.when(enough & (k > 1), F.sqrt((k * q - s * s) / (k * (k - 1))))
+    return sums.withColumns(out).drop("_s", "_q", "_n", *[f"{c}{n}" for n in bins for c in ("_s", "_q", "_n")])
 
 
 def _trend_columns(f: _Frames, step: int, bins: int = 12) -> dict:
@@ -101,12 +127,11 @@ def history_features(
     """Lags, rolling statistics, trend, weather lag (and target) in one pass over one blocking."""
     b, f = _blocked(df, cfg, mode, before=max(*LAG_BINS, *ROLL_BINS), after=target_bins or 0)
     cols = {f"lag_bikes_{n}": f.at("bikes", -n) for n in LAG_BINS}
-    cols |= _rolling_columns(f, "bikes", ROLL_BINS)
     cols |= _trend_columns(f, cfg.step_s)
     cols |= {f"{c}_lag1": f.at(c, -1) for c in WEATHER}
     if target_bins:
         cols["y_nb"] = f.at("bikes", target_bins)
-    return _finish(b.withColumns(cols)).withColumn("occ_ratio", X.occ_ratio())
+    return _finish(_rolling(b.withColumns(cols), f, "bikes", ROLL_BINS)).withColumn("occ_ratio", X.occ_ratio())
 
 
 def calendar_features(df: DataFrame, ts: str = "tbin_utc", tz: str = "Europe/Paris") -> DataFrame:
