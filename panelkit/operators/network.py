@@ -271,13 +271,15 @@ def episodes(df: DataFrame, cfg: PanelConfig = CFG, days: int | None = None, min
     """Penury and saturation episodes: runs of at least `min_minutes` of consecutive readings."""
     w = _masked(df if days is None else last_days(df, days, cfg.tz), cfg)
     step = step_median(w, cfg).scalar()
-    state = F.when(F.col("is_pen"), "penury").when(F.col("is_sat"), "saturation")
+    # A numeric state keeps the run aggregation hash-based.
+    state = F.when(F.col("is_pen"), 1).when(F.col("is_sat"), 2)
+    kind = F.when(F.col("state") == 1, "penury").otherwise("saturation")
     need = F.greatest(F.rint(X.dbl(min_minutes) / step), X.dbl(1))
     return (
         runs(w, ["station_id"], "tbin_utc", state, cfg.bin_min, cfg.block_bins)
         .filter(F.col("state").isNotNull() & (F.col("n") >= need))
         .select(
-            "station_id", F.col("state").alias("type"), F.col("start").alias("start_utc"),
+            "station_id", kind.alias("type"), F.col("start").alias("start_utc"),
             F.col("end").alias("end_utc"), F.col("n").alias("steps"), (F.col("n") * step).alias("duration_min"),
         )
     )
