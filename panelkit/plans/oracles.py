@@ -633,8 +633,8 @@ def metrics(source: str, key: str, bins: int = 20) -> str:
  {tag}c AS (SELECT {key}, bin, coalesce(sum(c) FILTER (WHERE win = 'ref'), 0) AS a, coalesce(sum(c) FILTER (WHERE win = 'cur'), 0) AS b FROM {tag}b GROUP BY 1, 2),
  {tag}t AS (SELECT {key}, sum(a) AS ta, sum(b) AS tb FROM {tag}c GROUP BY 1)"""
 
-    return f""", pe AS (SELECT {key}, list_sort(list_distinct(quantile_cont(v, {p20}))) AS e FROM {source} WHERE win = 'ref' GROUP BY 1),
- ke AS (SELECT {key}, list_sort(list_distinct(quantile_cont(v, {p200}))) AS e FROM {source} GROUP BY 1),
+    return f""", pe AS (SELECT {key}, list_sort(list_distinct(list_transform(quantile_cont(v, {p20}), lambda q: round(q, 12)))) AS e FROM {source} WHERE win = 'ref' GROUP BY 1),
+ ke AS (SELECT {key}, list_sort(list_distinct(list_transform(quantile_cont(v, {p200}), lambda q: round(q, 12)))) AS e FROM {source} GROUP BY 1),
  {shares('p')}, {shares('k')},
  pv AS (SELECT {key}, sum((a / ta + 1e-9 - (b / tb + 1e-9)) * ln((a / ta + 1e-9) / (b / tb + 1e-9))) AS psi FROM pc JOIN pt USING ({key}) WHERE ta > 0 AND tb > 0 GROUP BY 1),
  kc2 AS (SELECT {key}, abs(sum(a) OVER w / ta - sum(b) OVER w / tb) AS g FROM kc JOIN kt USING ({key}) WHERE ta > 0 AND tb > 0
