@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelkit.llm import chat, dedup, mixing, simhash
-from panelkit.llm.frames import table
+from panelkit.llm import bpe, chat, dedup, mixing, simhash, toxicity
+from panelkit.llm.frames import crc_mod, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity score, learned from the labels of two thirds of the ids."""
+    docs, config = table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.Config()
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), config=config)
+    return toxicity.score(docs, model).select(
+        "doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= config.threshold).cast("int").alias("predicted"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it and its first training position."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -45,6 +56,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and component."""
     return simhash.simhash_components(table(spark, sf_dir, "documents")).select(
@@ -55,6 +71,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_bpe": op8_bpe,
     "op10_simhash": op10_simhash,
 }
