@@ -20,6 +20,18 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS keep FROM p
+), r AS (
+  SELECT *, octet_length(payload) >= 1000 AND keep IS NOT NULL AND page_id IS DISTINCT FROM keep AS again FROM g
+)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keep END AS refers_to
+FROM r
+"""
+
 OP3 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -68,4 +80,4 @@ SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken,
 FROM u
 """
 
-ORACLES = {"op1_chat_formatting": OP1, "op3_exact_dedup": OP3, "op7_mixing": OP7}
+ORACLES = {"op1_chat_formatting": OP1, "op2_warc": OP2, "op3_exact_dedup": OP3, "op7_mixing": OP7}

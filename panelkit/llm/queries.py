@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelkit.llm import bpe, chat, dedup, mixing, simhash, toxicity
+from panelkit.llm import bpe, chat, dedup, mixing, secrets, simhash, toxicity, warc
 from panelkit.llm.frames import crc_mod, table
+from panelkit.session import work_path
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,15 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back."""
+    path = work_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).filter("kind = 'record'").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stands for its text."""
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -48,6 +58,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the secrets found in its blob, scanned through a ledger of its own."""
+    found = secrets.scan_versions(table(spark, sf_dir, "documents"), work_path(spark, "secret-ledger"))
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    joined = lambda rows: F.array_join(
+        F.transform(rows, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ","
+    )
+    base = joined(F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE)))
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it and its first training position."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -70,8 +94,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_secret_scan": op5_secret_scan,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
     "op10_simhash": op10_simhash,
