@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelkit.llm import bpe, chat, dedup, mixing, secrets, simhash, toxicity, warc
+from panelkit.llm import ann, bpe, chat, dedup, katz, mixing, secrets, simhash, toxicity, warc
 from panelkit.llm.frames import crc_mod, table
 from panelkit.session import work_path
 
@@ -72,6 +72,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all vectors."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it and its first training position."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -85,6 +90,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability under a Katz bigram model learned from four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    out = katz.katz_scores(docs, crc_mod("doc_id", 5) != 1)
+    return out.select(
+        "doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and component."""
     return simhash.simhash_components(table(spark, sf_dir, "documents")).select(
@@ -98,7 +112,9 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
+    "op6_nearest": op6_nearest,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op9_katz": op9_katz,
     "op10_simhash": op10_simhash,
 }
