@@ -39,8 +39,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0     　" + "".join(map(chr, range(0x2
 # Fixed value: the contractions of the pattern, by their letters.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 # Characters of a text batch that are scanned at once.
-SCAN_CHARS = 1 << 22
-CACHE_SLICES = 400_000
+SCAN_CHARS = 1 << 19
+CACHE_SLICES = 800_000
 BLOCK = 256
 
 
