@@ -48,7 +48,6 @@ class PanelConfig:
     nominal: float = 0.90
     # stations
     min_bins_keep: int = 50
-    stations_max: int = 3000
     # status board
     forecast_ok_min: float = 7.0
     forecast_warn_min: float = 20.0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # Fixed values.
@@ -220,27 +223,27 @@ def percent_present(p) -> Column:
     return F.avg(col(p).isNotNull().cast("int").cast("double")) * dbl(100)
 
 
+def erf_inverse(x: Column, a: float = LN_SQRT_A) -> Column:
+    """Winitzki's approximation: with L = ln(1 - x^2) and b = 2/(pi a) + L/2, sgn(x) (sqrt(b^2 - L/a) - b)^(1/2)."""
+    log = F.log1p(-x * x)
+    b = log / dbl(2) + dbl(2 / (math.pi * a))
+    return F.signum(x) * F.pow(F.pow(b * b - log / dbl(a), dbl(0.5)) - b, dbl(0.5))
+
+
 def normal_quantile(p: Column) -> Column:
-    """Theoretical QQ coordinate from the erf-inverse approximation.
+    """Theoretical QQ coordinate of a probability, kept inside the open interval by 1e-6.
 
-    Kept without the factor sqrt(2), as published; multiply for true z values.
+    As published without the factor sqrt(2); multiply for true z values.
     """
-    t = F.least(F.greatest(p * dbl(2) - dbl(1), dbl(-0.999999)), dbl(0.999999))
-    ln = F.log(dbl(1) - t * t)
-    inner = F.lit(2.0) / (F.pi() * dbl(LN_SQRT_A)) + ln / dbl(2)
-    return F.signum(t) * F.sqrt(F.sqrt(inner * inner - ln / dbl(LN_SQRT_A)) - inner)
+    edge = dbl(1 - 1e-6)
+    return erf_inverse(F.greatest(-edge, F.least(edge, p * dbl(2) - dbl(1))))
 
 
 def z_for_nominal(p: float) -> float:
-    """Normal quantile of a nominal level, linear between table entries."""
-    levels = sorted(Z_TABLE)
-    if p in Z_TABLE:
-        return Z_TABLE[p]
-    for lo, hi in zip(levels, levels[1:]):
-        if lo < p < hi:
-            w = (p - lo) / (hi - lo)
-            return (1 - w) * Z_TABLE[lo] + w * Z_TABLE[hi]
-    return Z_TABLE[0.90]
+    """Two-sided normal quantile of a nominal level by linear interpolation; 90 % stands in outside the table."""
+    levels = np.array(sorted(Z_TABLE))
+    inside = levels[0] <= p <= levels[-1]
+    return float(np.interp(p, levels, [Z_TABLE[level] for level in levels])) if inside else Z_TABLE[0.90]
 
 
 # ---- status lights ------------------------------------------------------------------
@@ -250,11 +253,21 @@ def age_minutes(ts, now) -> Column:
     return F.greatest(minutes_between(now, ts), dbl(0))
 
 
+# Bounds of the PSI light.
+PSI_BOUNDS = ((0.10, "ok"), (0.20, "warn"))
+
+
+def first_bound(x, bounds, reached, otherwise: str) -> Column:
+    """The label of the first (bound, label) with `reached(x, bound)`; null values have none."""
+    hits = [F.when(reached(col(x), dbl(bound)), F.lit(label)) for bound, label in bounds]
+    return F.coalesce(*hits, F.lit(otherwise))
+
+
 def status_light(x, ok: float, warn: float, higher_is_better: bool = False) -> Column:
-    v = -col(x) if higher_is_better else col(x)
-    return F.when(v <= ok, "ok").when(v <= warn, "warn").otherwise("down")
+    """ok, warn or down, bounds included; thresholds of a better-when-higher figure are given negated."""
+    reached = (lambda v, b: v >= -b) if higher_is_better else (lambda v, b: v <= b)
+    return first_bound(x, ((ok, "ok"), (warn, "warn")), reached, "down")
 
 
 def psi_light(psi) -> Column:
-    c = col(psi)
-    return F.when(c < 0.10, "ok").when(c < 0.20, "warn").otherwise("down")
+    return first_bound(psi, PSI_BOUNDS, lambda v, b: v < b, "down")

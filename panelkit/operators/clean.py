@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelkit.config import PanelConfig
 from panelkit.functions import columns as X
+from panelkit.operators.rows import small_side
 from panelkit.schema import PANEL_SCHEMA, enforce_schema
 
 KEYS = ["station_id", "tbin_utc"]
@@ -118,9 +119,6 @@ def best_day(df: DataFrame, anchor: date, day: str = "date") -> DataFrame:
     )
 
 
-MAX_STATUSES = 1000
-
-
 def status_mapping(df: DataFrame) -> DataFrame:
     """(status, status_code): alphabetical codes; write it once and reuse it."""
     return (
@@ -129,19 +127,14 @@ def status_mapping(df: DataFrame) -> DataFrame:
     )
 
 
-def status_code(df: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
-    """Codes looked up in a constant map.
+def status_code(df: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Codes looked up in a stored mapping; a status that it lacks has none.
 
-    One status holds most rows, so a join on it would meet in one task. A column
-    with more than MAX_STATUSES values is not a status and fails.
+    A mapping of checked size is broadcast, so the status that holds most rows
+    stays spread; beyond that the join is adaptive execution's to split.
     """
-    rows = (mapping if mapping is not None else status_mapping(df)).limit(MAX_STATUSES + 1).collect()
-    if len(rows) > MAX_STATUSES:
-        raise ValueError(f"more than {MAX_STATUSES} statuses")
-    if not rows:
-        return df.withColumn("status_code", F.lit(None).cast("long"))
-    codes = F.create_map(*[x for r in rows for x in (F.lit(r.status), F.lit(int(r.status_code)).cast("long"))])
-    return df.withColumn("status_code", F.try_element_at(codes, F.col("status")))
+    codes = small_side(mapping.select(F.col("status").alias("_status"), F.col("status_code").cast("long").alias("status_code")))
+    return df.join(codes, F.col("status") == F.col("_status"), "left").drop("_status")
 
 
 def stock_flags(df: DataFrame, penury: float = 2, saturation: float = 2) -> DataFrame:
@@ -170,8 +163,8 @@ def clean_panel(df: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFrame:
     return dedup_latest(repair_grid(enforce_schema(df), cfg.bin_min))
 
 
-def enrich_events(df: DataFrame, cfg: PanelConfig = PanelConfig(), mapping: DataFrame | None = None) -> DataFrame:
-    """Occupancy, flags, status code and clock columns on a clean panel."""
+def enrich_events(df: DataFrame, mapping: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFrame:
+    """Occupancy, flags, status code by the stored mapping, and clock columns on a clean panel."""
     out = stock_flags(status_code(df, mapping), cfg.penury_threshold, cfg.saturation_threshold)
     return out.withColumns(
         {

@@ -6,6 +6,7 @@ all of them and a wide table adds rows, not jobs.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from panelkit.config import EMA_ALPHA, PanelConfig
 from panelkit.functions import columns as X
 from panelkit.operators.quantiles import (
-    bin_left_closed, counted, quantiles_of_counts, unique_edges,
+    bin_left_closed, counted, quantiles, quantiles_of_counts, unique_edges,
 )
 from panelkit.operators.rows import combine
 from panelkit.session import materialize
@@ -224,32 +225,27 @@ def drift_by_zone(df: DataFrame, cfg: PanelConfig = CFG, means: DataFrame | None
     z = means.withColumn("zone", X.zone_label("lat", "lon", 2, ",", district=district)).filter("zone is not null")
     vc = materialize(counted(z, ["zone", "win"], metric), "zone-counts")
     stats = window_stats(vc, ["zone"]).filter(_enough())
-    place = z.filter("win = 'ref'").groupBy("zone").agg(
-        F.percentile("lat", 0.5).alias("lat"), F.percentile("lon", 0.5).alias("lon")
-    )
+    ref = z.filter("win = 'ref'")
+    median = lambda c: quantiles(ref, ["zone"], c, [0.5], name="_q").select("zone", F.col("_q")[0].alias(c))
+    place = median("lat").join(median("lon"), "zone", "full")
     return psi(vc, ["zone"], stats, cfg.psi_bins, small=False).join(place, "zone", "left")
 
 
 def ema(df: DataFrame, value: str, order: str, keys: tuple[str, ...] = (), alpha: float = EMA_ALPHA) -> DataFrame:
     """Exponential moving average; null inputs give null and leave the state.
 
-    Folds one array per series, meant for daily series: one entry per day.
+    Each value folds the values before it as far back as they weigh over 1e-20, so
+    rows stay rows. A series (all rows, without keys) is one window: meant for daily
+    series of one entry per day.
     """
-    entry = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
-    kind = "struct<last:double,out:array<struct<o:{},e:double>>>".format(df.schema[order].dataType.simpleString())
-    start = F.from_json(F.lit('{"last":null,"out":[]}'), kind)
-
-    def step(acc, e):
-        nxt = F.when(e["x"].isNull(), acc["last"]).otherwise(
-            F.coalesce(acc["last"] * (1.0 - alpha) + e["x"] * alpha, e["x"])
-        )
-        shown = F.struct(e["o"].alias("o"), F.when(e["x"].isNotNull(), nxt).alias("e"))
-        return F.struct(nxt.alias("last"), F.concat(acc["out"], F.array(shown)).alias("out"))
-
-    folded = F.aggregate(F.array_sort(F.collect_list(entry)), start, step, lambda acc: acc["out"])
-    return df.groupBy(*keys).agg(folded.alias("_s")).select(*keys, F.explode("_s").alias("_e")).select(
-        *keys, F.col("_e.o").alias(order), F.col("_e.e").alias(f"{value}_ema")
-    )
+    reach = math.ceil(46 / -math.log(1 - alpha)) if alpha < 1 else 1
+    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(-reach, 0)
+    x = F.col(value).cast("double")
+    recent = F.collect_list(x).over(window)
+    fold = F.aggregate(F.slice(recent, 2, reach), F.get(recent, F.lit(0)), lambda e, v: e * (1.0 - alpha) + v * alpha)
+    out = F.lit(None).cast("double").alias(f"{value}_ema")
+    known = df.filter(x.isNotNull()).select(*keys, order, fold.alias(f"{value}_ema"))
+    return known.unionByName(df.filter(x.isNull()).select(*keys, order, out))
 
 
 def occupancy_ema(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:

@@ -14,7 +14,7 @@ from panelkit.config import ACF_LAGS, EXPLAIN_HIST_BINS, QQ_POINTS, PanelConfig
 from panelkit.functions import columns as X
 from panelkit.operators.blocks import positions, runs
 from panelkit.operators.quantiles import (
-    bin_right_closed, is_count, quantiles, unique_edges,
+    bin_right_closed, quantiles, unique_edges,
 )
 from panelkit.operators.rows import small_side
 
@@ -115,18 +115,15 @@ def horizons_available(perf: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
 
 
 def scored(perf: DataFrame) -> DataFrame:
-    """Rows with both truth and prediction, and their residual."""
-    return perf.filter("y_true is not null and y_hat is not null").withColumn("resid", resid())
-
-
-def _bounded(perf: DataFrame) -> bool:
-    return is_count(perf, "y_true", "y_hat")
+    """Rows with finite truth and prediction, and their residual."""
+    rows = perf.filter("y_true is not null and y_hat is not null").withColumn("resid", resid())
+    return rows.filter(F.abs(F.col("resid").cast("double")) < float("inf"))
 
 
 def residual_histogram(perf: DataFrame, bins: int = CFG.hist_bins) -> DataFrame:
     """Equal-width histogram of residuals within +-p99 of their size; empty bins included."""
     used = scored(perf)
-    q = quantiles(used, [H], F.abs("resid"), [0.99], bounded=_bounded(perf), name="_q")
+    q = quantiles(used, [H], F.abs("resid"), [0.99], name="_q")
     top99 = F.col("_q")[0]
     half = q.select(H, F.when(top99 > 0, top99).otherwise(X.dbl(1)).alias("half"), F.col("n"))
     step = F.col("half") * X.dbl(2) / X.dbl(bins)
@@ -159,7 +156,7 @@ def qq_points(perf: DataFrame, m: int = QQ_POINTS) -> DataFrame:
     """m quantiles of the standardised residuals against their theoretical values."""
     used = scored(perf)
     probs = [(2 * i + 1) / (2 * m) for i in range(m)]
-    q = quantiles(used, [H], "resid", probs, bounded=_bounded(perf), name="_q").drop("n")
+    q = quantiles(used, [H], "resid", probs, name="_q").drop("n")
     stats = used.groupBy(H).agg(F.avg("resid").alias("_mu"), F.stddev_pop("resid").alias("_sd"))
     sd = F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(X.dbl(1))
     p = (F.col("i") * X.dbl(2) + X.dbl(1)) / X.dbl(2 * m)
@@ -200,13 +197,13 @@ def acf(perf: DataFrame, nlags: int = ACF_LAGS, cfg: PanelConfig = CFG, parity:
 
 def heteroscedasticity(perf: DataFrame, q: int = 20) -> DataFrame:
     """MAE per quantile bin of the truth."""
-    binned = _quantile_bins(scored(perf), "y_true", q, is_count(perf, "y_true"))
+    binned = _quantile_bins(scored(perf), "y_true", q)
     return binned.groupBy(H, "bin").agg(F.avg(F.abs("resid")).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
-def _quantile_bins(used: DataFrame, value: str, q: int, bounded: bool) -> DataFrame:
+def _quantile_bins(used: DataFrame, value: str, q: int) -> DataFrame:
     """`bin` over (a, b] quantile bins of `value`; equal edges merge."""
-    edges = quantiles(used, [H], value, [i / q for i in range(q + 1)], bounded=bounded, name="_q").select(
+    edges = quantiles(used, [H], value, [i / q for i in range(q + 1)], name="_q").select(
         H, unique_edges("_q").alias("_edges")
     )
     return (
@@ -218,21 +215,15 @@ def _quantile_bins(used: DataFrame, value: str, q: int, bounded: bool) -> DataFr
 
 
 def max_error_run(
-    perf: DataFrame, threshold: float = CFG.error_run_threshold, k: int = CFG.error_run_topk, cfg: PanelConfig = CFG
+    perf: DataFrame, threshold: float = CFG.error_run_threshold, cfg: PanelConfig = CFG
 ) -> DataFrame:
-    """Longest run of large errors per station and horizon; the k longest of each horizon."""
+    """Longest run of large errors of every station and horizon that has one."""
     used = scored(perf)
     keys = ["station_id", H]
     longest = runs(used, keys, "tbin_utc", F.abs("resid") >= threshold, cfg.bin_min, cfg.block_bins).groupBy(*keys).agg(
         F.max(F.when(F.col("state"), F.col("n"))).alias("max_run"), F.sum("n").alias("n")
     )
-    w = Window.partitionBy(H).orderBy(F.desc("max_run"), "station_id")
-    return (
-        longest.filter("max_run > 0")
-        .withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= k)
-        .drop("_rn")
-    )
+    return longest.filter("max_run > 0")
 
 
 # ---- calibration ------------------------------------------------------------------------------
@@ -249,7 +240,7 @@ def calibration_fit(perf: DataFrame, by: tuple[str, ...] = (), tz: str = CFG.tz)
 def calibration_bins(perf: DataFrame, q: int = 20) -> DataFrame:
     """Mean prediction and mean truth per quantile bin of the prediction."""
     used = perf.filter("y_hat is not null")
-    binned = _quantile_bins(used, "y_hat", q, is_count(perf, "y_hat"))
+    binned = _quantile_bins(used, "y_hat", q)
     return binned.groupBy(H, "bin").agg(
         F.avg(F.col("y_hat").cast("double")).alias("y_pred_mean"),
         F.avg(F.col("y_true").cast("double")).alias("y_true_mean"),
@@ -259,7 +250,7 @@ def calibration_bins(perf: DataFrame, q: int = 20) -> DataFrame:
 
 def relative_error_levels(perf: DataFrame, q: int = 3) -> DataFrame:
     """Mean |error| / max(1, y) per tercile of the truth."""
-    binned = _quantile_bins(scored(perf), "y_true", q, is_count(perf, "y_true"))
+    binned = _quantile_bins(scored(perf), "y_true", q)
     rel = F.abs("resid") / F.greatest(F.col("y_true").cast("double"), X.dbl(1))
     return binned.groupBy(H, F.col("bin").alias("level")).agg(
         F.avg(rel).alias("mape_like"), F.count(F.lit(1)).alias("n")
@@ -284,23 +275,26 @@ def interval_coverage(perf: DataFrame, nominal: float = CFG.nominal, tz: str = C
     used = scored(perf)
     inside = lambda lo, hi: F.avg(F.col("y_true").between(lo, hi).cast("int").cast("double")).alias("empirical")
     n = F.count(F.lit(1)).alias("n")
+    # The first kind of interval that any row has; a column of nulls is no interval.
     if {"yhat_lo", "yhat_hi"} <= set(perf.columns):
-        used = used.filter("yhat_lo is not null and yhat_hi is not null")
-        return used.groupBy(H).agg(inside(F.col("yhat_lo"), F.col("yhat_hi")), n).withColumn(
-            "method", F.lit("provided_bands")
-        )
+        banded = used.filter("yhat_lo is not null and yhat_hi is not null")
+        if not banded.isEmpty():
+            return banded.groupBy(H).agg(inside(F.col("yhat_lo"), F.col("yhat_hi")), n).withColumns(
+                {"method": F.lit("provided_bands"), "nominal": X.dbl(nominal)}
+            )
     if "yhat_std" in perf.columns:
         spread = F.col("yhat_std") * X.dbl(X.z_for_nominal(nominal))
-        used = used.filter("yhat_std is not null")
-        return used.groupBy(H).agg(inside(F.col("y_hat") - spread, F.col("y_hat") + spread), n).withColumn(
-            "method", F.lit("parametric_sigma")
-        )
+        sigma = used.filter("yhat_std is not null")
+        if not sigma.isEmpty():
+            return sigma.groupBy(H).agg(inside(F.col("y_hat") - spread, F.col("y_hat") + spread), n).withColumns(
+                {"method": F.lit("parametric_sigma"), "nominal": X.dbl(nominal)}
+            )
     tail = (1.0 - nominal) / 2.0
     hourly = used.withColumn("hour", X.local_hour("tbin_utc", tz))
-    q = quantiles(hourly, [H, "hour"], "resid", [tail, 1.0 - tail], bounded=_bounded(perf), name="_q").drop("n")
+    q = quantiles(hourly, [H, "hour"], "resid", [tail, 1.0 - tail], name="_q").drop("n")
     lo, hi = F.col("y_hat") + F.col("_q")[0], F.col("y_hat") + F.col("_q")[1]
-    return hourly.join(F.broadcast(q), [H, "hour"]).groupBy(H).agg(inside(lo, hi), n).withColumn(
-        "method", F.lit("residual_quantiles/by_hour")
+    return hourly.join(F.broadcast(q), [H, "hour"]).groupBy(H).agg(inside(lo, hi), n).withColumns(
+        {"method": F.lit("residual_quantiles/by_hour"), "nominal": X.dbl(nominal)}
     )
 
 

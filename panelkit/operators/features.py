@@ -143,14 +143,21 @@ def latest_rows(df: DataFrame, order: tuple[str, ...] = ("tbin_utc",)) -> DataFr
     return dedup_latest(df, STATION, order, unique=True)
 
 
-def recent_history(df: DataFrame, minutes: int = 60, ts: str = "tbin_utc") -> DataFrame:
-    """Rows within `minutes` of their station's last row."""
-    last = df.groupBy("station_id").agg(F.max(ts).alias("_last"))
-    return (
-        df.join(last, "station_id")
-        .filter(F.unix_timestamp("_last") - F.unix_timestamp(ts) <= minutes * 60)
-        .drop("_last")
-    )
+def last_bins(df: DataFrame, bins: int, ts: str = "tbin_utc") -> DataFrame:
+    """The last `bins` rows of each station of a clean panel: a rank limit, pruned in every map task."""
+    order = Window.partitionBy("station_id").orderBy(F.desc(ts))
+    return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= bins).drop("_rn")
+
+
+def recent_history(df: DataFrame, minutes: int = 60, ts: str = "tbin_utc", bin_min: int = 5) -> DataFrame:
+    """Rows of a clean panel within `minutes` of their station's last row, from one scan.
+
+    On the grid these are at most minutes / bin_min + 1 rows, so a rank limit comes
+    first and the time filter sees that little per station.
+    """
+    tail = last_bins(df, minutes // bin_min + 1, ts)
+    last = F.max(ts).over(Window.partitionBy("station_id"))
+    return tail.withColumn("_last", last).filter(F.unix_timestamp("_last") - F.unix_timestamp(ts) <= minutes * 60).drop("_last")
 
 
 def join_weather(df: DataFrame, weather: DataFrame, ts: str = "tbin_utc") -> DataFrame:

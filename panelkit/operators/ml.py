@@ -76,8 +76,8 @@ class ModelPack:
 
 
 def feature_frame(
-    df: DataFrame, cfg: PanelConfig = CFG, horizon_min: int | None = None, *,
-    static: DataFrame | None = None, knn: DataFrame | None = None, mapping: DataFrame | None = None, mode: str = "rows",
+    df: DataFrame, cfg: PanelConfig = CFG, horizon_min: int | None = None, *, mapping: DataFrame,
+    static: DataFrame | None = None, knn: DataFrame | None = None, mode: str = "rows",
 ) -> DataFrame:
     """All 53 features (and the target `y_nb`), the same for training and serving."""
     stations = None
@@ -110,7 +110,7 @@ def lookback(df: DataFrame, days: int, ts: str = "tbin_utc") -> DataFrame:
 
 def temporal_split(df: DataFrame, train_frac: float = 0.9, ts: str = "tbin_utc") -> DataFrame:
     """`is_valid` marks the rows after the time that holds the first `train_frac` of rows."""
-    q = quantiles(df, [], F.unix_timestamp(ts), [train_frac], bounded=True, name="_q")
+    q = quantiles(df, [], F.unix_timestamp(ts), [train_frac], name="_q")
     cut = q.select(F.col("_q")[0].alias("c")).scalar()
     return df.withColumn("is_valid", F.unix_timestamp(ts) > cut)
 
@@ -164,11 +164,11 @@ def predict(df: DataFrame, pack: ModelPack, now=None) -> DataFrame:
 def predict_latest(df: DataFrame, pack: ModelPack, cfg: PanelConfig = CFG, now=None, **parts) -> DataFrame:
     """Forecast from each station's last row, with enough history for every lag."""
     minutes = (max(*LAG_BINS, *ROLL_BINS) + 1) * cfg.bin_min
-    rows = recent_history(df, minutes)
+    rows = recent_history(df, minutes, bin_min=cfg.bin_min)
     return predict(latest_rows(feature_frame(rows, cfg, **parts)), pack, now)
 
 
-def feature_importance(spark, pack: ModelPack, k: int = 60) -> DataFrame:
+def feature_importance(spark, pack: ModelPack, k: int | None = None) -> DataFrame:
     """Gain share of each feature; one row per model input."""
     weights = pack.model.stages[-1].featureImportances.toArray().tolist()
     rows = spark.createDataFrame(list(zip(pack.features, weights)), "feature string, importance double")

@@ -262,8 +262,7 @@ def step_median(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
                      block_bins=cfg.block_bins)
     prev = F.lag("tbin_utc").over(block_window(["station_id"], "tbin_utc"))
     gaps = drop_halo(halo.withColumn("gap", X.minutes_between("tbin_utc", prev))).filter("gap > 0")
-    # Gaps are multiples of the bin: a bounded set of values.
-    q = quantiles(gaps, [], "gap", [0.5], bounded=True, name="_q")
+    q = quantiles(gaps, [], "gap", [0.5], name="_q")
     return q.agg(F.coalesce(F.max(F.col("_q")[0]), X.dbl(DEFAULT_STEP_MIN)).alias("step_min"))
 
 
@@ -363,7 +362,7 @@ def regularity(df: DataFrame, cfg: PanelConfig = CFG, ref_curves: int = 90, min_
 
 
 def station_profile(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
-    """Description, rates and 24-hour mean occupancy per station; best covered first."""
+    """Description, rates and 24-hour mean occupancy of every station with enough bins."""
     raw = F.col("occ_ratio") if "occ_ratio" in df.columns else X.occ_ratio()
     d = df.withColumns({"_occ": X.unit_interval(raw), "_h": F.hour("tbin_utc")})
     flags = {"is_penury", "is_saturation"} <= set(df.columns)
@@ -371,7 +370,7 @@ def station_profile(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
     span = df.agg((F.date_diff(F.max(day), F.min(day)) + 1).alias("d")).scalar()
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("tbin_utc"))).alias(c)
     share = lambda c: (F.avg(F.col(c).cast("double")) if flags else F.lit(None).cast("double"))
-    out = (
+    return (
         d.groupBy("station_id")
         .agg(
             F.count("_occ").alias("bins_seen"),
@@ -388,7 +387,6 @@ def station_profile(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
             F.least(F.col("bins_seen") / F.greatest(span * cfg.bins_per_day, F.lit(1)), X.dbl(1)) * HUNDRED,
         )
     )
-    return top(out, cfg.stations_max, F.desc("bins_seen"), "station_id")
 
 
 def station_distributions(profiles: DataFrame, bins: int = 20) -> DataFrame:

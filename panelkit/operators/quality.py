@@ -64,7 +64,7 @@ def panel_freshness(
     """Age of every station's last bin: p50, p95 and whether p95 meets the objective."""
     last = bins if bins is not None else df.groupBy("station_id").agg(F.max("tbin_utc").alias("last_bin"))
     # Ages sit on the grid, so there are at most as many as bins in the window.
-    q = quantiles(last, [], X.minutes_between(as_ts(now), "last_bin"), [0.5, 0.95], bounded=True, name="_q")
+    q = quantiles(last, [], X.minutes_between(as_ts(now), "last_bin"), [0.5, 0.95], name="_q")
     p50, p95 = F.col("_q")[0], F.col("_q")[1]
     return q.select(
         p50.alias("freshness_age_p50_min"),
@@ -153,8 +153,7 @@ def ingest_latency(df: DataFrame, cap_min: float | None = CFG.latency_cap_min, t
     """p50/p95 of ingestion delay in minutes, negative and capped-out delays left out."""
     lat = X.minutes_between("ingested_at", ts)
     keep = (lat >= 0) if cap_min is None else lat.between(X.dbl(0), X.dbl(cap_min))
-    # Whole seconds below a cap: a bounded set of values.
-    return quantiles(df.filter(keep), [], lat, [0.5, 0.95], bounded=cap_min is not None, name="_q").select(
+    return quantiles(df.filter(keep), [], lat, [0.5, 0.95], name="_q").select(
         F.col("_q")[0].alias("latency_p50_min"), F.col("_q")[1].alias("latency_p95_min")
     )
 
@@ -208,32 +207,40 @@ def top_anomalies(df: DataFrame, key: str, k: int = CFG.anomaly_topk, sample: fl
     return out
 
 
+# The figure that ranks each kind of anomaly.
+SEVERITY = {"flat_sequence": "duration_min", "duplicates": "dups", "missing_bins": "missing"}
+
+
 def anomalies(
-    df: DataFrame, cfg: PanelConfig = CFG, k: int | None = None, sample: float = 0.0,
-    bins: DataFrame | None = None, flats: DataFrame | None = None,
+    df: DataFrame, cfg: PanelConfig = CFG, bins: DataFrame | None = None, flats: DataFrame | None = None
 ) -> DataFrame:
-    """Flat, duplicate and missing-bin anomalies in one table."""
-    k = k or cfg.anomaly_topk
-    flats = flats if flats is not None else flat_sequences(one_per_bin(df), cfg)
-    names = last_non_null(df, ["name"], ["station_id"])
+    """All flat, duplicate and missing-bin anomalies in one table."""
     kinds = {
-        "flat_sequence": top_anomalies(flats, "duration_min", k, sample),
-        "duplicates": top_anomalies(duplicates(df, bins), "dups", k, sample),
-        "missing_bins": top_anomalies(
-            coverage_table(df, cfg, bins).select("station_id", "missing", "expected"), "missing", k, sample
-        ),
+        "flat_sequence": flats if flats is not None else flat_sequences(one_per_bin(df), cfg),
+        "duplicates": duplicates(df, bins),
+        "missing_bins": coverage_table(df, cfg, bins).select("station_id", "missing", "expected"),
     }
     out = None
     for kind, rows in kinds.items():
-        rows = rows.withColumn("type", F.lit(kind))
+        rows = rows.filter(F.col(SEVERITY[kind]) > 0).withColumn("type", F.lit(kind))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out.join(names, "station_id", "left").select(
+    return out.join(last_non_null(df, ["name"], ["station_id"]), "station_id", "left").select(
         "type", "station_id", "name", "start", "end", "steps", "duration_min", "dups", "missing", "expected"
     )
 
 
-def anomaly_counts(anomaly_rows: DataFrame) -> DataFrame:
-    return anomaly_rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+def worst_anomalies(found: DataFrame, k: int = CFG.anomaly_topk, sample: float = 0.0) -> DataFrame:
+    """The list view: the k worst of each kind."""
+    out = None
+    for kind, key in SEVERITY.items():
+        rows = top_anomalies(found.filter(F.col("type") == kind), key, k, sample)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def anomaly_counts(found: DataFrame) -> DataFrame:
+    """Number of anomalies of each kind, from the whole table."""
+    return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def panel_span(df: DataFrame) -> DataFrame:

@@ -1,30 +1,24 @@
 """Exact quantiles and quantile bins that no single task has to hold.
 
-Values are first counted (value, frequency), which spreads a hot group over the
-cluster. `bounded=True` is for domains known to be small, such as dock counts or
-grid ages: the counted values then go straight into one `percentile`.
-
-Otherwise the counts are written to the shared folder and their size is checked.
-Groups with at most `limit` distinct values still take the direct way; larger
-ones are narrowed: the value range is cut into buckets, only buckets that hold a
-wanted rank are kept, and this repeats until what is left fits. The result is
-the same either way.
+Values are first counted (value, frequency), which collapses a hot group in every
+map task. The counts are range-partitioned by group and value and written once, with
+the number of their partition. Weight sums per partition tell in which partitions the
+wanted ranks lie; only those are ranked inside. One way for every size and type, two
+passes over the counts, whatever the values; infinities are ordinary ends.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelkit.functions.columns import col, dbl
 from panelkit.session import materialize
 
-BUCKETS = 4096
-# Distinct values of one group that one task may hold: about 100 MB of counts.
-DIRECT_LIMIT = 1_000_000
-
 
 def is_count(df: DataFrame, *names: str) -> bool:
-    """True for integer columns: stock counts, whose domain is the dock count."""
+    """True for integer columns, whose sums are exact in any order."""
     ints = (T.ByteType, T.ShortType, T.IntegerType)
     return all(isinstance(df.schema[n].dataType, ints) for n in names)
 
@@ -41,92 +35,55 @@ def counted(df: DataFrame, groups: list[str], value, weight: Column | None = Non
     )
 
 
-def quantiles(
-    df: DataFrame,
-    groups: list[str],
-    value,
-    probs: list[float],
-    *,
-    bounded: bool = False,
-    name: str = "q",
-    limit: int = DIRECT_LIMIT,
-) -> DataFrame:
+def quantiles(df: DataFrame, groups: list[str], value, probs: list[float], *, name: str = "q") -> DataFrame:
     """Linear-interpolation quantiles per group: (groups, `name` array, n)."""
-    vc = counted(df, groups, value)
-    if bounded:
-        return _direct(vc, groups, probs, name)
-    return quantiles_of_counts(materialize(vc, "value-counts"), groups, probs, name=name, limit=limit)
-
-
-def quantiles_of_counts(
-    vc: DataFrame, groups: list[str], probs: list[float], *, name: str = "q", limit: int = DIRECT_LIMIT
-) -> DataFrame:
-    """The same from a written table of value counts (see `counted`)."""
-    most = vc.groupBy(*groups).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
-    if most <= limit:
-        return _direct(vc, groups, probs, name)
-    if groups:
-        return _narrowed(vc, groups, probs, name, limit)
-    return _narrowed(vc.withColumn("_all", F.lit(0)), ["_all"], probs, name, limit).drop("_all")
-
-
-def _direct(vc: DataFrame, groups: list[str], probs: list[float], name: str) -> DataFrame:
-    ps = F.array(*[dbl(p) for p in probs])
-    return vc.groupBy(*groups).agg(F.percentile("_v", ps, F.col("_w")).alias(name), F.sum("_w").alias("n"))
-
-
-def _narrowed(vc: DataFrame, keys: list[str], probs: list[float], name: str, limit: int) -> DataFrame:
-    bounds = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    totals = materialize(vc.groupBy(*keys).agg(F.sum("_w").alias("n"), *bounds), "quantile-totals")
+    return quantiles_of_counts(counted(df, groups, value), groups, probs, name=name)
+
+
+def quantiles_of_counts(vc: DataFrame, groups: list[str], probs: list[float], *, name: str = "q") -> DataFrame:
+    """The same from value counts (see `counted`)."""
+    if not groups:
+        return quantiles_of_counts(vc.withColumn("_all", F.lit(0)), ["_all"], probs, name=name).drop("_all")
+    # The partition number must not change between the two passes: the counts are written.
+    ranged = materialize(vc.repartitionByRange(*groups, "_v").withColumn("_p", F.spark_partition_id()), "value-ranks")
+    group = Window.partitionBy(*groups)
+    before = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = (
+        ranged.groupBy(*groups, "_p").agg(F.sum("_w").alias("_s"))
+        .withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+        .withColumn("n", F.sum("_s").over(group))
+    )
     at = F.transform(F.array(*[dbl(p) for p in probs]), lambda p: p * (F.col("n") - 1).cast("double"))
     ranks = F.array_distinct(F.concat(F.transform(at, lambda r: F.floor(r)), F.transform(at, lambda r: F.ceil(r))))
-    # `_want` per key: the ranks sought there, as (rank in the group, rank in the key).
-    hits = totals.select(
-        *keys, "_lo", "_hi", F.transform(ranks, lambda k: F.struct(k.alias("k"), k.alias("r"))).alias("_want")
+    wanted = (
+        sums.withColumn("_want", _inside(ranks, F.col("_base"), F.col("_base") + F.col("_s")))
+        .filter(F.size("_want") > 0)
+        .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*groups, "_p"))], "_base", "_want", "n")
     )
-    level, cur, most = list(keys), vc, limit + 1
-    while most > limit:
-        b = f"_b{len(level)}"
-        frac = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-        bucket = F.least(F.coalesce(F.floor(frac * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
-        cut = cur.join(hits.select(*level, "_lo", "_hi"), level).withColumn(b, bucket).drop("_lo", "_hi")
-        upto = Window.partitionBy(*level).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        # At most BUCKETS rows per key enter this running sum.
-        hist = (
-            cut.groupBy(*level, b)
-            .agg(F.sum("_w").alias("_c"), F.count(F.lit(1)).alias("_m"), *bounds)
-            .withColumn("_cum", F.sum("_c").over(upto))
-            .withColumn("_base", F.col("_cum") - F.col("_c"))
-        )
-        found = (
-            hist.join(hits.select(*level, "_want"), level)
-            .withColumn("_want", _inside("_want", F.col("_base"), F.col("_cum")))
-            .filter(F.size("_want") > 0)
-            .withColumn("_want", F.transform(
-                "_want", lambda t: F.struct(t["k"].alias("k"), (t["r"] - F.col("_base")).alias("r"))))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate((*groups, "_p"))])
+    order = Window.partitionBy(*groups, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (
+        ranged.join(wanted, same)
+        .withColumn("_upto", F.col("_base") + F.sum("_w").over(order))
+        .withColumn("_hit", _inside(F.col("_want"), F.col("_upto") - F.col("_w"), F.col("_upto")))
+        .filter(F.size("_hit") > 0)
+        .groupBy(*groups)
+        .agg(
+            F.map_from_entries(F.flatten(F.collect_list(
+                F.transform("_hit", lambda r: F.struct(r.alias("r"), F.col("_v").alias("v")))))).alias("_map"),
+            F.first("n").alias("n"),
         )
-        level = level + [b]
-        hits = materialize(found.select(*level, "_want", "_lo", "_hi", "_m"), "quantile-buckets")
-        cur = materialize(cut.join(hits.select(*level), level, "left_semi"), "quantile-values")
-        most = hits.agg(F.max("_m")).first()[0] or 0
-
-    order = Window.partitionBy(*level).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = (
-        cur.withColumn("_cum", F.sum("_w").over(order))
-        .join(hits.select(*level, "_want"), level)
-        .withColumn("_hit", F.explode(_inside("_want", F.col("_cum") - F.col("_w"), F.col("_cum"))))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("_hit.k"), F.col("_v")))).alias("_map"))
-    )
-    lo = lambda r: F.element_at(F.col("_map"), F.floor(r))
-    hi = lambda r: F.element_at(F.col("_map"), F.ceil(r))
-    return values.join(totals, keys).select(
-        *keys, F.transform(at, lambda r: lo(r) + (hi(r) - lo(r)) * (r - F.floor(r))).alias(name), "n"
     )
 
+    def between(r: Column) -> Column:
+        lo, hi = F.element_at(F.col("_map"), F.floor(r)), F.element_at(F.col("_map"), F.ceil(r))
+        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (r - F.floor(r)))
+
+    return found.select(*groups, F.transform(at, between).alias(name), "n")
+
 
-def _inside(want: str, lo: Column, hi: Column) -> Column:
-    return F.filter(F.col(want), lambda t: (t["r"] >= lo) & (t["r"] < hi))
+def _inside(ranks: Column, lo: Column, hi: Column) -> Column:
+    return F.filter(ranks, lambda r: (r >= lo) & (r < hi))
 
 
 def unique_edges(q) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from panelkit.session import materialize
 
 
 def combine(*frames: DataFrame) -> DataFrame:
@@ -32,6 +34,20 @@ def top(df: DataFrame, k: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def running_sum(df: DataFrame, value: str, name: str, order: list) -> DataFrame:
+    """`df` with the running sum of `value` in a total order, in two levels: no task holds all rows.
+
+    Rows are range-partitioned and written with their partition's number; partition
+    totals are summed up (one row per partition), rows only within their partition.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "running-sum")
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_p").agg(F.sum(value).alias("_s")).select(
+        "_p", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranged.join(starts, "_p").withColumn(name, F.col("_base") + F.sum(value).over(inside)).drop("_p", "_base")
+
+
 def hours(spark) -> DataFrame:
     """The 24 hours of a day."""
     return spark.range(24).select(F.col("id").cast("int").alias("hour"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelkit.functions import columns as X
-from panelkit.operators.rows import top
+from panelkit.operators.rows import running_sum, top
+from panelkit.session import materialize
 
 MIN_N = 30
 
@@ -22,13 +23,19 @@ def _matches(term: str, *cols: str) -> Column:
 
 
 def lift_extremes(by_station: DataFrame, k: int = 20, min_n: int = MIN_N) -> DataFrame:
-    """The k best and k worst stations by lift; a missing lift ranks lowest."""
+    """The k best and k worst stations of each horizon by lift; a missing lift ranks lowest."""
     ok = by_station.filter(F.col("n") >= min_n)
-    best = top(ok, k, F.desc_nulls_last("lift_vs_baseline"), "station_id").withColumn("side", F.lit("top"))
-    worst = top(ok, k, F.asc_nulls_first("lift_vs_baseline"), "station_id").withColumn("side", F.lit("bottom"))
+    best = _ranked(ok, k, F.desc_nulls_last("lift_vs_baseline")).withColumn("side", F.lit("top"))
+    worst = _ranked(ok, k, F.asc_nulls_first("lift_vs_baseline")).withColumn("side", F.lit("bottom"))
     return best.unionByName(worst)
 
 
+def _ranked(rows: DataFrame, k: int, order: Column) -> DataFrame:
+    """The first k rows of each horizon; a rank limit, pruned in every map task."""
+    w = Window.partitionBy("horizon_bins").orderBy(order, "station_id")
+    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+
 def top_tension_rates(rates: DataFrame, k: int = 20) -> DataFrame:
     """Top k by penury and top k by saturation, in percent."""
     parts = []
@@ -45,7 +52,7 @@ def worst_coverage(health: DataFrame, k: int = 50, term: str = "") -> DataFrame:
 
 def top_bias(bias: DataFrame, k: int = 160, min_n: int = MIN_N) -> DataFrame:
     rows = bias.filter(F.col("n") >= min_n).withColumn("abs_bias", F.abs(F.coalesce("bias", X.dbl(0))))
-    return top(rows, k, F.desc("abs_bias"), "station_id")
+    return _ranked(rows, k, F.desc("abs_bias"))
 
 
 def top_tension(tension: DataFrame, k: int = 200, term: str = "") -> DataFrame:
@@ -68,16 +75,21 @@ def latest_time(df: DataFrame, first: str, fallback: str | None = None) -> DataF
 
 
 def importance_share(rows: DataFrame, k: int | None = None) -> DataFrame:
-    """Share and running share (percent) by descending importance; one row per model input."""
+    """Share and running share (percent) by descending importance."""
     positive = F.greatest(F.col("importance"), X.dbl(0))
     total = rows.agg(F.sum(positive)).scalar()
-    order = Window.orderBy(F.desc("importance"), "feature").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.filter("importance is not null").withColumn(
+    shares = rows.filter("importance is not null").withColumn(
         "share", F.coalesce(F.try_divide(F.col("importance"), total) * 100.0, X.dbl(0))
-    ).withColumn("cum", F.sum("share").over(order))
+    )
+    out = running_sum(shares, "share", "cum", [F.desc("importance"), F.asc("feature")])
     return top(out, k, F.desc("importance"), "feature") if k else out
 
 
+def top_error_runs(runs: DataFrame, k: int) -> DataFrame:
+    """The k longest error runs of each horizon."""
+    return _ranked(runs, k, F.desc("max_run"))
+
+
 def error_run_map(runs: DataFrame, stations: DataFrame, min_n: int = MIN_N) -> DataFrame:
     """Longest error run per located station, and whether it reaches the upper median."""
     per = (
@@ -107,10 +119,13 @@ def forecast_map_view(stations: DataFrame, forecast: DataFrame) -> DataFrame:
 
 
 def forecast_lookup(forecast: DataFrame, horizon_min: int, station_ids: DataFrame | list[str] | None = None) -> DataFrame:
-    """Rows of one horizon, optionally of some stations; an unknown horizon fails."""
-    if forecast.filter(F.col("horizon_min") == horizon_min).isEmpty():
+    """Rows of one horizon, optionally of some stations; an unknown horizon fails.
+
+    The forecast is written once, so that testing for the horizon doesn't run it again.
+    """
+    rows = materialize(forecast.filter(F.col("horizon_min") == horizon_min), "forecast")
+    if rows.isEmpty():
         raise ValueError(f"no forecast for a horizon of {horizon_min} min")
-    rows = forecast.filter(F.col("horizon_min") == horizon_min)
     if station_ids is None:
         return rows
     if isinstance(station_ids, DataFrame):

@@ -13,7 +13,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from panelkit.config import PanelConfig
+from panelkit.config import LAG_BINS, ROLL_BINS, PanelConfig
 from panelkit.functions import columns as X
 from panelkit.operators import clean, drift, evaluate, features, network, quality, spatial, views
 from panelkit.operators.quantiles import quantiles
@@ -163,7 +163,8 @@ def local_days_window(s, d):
 @query
 def enriched_events(s, d):
     """Occupancy, stock flags, status code and clock columns on the panel."""
-    e = clean.enrich_events(clean.enforce_schema(panel(s, d)), CFG)
+    rows = clean.enforce_schema(panel(s, d))
+    e = clean.enrich_events(rows, clean.status_mapping(rows), CFG)
     return e.select("station_id", "tbin_utc", "occ_ratio", "is_penury", "is_saturation", "status_code", "h", "min")
 
 
@@ -319,7 +320,8 @@ def lead_target(s, d):
 @query
 def latest_features(s, d):
     """One serving row per station: last row with its history features."""
-    f = features.latest_rows(features.history_features(weathered(s, d), CFG))
+    tail = features.last_bins(panel(s, d), max(*LAG_BINS, *ROLL_BINS) + 1)
+    f = features.latest_rows(features.history_features(features.join_weather(tail, A.weather(s, d)), CFG))
     return f.select("station_id", "tbin_utc", "bikes", "occ_ratio", "lag_bikes_1", "lag_bikes_12", "roll_mean_6",
                     "roll_std_12", "trend_nb_12b", "temp_C_lag1")
 
@@ -327,7 +329,7 @@ def latest_features(s, d):
 @query
 def recent_history(s, d):
     """Rows within two days of each station's last row."""
-    return features.recent_history(panel(s, d), 2880).select("station_id", "tbin_utc", "bikes")
+    return features.recent_history(panel(s, d), 2880, bin_min=CFG.bin_min).select("station_id", "tbin_utc", "bikes")
 
 
 @query
@@ -451,14 +453,14 @@ def anomalies(s, d):
     """Flat, duplicate and missing-bin anomalies, the worst 100 of each kind."""
     cfg = PanelConfig(bin_min=360, block_bins=64, flat_steps=2)
     p = health(s, d)
-    return quality.anomalies(p, cfg, k=100).select("type", "station_id", "steps", "dups", "missing", "expected")
+    return quality.worst_anomalies(quality.anomalies(p, cfg), 100).select("type", "station_id", "steps", "dups", "missing", "expected")
 
 
 @query
 def anomaly_counts(s, d):
     """Number of anomalies per kind."""
     cfg = PanelConfig(bin_min=360, block_bins=64, flat_steps=2)
-    return quality.anomaly_counts(quality.anomalies(health(s, d), cfg, k=100))
+    return quality.anomaly_counts(quality.anomalies(health(s, d), cfg))
 
 
 @query
@@ -731,9 +733,9 @@ def lift_curve(s, d):
 
 @query
 def lift_extremes(s, d):
-    """The 20 best and worst stations by lift at one bin."""
-    by = evaluate.performance(perf(s, d).filter("horizon_bins = 1"), ("station_id",), CFG.tz)
-    return views.lift_extremes(by).select("side", "station_id", "lift_vs_baseline", "n")
+    """The 20 best and worst stations of each horizon by lift."""
+    by = evaluate.performance(perf(s, d), ("station_id",), CFG.tz)
+    return views.lift_extremes(by).select("side", "horizon_bins", "station_id", "lift_vs_baseline", "n")
 
 
 @query
@@ -757,19 +759,19 @@ def residual_histogram_float(s, d):
 @query
 def qq_points(s, d):
     """Residual quantiles against the normal."""
-    return evaluate.qq_points(perf(s, d), 101)
+    return evaluate.qq_points(perf(s, d))
 
 
 @query
 def residual_acf(s, d):
     """Autocorrelation of the mean residual, published pair range."""
-    return evaluate.acf(perf(s, d), 24, CFG)
+    return evaluate.acf(perf(s, d), cfg=CFG)
 
 
 @query
 def residual_acf_standard(s, d):
     """Autocorrelation of the mean residual, usual estimator."""
-    return evaluate.acf(perf(s, d), 24, CFG, parity=False)
+    return evaluate.acf(perf(s, d), cfg=CFG, parity=False)
 
 
 @query
@@ -780,7 +782,7 @@ def heteroscedasticity(s, d):
 
 @query
 def max_error_run(s, d):
-    """Longest run of large errors per station, top 64 of each horizon."""
+    """Longest run of large errors per station and horizon."""
     return evaluate.max_error_run(perf(s, d), cfg=CFG)
 
 
@@ -824,9 +826,8 @@ def bias_by_station(s, d):
 
 @query
 def top_bias(s, d):
-    """The 160 largest biases among stations with 30 rows, one bin ahead."""
-    b = evaluate.bias_by_station(perf(s, d).filter("horizon_bins = 1"))
-    return views.top_bias(b).select("station_id", "abs_bias", "n")
+    """The 160 largest biases of each horizon among stations with 30 rows."""
+    return views.top_bias(evaluate.bias_by_station(perf(s, d))).select("horizon_bins", "station_id", "abs_bias", "n")
 
 
 @query
@@ -837,11 +838,15 @@ def interval_coverage(s, d):
 
 @query
 def interval_coverage_bands(s, d):
-    """Coverage of given bands and of sigma bands."""
+    """Coverage of given bands, of sigma bands, and of residual quantiles where both columns are empty."""
     p = perf(s, d)
     bands = p.withColumns({"yhat_lo": F.col("y_hat") - 5.0, "yhat_hi": F.col("y_hat") + 5.0})
     sigma = p.withColumn("yhat_std", F.lit(4.0))
-    return evaluate.interval_coverage(bands).unionByName(evaluate.interval_coverage(sigma, 0.92))
+    none = p.withColumns({c: F.lit(None).cast("double") for c in ("yhat_lo", "yhat_hi", "yhat_std")})
+    return (
+        evaluate.interval_coverage(bands).unionByName(evaluate.interval_coverage(sigma, 0.92))
+        .unionByName(evaluate.interval_coverage(none, 0.9, CFG.tz))
+    )
 
 
 @query

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelkit.config import PanelConfig
 from panelkit.functions import columns as X
-from panelkit.operators import clean, drift, evaluate, features, ml, network, quality
+from panelkit.operators import clean, drift, evaluate, features, ml, network, quality, views
 from panelkit.operators.rows import combine
 from panelkit.session import materialize
 from panelkit.sources.tables import manifest, write_document
@@ -21,10 +21,10 @@ from panelkit.sources.tables import manifest, write_document
 Report = dict[str, DataFrame]
 
 
-def build_events(panel: DataFrame, day: date, cfg: PanelConfig = PanelConfig(), mapping: DataFrame | None = None) -> DataFrame:
+def build_events(panel: DataFrame, day: date, mapping: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFrame:
     """Enriched rows of one day, cleaned together with the tail of the day before."""
     rows = clean.clean_panel(clean.prev_day_tail(panel, day), cfg)
-    return clean.day_only(clean.enrich_events(rows, cfg, mapping), day)
+    return clean.day_only(clean.enrich_events(rows, mapping, cfg), day)
 
 
 def build_perf(
@@ -81,7 +81,7 @@ def data_health(df: DataFrame, now: datetime, cfg: PanelConfig = PanelConfig())
         "station_health": quality.station_health(window, cfg, bins),
         "coverage_by_hour": quality.coverage_by_hour(window, cfg),
         "alerts": quality.health_alerts(kpis, cfg),
-        "anomalies": found,
+        "anomalies": quality.worst_anomalies(found, cfg.anomaly_topk),
         "anomaly_counts": quality.anomaly_counts(found),
     }
 
@@ -135,7 +135,7 @@ def model_explainability(
         "qq": evaluate.qq_points(p),
         "acf": evaluate.acf(p, cfg=cfg),
         "hetero": evaluate.heteroscedasticity(p),
-        "error_runs": evaluate.max_error_run(p, cfg.error_run_threshold, cfg.error_run_topk, cfg),
+        "error_runs": views.top_error_runs(evaluate.max_error_run(p, cfg.error_run_threshold, cfg), cfg.error_run_topk),
         "calibration_fit": evaluate.calibration_fit(p),
         "calibration_by_hour": evaluate.calibration_fit(p, ("hour",), cfg.tz),
         "calibration_bins": evaluate.calibration_bins(p),

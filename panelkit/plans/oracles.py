@@ -99,7 +99,7 @@ sql("resolve_columns", RAW, f"""
 SELECT station_id, {I('sum(bikes)', 'bikes')}, {I('max(capacity)', 'capacity')}, {T('max(ingested_at)', 'ingested_at')},
   {T('min(tbin_utc)', 'tbin_utc')} FROM raw GROUP BY station_id""")
 
-sql("repair_grid", "", f"SELECT event_id, {T(chr(116) + 'ime_bucket(INTERVAL ' + chr(39) + '5 minutes' + chr(39) + ', ts)', 'tbin_utc')} FROM events")
+sql("repair_grid", "", f"""SELECT event_id, {T("time_bucket(INTERVAL '5 minutes', ts)", 'tbin_utc')} FROM events""")
 
 sql("dedup_latest", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, {T('ts_utc', 'ts_utc')}, event_id, {I('bikes', 'bikes')}, status FROM panel")
 
@@ -498,11 +498,13 @@ sql("lift_curve", CUTS, f"""
 SELECT {I('horizon_bins', 'horizon_bins')}, date, {LIFT} FROM cut GROUP BY horizon_bins, date
 QUALIFY row_number() OVER (PARTITION BY cut.horizon_bins ORDER BY date DESC) <= 10""")
 
-EXTR = PERF + f""", ls AS (SELECT station_id, CASE WHEN avg(abs({E_B})) <> 0 THEN (avg(abs({E_B})) - avg(abs({E_M}))) / avg(abs({E_B})) END AS l,
-  count(*) AS n FROM perf WHERE horizon_bins = 1 GROUP BY 1 HAVING count(*) >= 30)"""
+EXTR = PERF + f""", ls AS (SELECT horizon_bins, station_id, CASE WHEN avg(abs({E_B})) <> 0 THEN (avg(abs({E_B})) - avg(abs({E_M}))) / avg(abs({E_B})) END AS l,
+  count(*) AS n FROM perf GROUP BY 1, 2 HAVING count(*) >= 30)"""
 sql("lift_extremes", EXTR, f"""
-SELECT * FROM (SELECT 'top' AS side, station_id, {R('l', 'lift_vs_baseline')}, n FROM ls ORDER BY l DESC NULLS LAST, station_id LIMIT 20) UNION ALL
-SELECT * FROM (SELECT 'bottom', station_id, {R('l', 'lift_vs_baseline')}, n FROM ls ORDER BY l ASC NULLS FIRST, station_id LIMIT 20)""")
+SELECT * FROM (SELECT 'top' AS side, {I('horizon_bins', 'horizon_bins')}, station_id, {R('l', 'lift_vs_baseline')}, n FROM ls
+  QUALIFY row_number() OVER (PARTITION BY ls.horizon_bins ORDER BY l DESC NULLS LAST, station_id) <= 20) UNION ALL
+SELECT * FROM (SELECT 'bottom', {I('horizon_bins', 'horizon_bins')}, station_id, {R('l', 'lift_vs_baseline')}, n FROM ls
+  QUALIFY row_number() OVER (PARTITION BY ls.horizon_bins ORDER BY l ASC NULLS FIRST, station_id) <= 20)""")
 
 sql("horizons_available", PERF, f"SELECT DISTINCT {I('horizon_bins', 'horizon_bins')} FROM perf WHERE horizon_bins IN (1, 2, 12)")
 
@@ -520,7 +522,7 @@ HIST = f"SELECT {I('horizon_bins', 'horizon_bins')}, {I('bin', 'bin')}, {R('lo',
 sql("residual_histogram", PERF + hist("used", 40), HIST)
 sql("residual_histogram_float", PERF + hist("usedf", 60), HIST)
 
-M_QQ = 101
+M_QQ = 512
 PROBS = "[" + ", ".join(f"CAST({2 * i + 1} AS DOUBLE) / {2 * M_QQ}" for i in range(M_QQ)) + "]"
 sql("qq_points", PERF + f""", q AS (SELECT horizon_bins, quantile_cont(CAST(resid AS DOUBLE), {PROBS}) AS qs, avg(resid) AS mu, stddev_pop(resid) AS sd FROM used GROUP BY 1),
  p AS (SELECT horizon_bins, i, (qs[i + 1] - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS emp,
@@ -537,7 +539,7 @@ ACF = PERF + """, s AS (SELECT horizon_bins, tbin_utc, avg(resid) AS r FROM used
 def acf(limit: str) -> str:
     return f"""SELECT {I('d.horizon_bins', 'horizon_bins')}, {I('k', 'lag')},
   {R('CASE WHEN k = 0 THEN 1 ELSE coalesce(sum(a.x * b.x), 0) / any_value(d.d) END', 'acf')}
-FROM d CROSS JOIN range(25) l(k) LEFT JOIN x a ON a.horizon_bins = d.horizon_bins AND a.i >= k {limit}
+FROM d CROSS JOIN range(145) l(k) LEFT JOIN x a ON a.horizon_bins = d.horizon_bins AND a.i >= k {limit}
 LEFT JOIN x b ON b.horizon_bins = a.horizon_bins AND b.i = a.i - k GROUP BY d.horizon_bins, k"""
 
 
@@ -559,7 +561,7 @@ RUNS = PERF + """, f AS (SELECT station_id, horizon_bins, tbin_utc, abs(resid) >
    - row_number() OVER (PARTITION BY station_id, horizon_bins, big ORDER BY tbin_utc) AS g FROM f),
  r AS (SELECT station_id, horizon_bins, big, count(*) AS n FROM g GROUP BY station_id, horizon_bins, big, g),
  m AS (SELECT station_id, horizon_bins, max(n) FILTER (WHERE big) AS max_run, sum(n) AS n FROM r GROUP BY 1, 2),
- top AS (SELECT * FROM m WHERE max_run > 0 QUALIFY row_number() OVER (PARTITION BY horizon_bins ORDER BY max_run DESC, station_id) <= 64)"""
+ top AS (SELECT * FROM m WHERE max_run > 0)"""
 sql("max_error_run", RUNS, f"SELECT station_id, {I('horizon_bins', 'horizon_bins')}, {I('max_run', 'max_run')}, {I('n', 'n')} FROM top")
 sql("error_run_map", RUNS + """, per AS (SELECT station_id, max(max_run) AS max_run, sum(n) AS n FROM top GROUP BY 1 HAVING sum(n) >= 30),
  med AS (SELECT list_sort(list(max_run))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS m FROM per),
@@ -583,20 +585,23 @@ BIAS = PERF + """, bs AS (SELECT horizon_bins, station_id, avg(y_true - y_pred_i
   arg_max(name, tbin_utc) FILTER (WHERE name IS NOT NULL) AS name FROM perf WHERE y_pred_int IS NOT NULL GROUP BY 1, 2)"""
 sql("bias_by_station", BIAS, f"SELECT {I('horizon_bins', 'horizon_bins')}, station_id, {R('bias', 'bias')}, n, {R('lat', 'lat')}, {R('lon', 'lon')}, name FROM bs")
 sql("top_bias", BIAS, f"""
-SELECT station_id, {R('abs(coalesce(bias, 0))', 'abs_bias')}, n FROM bs WHERE n >= 30 AND horizon_bins = 1
-ORDER BY abs(coalesce(bias, 0)) DESC, station_id LIMIT 160""")
+SELECT {I('horizon_bins', 'horizon_bins')}, station_id, {R('abs(coalesce(bias, 0))', 'abs_bias')}, n FROM bs WHERE n >= 30
+QUALIFY row_number() OVER (PARTITION BY bs.horizon_bins ORDER BY abs(coalesce(bias, 0)) DESC, station_id) <= 160""")
 
-sql("interval_coverage", PERF + f""", hr AS (SELECT *, hour({LOC}) AS hr FROM used),
- q AS (SELECT horizon_bins, hr, quantile_cont(CAST(resid AS DOUBLE), (1.0 - 0.9) / 2) AS lo, quantile_cont(CAST(resid AS DOUBLE), 1 - (1.0 - 0.9) / 2) AS hi FROM hr GROUP BY 1, 2)""", f"""
+COVER = PERF + f""", hr AS (SELECT *, hour({LOC}) AS hr FROM used),
+ q AS (SELECT horizon_bins, hr, quantile_cont(CAST(resid AS DOUBLE), (1.0 - 0.9) / 2) AS lo, quantile_cont(CAST(resid AS DOUBLE), 1 - (1.0 - 0.9) / 2) AS hi FROM hr GROUP BY 1, 2)"""
+sql("interval_coverage", COVER, f"""
 SELECT {I('horizon_bins', 'horizon_bins')}, {R('avg(CASE WHEN y_true BETWEEN y_pred_int + lo AND y_pred_int + hi THEN 1.0 ELSE 0.0 END)', 'empirical')},
-  count(*) AS n, 'residual_quantiles/by_hour' AS method FROM hr JOIN q USING (horizon_bins, hr) GROUP BY horizon_bins""")
+  count(*) AS n, 'residual_quantiles/by_hour' AS method, 0.9 AS nominal FROM hr JOIN q USING (horizon_bins, hr) GROUP BY horizon_bins""")
 
 Z92 = "(1.64485 + (0.92 - 0.90) / (0.95 - 0.90) * (1.95996 - 1.64485))"
-sql("interval_coverage_bands", PERF, f"""
-SELECT {I('horizon_bins', 'horizon_bins')}, {R('avg(CASE WHEN abs(resid) <= 5 THEN 1.0 ELSE 0.0 END)', 'empirical')}, count(*) AS n, 'provided_bands' AS method
+sql("interval_coverage_bands", COVER, f"""
+SELECT {I('horizon_bins', 'horizon_bins')}, {R('avg(CASE WHEN abs(resid) <= 5 THEN 1.0 ELSE 0.0 END)', 'empirical')}, count(*) AS n, 'provided_bands' AS method, 0.9 AS nominal
 FROM used GROUP BY horizon_bins UNION ALL
-SELECT {I('horizon_bins', 'horizon_bins')}, {R(f'avg(CASE WHEN abs(resid) <= 4 * {Z92} THEN 1.0 ELSE 0.0 END)', 'empirical')}, count(*) AS n, 'parametric_sigma'
-FROM used GROUP BY horizon_bins""")
+SELECT {I('horizon_bins', 'horizon_bins')}, {R(f'avg(CASE WHEN abs(resid) <= 4 * {Z92} THEN 1.0 ELSE 0.0 END)', 'empirical')}, count(*) AS n, 'parametric_sigma', 0.92
+FROM used GROUP BY horizon_bins UNION ALL
+SELECT {I('horizon_bins', 'horizon_bins')}, {R('avg(CASE WHEN y_true BETWEEN y_pred_int + lo AND y_pred_int + hi THEN 1.0 ELSE 0.0 END)', 'empirical')},
+  count(*) AS n, 'residual_quantiles/by_hour', 0.9 FROM hr JOIN q USING (horizon_bins, hr) GROUP BY horizon_bins""")
 
 sql("station_timeseries", PERF + """, win AS (SELECT * FROM perf WHERE tbin_utc < (SELECT date_trunc('hour', max(tbin_utc)) FROM perf)
    AND tbin_utc >= (SELECT date_trunc('hour', max(tbin_utc)) FROM perf) - INTERVAL '240 hours'),
@@ -690,7 +695,10 @@ ANOM = HEALTH + flat("hd", 2).replace(", fl AS", ", hd AS (SELECT * FROM h QUALI
    SELECT * FROM (SELECT 'duplicates', station_id, NULL, nrows - obs, NULL, NULL FROM st WHERE nrows > obs ORDER BY nrows - obs DESC, station_id LIMIT 100) UNION ALL
    SELECT * FROM (SELECT 'missing_bins', station_id, NULL, NULL, missing, expected FROM cov WHERE missing > 0 ORDER BY missing DESC, station_id LIMIT 100))"""
 sql("anomalies", ANOM, f"SELECT type, station_id, {I('steps', 'steps')}, {I('dups', 'dups')}, {I('missing', 'missing')}, {I('expected', 'expected')} FROM an")
-sql("anomaly_counts", ANOM, "SELECT type, count(*) AS n FROM an GROUP BY 1")
+sql("anomaly_counts", ANOM, """
+SELECT 'flat_sequence' AS type, count(*) AS n FROM flats HAVING count(*) > 0 UNION ALL
+SELECT 'duplicates', count(*) FROM st WHERE nrows > obs HAVING count(*) > 0 UNION ALL
+SELECT 'missing_bins', count(*) FROM cov WHERE missing > 0 HAVING count(*) > 0""")
 
 KPIS = PA + flat("hd", 6).replace(", fl AS", ", hd AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY station_id, tbin_utc ORDER BY ts_utc DESC, event_id DESC) = 1), fl AS") + """,
  fr AS (SELECT (epoch(TIMESTAMP '2024-01-30 18:00:00') - epoch(last_bin)) / 60.0 AS age FROM st),

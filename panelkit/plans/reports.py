@@ -93,7 +93,11 @@ def json_records(s, d):
 
 def _bronze(s, d) -> str:
     path = work_path(s, "bronze")
-    tables.write_bronze(clean.enforce_schema(C.raw(s, d)), path)
+    rows = clean.enforce_schema(C.raw(s, d))
+    # Some rows arrive without a bin, some off the grid.
+    bin_ = F.when(F.pmod(F.unix_timestamp("ts_utc"), F.lit(7)) == 0, None).when(
+        F.pmod(F.unix_timestamp("ts_utc"), F.lit(5)) == 0, F.col("ts_utc")).otherwise(F.col("tbin_utc"))
+    tables.write_bronze(rows.withColumn("tbin_utc", bin_), path, CFG.bin_min)
     return path
 
 
@@ -110,7 +114,7 @@ def daily_compaction(s, d):
     """One day of bronze compacted, written and read back."""
     bronze = tables.read_panel(s, _bronze(s, d), partitions=("date", "hour")).withColumn("date", F.to_date("tbin_utc"))
     path = work_path(s, "daily")
-    tables.write_daily(tables.compact_daily(bronze, C.DAY, CFG), path)
+    tables.write_daily(tables.compact_daily(bronze, C.DAY, CFG), path, single_day=True)
     return tables.read_days(s, path, C.DAY, C.DAY).select("station_id", "tbin_utc", "ts_utc", "status")
 
 
@@ -385,7 +389,7 @@ def _sizes(s, report: compose.Report) -> DataFrame:
 def day_events(s, d):
     """Enriched rows of one day, with codes from the whole panel."""
     p = C.panel(s, d)
-    e = compose.build_events(p, C.DAY, CFG, clean.status_mapping(p))
+    e = compose.build_events(p, C.DAY, clean.status_mapping(p), CFG)
     return e.select("station_id", "tbin_utc", "bikes", "occ_ratio", "is_penury", "is_saturation", "status_code", "h", "min")
 
 

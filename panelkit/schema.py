@@ -53,10 +53,10 @@ ALIASES = {
     "lon": ("lon", "lng", "longitude"),
     "is_penury": ("is_penury", "penury", "pen"),
     "is_saturation": ("is_saturation", "saturation", "sat"),
-    "y_true": ("y_true",),
-    "y_pred_int": ("y_pred_int",),
-    "y_pred": ("y_pred", "yhat", "prediction", "pred"),
-    "y_baseline_persist": ("y_baseline_persist", "y_baseline", "baseline"),
+    "y_true": ("y_true", "y", "target", "bikes_true", "nb_velos_bin"),
+    "y_pred_int": ("y_pred_int", "bikes_pred_int"),
+    "y_pred": ("y_pred", "yhat", "prediction", "pred", "bikes_pred"),
+    "y_baseline_persist": ("y_baseline_persist", "y_pred_baseline", "baseline", "persist", "y_baseline"),
     "yhat_lo": ("yhat_lo", "y_pred_lo", "y_pred_lower", "pred_lo", "pi_lo", "lo", "lower"),
     "yhat_hi": ("yhat_hi", "y_pred_hi", "y_pred_upper", "pred_hi", "pi_hi", "hi", "upper"),
     "yhat_std": ("yhat_std", "pred_std", "sigma", "std_pred"),

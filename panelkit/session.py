@@ -39,10 +39,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors see: the cluster's `spark.checkpoint.dir`.
 
-    Only where the cluster names none (local tests) a temporary folder is set.
+    A temporary folder stands in for it in local mode only; on a cluster each
+    machine would write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set: {master} needs a folder that all executors share")
         root = tempfile.mkdtemp(prefix="panelkit-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

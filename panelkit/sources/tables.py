@@ -11,7 +11,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from panelkit.config import PanelConfig
-from panelkit.operators.clean import KEYS, assert_single_day, clean_panel, window_filter
+from panelkit.operators.clean import KEYS, assert_single_day, clean_panel, repair_grid, window_filter
 from panelkit.schema import PANEL_SCHEMA, enforce_schema, null_floats
 
 PART_DATE = T.StructField("date", T.DateType())
@@ -23,10 +23,10 @@ def with_partitions(df: DataFrame, hour: bool = False) -> DataFrame:
     return out.withColumn("hour", F.hour("tbin_utc")) if hour else out
 
 
-def write_bronze(df: DataFrame, path: str) -> None:
-    """Append snapshots below date=/hour=; an hour with much data is split over several tasks."""
+def write_bronze(df: DataFrame, path: str, bin_min: int = PanelConfig().bin_min) -> None:
+    """Append snapshots below date=/hour= of the repaired bin; an hour with much data is split over several tasks."""
     (
-        with_partitions(df, hour=True)
+        with_partitions(repair_grid(df, bin_min), hour=True)
         .hint("rebalance", "date", "hour")
         .sortWithinPartitions("date", "hour", *KEYS[::-1])
         .write.mode("append")
@@ -37,17 +37,18 @@ def write_bronze(df: DataFrame, path: str) -> None:
 
 def read_panel(
     spark: SparkSession, path: str, start=None, end=None, *, bounds: str = "[)",
-    schema: T.StructType = PANEL_SCHEMA, partitions: tuple[str, ...] = (),
+    schema: T.StructType = PANEL_SCHEMA, partitions: tuple[str, ...] = (), skip_unreadable: bool = False,
 ) -> DataFrame:
-    """Panel rows in [start, end); absent columns are null, unreadable files are skipped.
+    """Panel rows in [start, end); absent columns are null.
 
     `partitions` names the table's partition columns ("date", "hour"): the
-    window then prunes folders before any file is opened.
+    window then prunes folders before any file is opened. An unreadable file
+    fails the read unless `skip_unreadable`; `files_without_rows` lists such files.
     """
     extra = [f for f in (PART_DATE, PART_HOUR) if f.name in partitions]
     df = (
         spark.read.schema(T.StructType([*schema.fields, *extra]))
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", skip_unreadable)
         .option("recursiveFileLookup", not extra)
         .parquet(path)
     )
@@ -55,6 +56,17 @@ def read_panel(
     return window_filter(df, "tbin_utc", start, end, bounds).select(*schema.fieldNames())
 
 
+def files_without_rows(spark: SparkSession, path: str, schema: T.StructType = PANEL_SCHEMA) -> DataFrame:
+    """(path) of the files below `path` that give no row: unreadable or empty ones."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    some = (
+        spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path)
+        .select(F.col("_metadata.file_path").alias("path")).distinct()
+    )
+    name = lambda c: F.regexp_replace(c, "^file:/+", "/").alias("path")
+    return every.select(name("path")).join(some.select(name("path")), "path", "left_anti")
+
+
 def prune(df: DataFrame, start, end, partitions: tuple[str, ...]) -> DataFrame:
     """Partition filters that cover a time window given as Python datetimes."""
     if "date" in partitions:
@@ -109,15 +121,15 @@ def _write_partition(df: DataFrame, path: str, part: str) -> None:
 
 
 def compact_daily(bronze: DataFrame, day: date, cfg: PanelConfig = PanelConfig()) -> DataFrame:
-    """The clean rows of one UTC day."""
+    """The clean rows of one UTC day; rows whose bin was null when they were stored are repaired first."""
     start = datetime(day.year, day.month, day.day)
-    src = bronze.filter(F.col("date") == F.lit(day)) if "date" in bronze.columns else bronze
-    rows = window_filter(clean_panel(src, cfg), "tbin_utc", start, start + timedelta(days=1), "[)")
-    return assert_single_day(rows)
+    src = bronze.filter((F.col("date") == F.lit(day)) | F.col("date").isNull()) if "date" in bronze.columns else bronze
+    return window_filter(clean_panel(src, cfg), "tbin_utc", start, start + timedelta(days=1), "[)")
 
 
-def write_daily(df: DataFrame, path: str) -> None:
-    _write_partition(with_partitions(df), path, "date")
+def write_daily(df: DataFrame, path: str, *, single_day: bool = False) -> None:
+    """Write day partitions; with `single_day` a batch that spans more than one day fails before it replaces any."""
+    _write_partition(with_partitions(assert_single_day(df) if single_day else df), path, "date")
 
 
 def month_bounds(month: date) -> tuple[datetime, datetime]:
@@ -130,7 +142,8 @@ def compact_monthly(daily: DataFrame, month: date, cfg: PanelConfig = PanelConfi
     start, end = month_bounds(month)
     src = daily
     if "date" in daily.columns:
-        src = daily.filter(F.col("date").between(F.lit(start.date()), F.lit((end - timedelta(days=1)).date())))
+        inside = F.col("date").between(F.lit(start.date()), F.lit((end - timedelta(days=1)).date()))
+        src = daily.filter(inside | F.col("date").isNull())
     return window_filter(clean_panel(src, cfg), "tbin_utc", start, end, "[)")
 
 

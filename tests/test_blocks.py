@@ -66,18 +66,37 @@ def test_positions(gappy):
     assert got.withColumn("w", want).filter("pos != w").count() == 0
 
 
-@pytest.mark.parametrize("limit", [3, 400, 10**6])
-def test_quantiles(spark, limit):
+def test_quantiles(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.lognormal(size=2000), np.full(1000, 0.5), [1e9, -1e9]])
     g = np.arange(len(x)) % 2
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)], "g int, x double")
     df = df.unionByName(spark.createDataFrame([(0, float("nan")), (1, None)], "g int, x double"))
     probs = [0, 0.01, 0.33, 0.5, 0.95, 1]
-    for r in quantiles(df, ["g"], "x", probs, limit=limit).collect():
+    for r in quantiles(df, ["g"], "x", probs).collect():
         np.testing.assert_allclose(r.q, np.quantile(x[g == r.g], probs), rtol=1e-12)
         assert r.n == (g == r.g).sum()
-    np.testing.assert_allclose(quantiles(df, [], "x", probs, limit=limit).first().q, np.quantile(x, probs), rtol=1e-12)
+    np.testing.assert_allclose(quantiles(df, [], "x", probs).first().q, np.quantile(x, probs), rtol=1e-12)
+
+
+def test_quantiles_with_infinities_and_null_groups(spark):
+    rows = [(None, float(v)) for v in range(20)] + [(None, float("inf")), ("b", 3.0), ("c", float("-inf")), ("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.q, r.n) for r in quantiles(df, ["g"], "x", [0.0, 0.25, 0.5, 1.0]).collect()}
+    assert got[None] == ([0.0, 5.0, 10.0, float("inf")], 21)
+    assert got["b"] == ([3.0] * 4, 1)
+    assert got["c"][0][0] == float("-inf") and got["c"][0][-1] == 1.0
+
+
+def test_quantiles_of_wide_integers(spark):
+    x = (np.arange(5000, dtype=np.int64) * 7919) % 1_000_003
+    df = spark.createDataFrame([(int(v),) for v in x], "x int")
+    np.testing.assert_allclose(quantiles(df, [], "x", [0.1, 0.5, 0.9]).first().q, np.quantile(x, [0.1, 0.5, 0.9]))
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(1, None)], "g int, x double")
+    assert quantiles(df, ["g"], "x", [0.5]).count() == 0
 
 
 def test_bin_edges(spark):
