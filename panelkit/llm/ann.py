@@ -256,9 +256,12 @@ def _compare(frames: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The `k` best of each query over all places."""
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("near"))))
-    return found.groupBy("query_id").agg(F.slice(every, 1, k).alias("near"))
+    """The `k` best of each query over all places; an id that several places found counts once."""
+    by_id = F.array_sort(F.transform(F.flatten(F.collect_list("near")), lambda x: F.struct(x["id"].alias("id"), x["loss"].alias("loss"))))
+    every = found.groupBy("query_id").agg(by_id.alias("all"))
+    once = F.filter("all", lambda x, i: (i == 0) | (x["id"] != F.get(F.col("all"), i - 1)["id"]))
+    ranked = F.array_sort(F.transform(once, lambda x: F.struct(x["loss"].alias("loss"), x["id"].alias("id"))))
+    return every.select("query_id", F.slice(ranked, 1, k).alias("near"))
 
 
 def search(

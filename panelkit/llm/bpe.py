@@ -36,6 +36,17 @@ from panelkit.llm.frames import text_or_empty
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 # Fixed value: the white space of the pattern's \s.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+# Letters and numbers that Unicode 16.0 added.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
+    (0x1E5F1, 0x1E5FA),
+)
 # Fixed value: the contractions of the pattern, by their letters.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 # Characters of a text batch that are scanned at once.
@@ -49,14 +60,13 @@ BLOCK = 256
 
 @lru_cache(1)
 def classes() -> np.ndarray:
-    """Class of every code point."""
+    """Class of every code point by Unicode 16.0, as in the tokenizer library; Python's own tables may be older."""
     out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
     for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            out[c] = LETTER
-        elif kind == "N":
-            out[c] = NUMBER
+        out[c] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER)
+    for kind, ranges in ((LETTER, LETTERS_16), (NUMBER, NUMBERS_16)):
+        for first, last in ranges:
+            out[first:last + 1] = kind
     for c in WHITE:
         out[ord(c)] = SPACE
     return out

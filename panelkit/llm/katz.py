@@ -12,7 +12,7 @@ so that every context keeps some mass. alpha(v) is that mass over the unigram ma
 what v hasn't seen: probabilities after each context add up to one exactly.
 
 How it runs. Counting n-grams word by word would send each token several times.
-Instead tasks turn their documents into chunks of a few million tokens, and a chunk
+Instead tasks turn their documents into chunks of a million tokens or so, and a chunk
 sends each of its distinct words and bigrams once, packed per bucket:
 
 1. Chunks (documents, word ids) are written as a table bucketed by chunk, so that
@@ -52,7 +52,7 @@ from panelkit.session import materialize
 K, DELTA = 5, 0.05
 # No word holds white space: names of the end and the begin of a text.
 END, BEGIN = b" ", b"\t"
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_200_000
 BUCKET_BYTES = 24_000_000
 LOW = 40  # bits of a word number in a bigram key
 
@@ -225,6 +225,12 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def _rows(f: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one in memory at a time."""
+    for i in range(len(f)):
+        yield f.slice(i, 1).to_pylist()[0]
+
+
 class Chunk:
     """A chunk's tokens with what its documents need."""
 
@@ -250,7 +256,7 @@ def word_requests(chunks: DataFrame) -> DataFrame:
     """(bucket, chunk, words, counts): each chunk's words with their training counts."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            for row in f.to_pylist():
+            for row in _rows(f):
                 c = Chunk(row)
                 counts = np.bincount(c.tokens[c.train], minlength=1)
                 at, out = 0, []
@@ -362,7 +368,7 @@ def bigram_requests(chunks: DataFrame, uni: Unigrams, buckets: int) -> DataFrame
     """(bucket, piece, chunk, keys, counts, seconds): distinct bigrams, their training counts, the counts of the second words."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            for row in f.to_pylist():
+            for row in _rows(f):
                 x = Lookup(row, uni, buckets)
                 second = x.counts[x.right]
                 out = [
@@ -466,7 +472,7 @@ def score_chunks(chunks: DataFrame, model: Model, schema: str) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            for i, row in enumerate(f.to_pylist()):
+            for row in _rows(f):
                 x = Lookup(row, model.uni, model.buckets)
                 got = row["pairs"]
                 pair = np.concatenate([unpack(y["a"]) for y in got])

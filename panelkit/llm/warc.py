@@ -177,8 +177,20 @@ def _unit(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int
     return [(header, _payload(header, block))], end
 
 
+def _holds(data: bytes, at: int) -> bool:
+    try:
+        _record(data, at)
+    except Damaged:
+        return False
+    return True
+
+
 def _next_start(data: bytes, after: int) -> int:
-    """The next offset from `after` on that starts a valid member or a version line."""
+    """The next offset from `after` on that starts a valid member or record.
+
+    A version line at the start of a line is taken as it is (what follows is checked in
+    turn); one that is glued to other bytes only if a whole record holds there.
+    """
     zipped, plain = data.find(MAGIC, after), data.find(b"WARC/1.", after)
     while zipped >= 0 or plain >= 0:
         if plain < 0 or 0 <= zipped < plain:
@@ -187,7 +199,7 @@ def _next_start(data: bytes, after: int) -> int:
                 return zipped
             except Damaged:
                 zipped = data.find(MAGIC, zipped + 1)
-        elif plain == 0 or data[plain - 1:plain] == b"\n":
+        elif data[plain - 1:plain] == b"\n" or _holds(data, plain):
             return plain
         else:
             plain = data.find(b"WARC/1.", plain + 1)
