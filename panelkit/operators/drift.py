@@ -208,7 +208,7 @@ def drift_metrics(
         means = daily_feature_means(df, cfg, feats)
     vc = materialize(counted(long_features(means, feats), ["feature", "win"], "value"), "feature-counts")
     g = ["feature"]
-    stats = window_stats(vc, g)
+    stats = materialize(window_stats(vc, g), "feature-stats")
     # One row per feature: bounded by the table's columns.
     out = stats.filter(_enough()).select("feature", "n_ref", "n_cur")
     for part in (psi(vc, g, stats, cfg.psi_bins), ks(vc, g, stats, cfg.ks_points), mean_var_delta(stats, g)):

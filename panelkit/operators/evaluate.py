@@ -17,6 +17,7 @@ from panelkit.operators.quantiles import (
     bin_right_closed, quantiles, unique_edges,
 )
 from panelkit.operators.rows import small_side
+from panelkit.session import materialize
 
 CFG = PanelConfig()
 H = "horizon_bins"
@@ -173,7 +174,7 @@ def acf(perf: DataFrame, nlags: int = ACF_LAGS, cfg: PanelConfig = CFG, parity:
     parity=True sums the published range of pairs, k fewer at lag k than the
     usual estimator, which parity=False gives. The series has one row per bin.
     """
-    series = scored(perf).groupBy(H, "tbin_utc").agg(F.avg("resid").alias("_r"))
+    series = materialize(scored(perf).groupBy(H, "tbin_utc").agg(F.avg("resid").alias("_r")), "residual-series")
     stats = series.groupBy(H).agg(
         F.avg("_r").alias("_mu"), F.count(F.lit(1)).alias("_n")
     )

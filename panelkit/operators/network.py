@@ -11,7 +11,8 @@ from panelkit.functions import columns as X
 from panelkit.operators.blocks import block_window, drop_halo, runs, with_halo
 from panelkit.operators.clean import last_days, last_ts, today_window
 from panelkit.operators.quantiles import quantiles
-from panelkit.operators.rows import combine, day_bins, hours, top, week_hours
+from panelkit.operators.rows import combine, day_bins, hours, week_hours
+from panelkit.session import materialize
 
 CFG = PanelConfig()
 HUNDRED = 100.0
@@ -317,48 +318,50 @@ def tension_index(df: DataFrame, cfg: PanelConfig = CFG, days: int | None = None
 
 
 def regularity(df: DataFrame, cfg: PanelConfig = CFG, ref_curves: int = 90, min_common: int = 8) -> DataFrame:
-    """Correlation of each station's curve today with its median curve of the same weekday."""
+    """Correlation of each station's curve today with its median curve of the same weekday.
+
+    The days are picked first (a rank limit, pruned in every map task); only their
+    rows are shaped, and they are written once.
+    """
     day = X.local_day("tbin_utc", cfg.tz)
     today = df.agg(F.max(day)).scalar()
-    rows = df.withColumns({"_day": day, "_hhmm": X.hhmm("tbin_utc", cfg.tz)}).filter(
+    docks = [c for c in ("docks",) if c in df.columns]
+    rows = df.select("station_id", "bikes", "capacity", *docks, day.alias("_day"), X.hhmm("tbin_utc", cfg.tz).alias("_hhmm")).filter(
         (F.col("_day") == today) | ((F.col("_day") < today) & (F.weekday("_day") == F.weekday(today)))
     )
-    keys = ("station_id", "_day")
-    stock = F.percentile(X.floor0("bikes"), 0.98)
-    scale = rows.groupBy(*keys).agg(
-        _capacity("docks" in df.columns).alias("_cap"), F.when(stock > 0, stock).alias("_stock")
+    keys = ["station_id", "_day"]
+    recent = Window.partitionBy("station_id").orderBy(F.desc("_day"))
+    # Today, where the station has it, and the reference days before.
+    days = (
+        rows.select(*keys).distinct().withColumn("_now", F.col("_day") == today)
+        .withColumn("_rn", F.row_number().over(recent))
+        .filter(F.col("_rn") <= ref_curves + 1)
+        .withColumn("_rn", F.col("_rn") - F.max(F.col("_now").cast("int")).over(Window.partitionBy("station_id")))
+        .filter(F.col("_now") | (F.col("_rn") <= ref_curves))
+        .select(*keys, "_now")
     )
+    picked = materialize(rows.join(days, keys), "regularity-days")
+    stock = F.percentile(X.floor0("bikes"), 0.98)
+    scale = picked.groupBy(*keys).agg(_capacity(bool(docks)).alias("_cap"), F.when(stock > 0, stock).alias("_stock"))
     full = F.coalesce(F.when(F.col("_cap") > 0, F.col("_cap")), F.col("_stock"))
     share = F.when(full.isNotNull(), F.least(X.floor0("bikes") / full, X.dbl(1))).otherwise(X.dbl(0))
     occ = F.when(F.col("bikes").isNotNull(), share)
-    curves = rows.join(scale, list(keys)).groupBy(*keys, "_hhmm").agg(F.avg(occ).alias("_occ"))
-
-    # At most one row per station and reference day enters this ranking.
-    recent = (
-        scale.filter(F.col("_day") < today).select(*keys)
-        .withColumn("_rn", F.row_number().over(Window.partitionBy("station_id").orderBy(F.desc("_day"))))
-        .filter(F.col("_rn") <= ref_curves)
-        .drop("_rn")
+    curves = picked.join(scale, keys).groupBy(*keys, "_hhmm", "_now").agg(F.avg(occ).alias("_occ"))
+    # One row per station and minute of the day: its value today and its median before.
+    at = curves.groupBy("station_id", "_hhmm").agg(
+        F.max(F.when(F.col("_now"), F.col("_occ"))).alias("_occ"),
+        F.percentile(F.when(~F.col("_now"), F.col("_occ")), 0.5).alias("_typ"),
+        F.bool_or("_now").alias("_here"),
     )
-    typical = (
-        curves.join(recent, list(keys), "left_semi")
-        .groupBy("station_id", "_hhmm")
-        .agg(F.percentile("_occ", 0.5).alias("_typ"))
-    )
-    now = curves.filter(F.col("_day") == today)
-    moving = (F.min("_occ") < F.max("_occ")) & (F.min("_typ") < F.max("_typ"))
+    both = F.col("_occ").isNotNull() & F.col("_typ").isNotNull()
+    o, t = F.when(both, F.col("_occ")), F.when(both, F.col("_typ"))
+    moving = (F.min(o) < F.max(o)) & (F.min(t) < F.max(t))
     # Pearson by its parts: `corr` itself fails on a flat curve in ANSI mode.
-    pearson = F.try_divide(F.covar_pop("_occ", "_typ"), F.stddev_pop("_occ") * F.stddev_pop("_typ"))
-    corr = (
-        now.join(typical, ["station_id", "_hhmm"])
-        .filter("_occ is not null and _typ is not null")
-        .groupBy("station_id")
-        .agg(
-            F.when((F.count(F.lit(1)) >= min_common) & moving, pearson)
-            .alias("regularity_corr_today_vs_typical")
-        )
-    )
-    return now.select("station_id").distinct().join(corr, "station_id", "left")
+    pearson = F.try_divide(F.covar_pop(o, t), F.stddev_pop(o) * F.stddev_pop(t))
+    return at.groupBy("station_id").agg(
+        F.when((F.count(o) >= min_common) & moving, pearson).alias("regularity_corr_today_vs_typical"),
+        F.bool_or("_here").alias("_here"),
+    ).filter("_here").drop("_here")
 
 
 def station_profile(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:

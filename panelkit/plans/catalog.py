@@ -17,7 +17,8 @@ from panelkit.config import LAG_BINS, ROLL_BINS, PanelConfig
 from panelkit.functions import columns as X
 from panelkit.operators import clean, drift, evaluate, features, network, quality, spatial, views
 from panelkit.operators.quantiles import quantiles
-from panelkit.session import tune
+from panelkit.operators.rows import small_side
+from panelkit.session import materialize, tune
 from panelkit.sources import adapters as A
 
 CFG = A.EVENTS_CFG
@@ -293,8 +294,8 @@ def lag_features_by_time(s, d):
 @query
 def rolling_features(s, d):
     """Rolling mean and deviation of the rows before."""
-    return features.rolling(panel(s, d), bins=(3, 6, 12), cfg=CFG).select(
-        "station_id", "tbin_utc", *[f"roll_{f}_{n}" for n in (3, 6, 12) for f in ("mean", "std")])
+    return features.rolling(panel(s, d), cfg=CFG).select(
+        "station_id", "tbin_utc", *[f"roll_{f}_{n}" for n in ROLL_BINS for f in ("mean", "std")])
 
 
 @query
@@ -358,10 +359,10 @@ def knn_map(s, d):
 
 @query
 def neighbour_mean(s, d):
-    """Mean stock of the five nearest stations, one and three bins ago."""
-    p = panel(s, d)
-    return spatial.neighbour_mean(p, spatial.knn_map(stations(s, d), 5), (1, 3), CFG).select(
-        "station_id", "tbin_utc", "knn_mean_bikes_lag1", "knn_mean_bikes_lag3")
+    """Mean stock of the five nearest stations one, three and twelve bins ago."""
+    p = materialize(panel(s, d), "panel")
+    return spatial.neighbour_mean(p, small_side(spatial.knn_map(spatial.stations_of(p), 5)), cfg=CFG).select(
+        "station_id", "tbin_utc", "knn_mean_bikes_lag1", "knn_mean_bikes_lag3", "knn_mean_bikes_lag12")
 
 
 @query

@@ -203,7 +203,7 @@ def rolls(frame: str, n: int) -> str:
 
 
 sql("rolling_features", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, " + ", ".join(
-    rolls(f"ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING", n) for n in (3, 6, 12)) + " FROM panel")
+    rolls(f"ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING", n) for n in (3, 6, 12, 24, 36, 48)) + " FROM panel")
 sql("rolling_features_by_time", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, " + rolls(
     "RANGE BETWEEN INTERVAL '1440 minutes' PRECEDING AND INTERVAL '360 minutes' PRECEDING", 4) + " FROM panel")
 
@@ -247,9 +247,11 @@ sql("knn_map", KNN, f"SELECT station_id, rank, neighbor_id, {R('dist_km', 'dist_
 
 sql("neighbour_mean", KNN + """, m AS (SELECT k.station_id, p.tbin_utc, avg(p.bikes) AS m FROM knn k
   JOIN panel p ON p.station_id = k.neighbor_id GROUP BY 1, 2)""", f"""
-SELECT p.station_id, {T('p.tbin_utc', 'tbin_utc')}, {R('a.m', 'knn_mean_bikes_lag1')}, {R('b.m', 'knn_mean_bikes_lag3')} FROM panel p
+SELECT p.station_id, {T('p.tbin_utc', 'tbin_utc')}, {R('a.m', 'knn_mean_bikes_lag1')}, {R('b.m', 'knn_mean_bikes_lag3')},
+  {R('c.m', 'knn_mean_bikes_lag12')} FROM panel p
 LEFT JOIN m a ON a.station_id = p.station_id AND a.tbin_utc = p.tbin_utc - INTERVAL '360 minutes'
-LEFT JOIN m b ON b.station_id = p.station_id AND b.tbin_utc = p.tbin_utc - INTERVAL '1080 minutes'""")
+LEFT JOIN m b ON b.station_id = p.station_id AND b.tbin_utc = p.tbin_utc - INTERVAL '1080 minutes'
+LEFT JOIN m c ON c.station_id = p.station_id AND c.tbin_utc = p.tbin_utc - INTERVAL '4320 minutes'""")
 
 sql("cluster_capacity_mean", LAST_ST, f"""
 SELECT station_id, CAST(station_id AS BIGINT) % 4 AS cluster, {R('avg(capacity) OVER (PARTITION BY CAST(station_id AS BIGINT) % 4)', 'te_cap_mean')} FROM st""")
