@@ -11,8 +11,8 @@ compressed). A record counts when its member's checksum, its lengths and its dig
 hold. After a failed check the reader looks for the next offset at which a valid
 member or a version line starts, goes on there, and logs the bytes between as a gap.
 
-A file is one row of Spark's `binaryFile` source; `records_per_file` bounds the files
-that are written here. Foreign files have to fit a task (2 GB at most).
+A file is one row of Spark's `binaryFile` source; `archive_bytes` sets the size of the
+files that are written here. Foreign files have to fit a task (2 GB at most).
 
 Defined results: a null payload is empty; a null id is written as such and read back
 as null; a null url has no target line. Rows that repeat id and payload are both
@@ -91,19 +91,20 @@ def with_revisits(pages: DataFrame, page_id: str, url: str, payload: str, least_
 
 def write_archives(
     pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html",
-    *, least_bytes: int = 1000, records_per_file: int = 5000,
+    *, least_bytes: int = 1000, archive_bytes: int = 16_000_000,
 ) -> None:
+    """Writes archives of about `archive_bytes` of payload each below `path`."""
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             ids, urls, bodies, refs, again = (f.column(i).to_pylist() for i in range(5))
             out = [member(i, u, b.encode("utf-8", "surrogatepass"), r, a) for i, u, b, r, a in zip(ids, urls, bodies, refs, again)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    rows = with_revisits(pages, page_id, url, payload, least_bytes)
+    size = pages.agg(F.sum(F.octet_length(F.col(payload).cast("string")))).first()[0] or 0
+    rows = with_revisits(pages, page_id, url, payload, least_bytes).coalesce(1 + size // archive_bytes)
     (
         rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
-        .write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file)
-        .text(path)
+        .write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").text(path)
     )
 
 

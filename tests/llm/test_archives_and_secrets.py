@@ -65,7 +65,7 @@ def test_write_and_read(spark):
             (None, "u", other), (7, "u", "WARC/1.1\r\n\r\n" * 200), (8, "u", "x" * 400_000), (2, "u", other)]
     df = spark.createDataFrame(rows, PAGES).withColumns({"payload": F.lit(0), "same": F.lit(1)})
     path = work_path(spark, "t-warc")
-    warc.write_archives(df, path, records_per_file=4)
+    warc.write_archives(df, path, archive_bytes=100_000)
     got = warc.read_archives(spark, path, payloads=True).collect()
     assert all(r.kind == "record" for r in got) and len(got) == len(rows)
     want = []
