@@ -290,10 +290,12 @@ def run_monitoring(
     result: dict[str, Exception | None] = {}
     for name, build in steps.items():
         try:
-            report = build()
-            for table, df in report.items():
+            written = {}
+            for table, df in build().items():
                 write_document(df, f"{out}/{name}", table, now)
-            write_document(manifest(spark, report, now), f"{out}/{name}", "manifest", now)
+                # The manifest counts what was written.
+                written[table] = spark.read.text(f"{out}/{name}/{table}/latest")
+            write_document(manifest(spark, written, now), f"{out}/{name}", "manifest", now)
             result[name] = None
         except Exception as e:  # noqa: BLE001 - a failed step is reported, not fatal
             if not continue_on_error:

@@ -245,44 +245,55 @@ def stream_latest(s, d):
     return streams.read_latest(s, f"{root}/data").select("station_id", "ts_utc", "bikes", "status")
 
 
+@query
+def stream_freshness(s, d):
+    """Ages of the live state that a stream keeps."""
+    root = work_path(s, "stream-freshness")
+    streams.start_latest(_stream(s, d), f"{root}/data", f"{root}/checkpoint")
+    return streams.latest_freshness(s, f"{root}/data", C.NOW)
+
+
 @query
 def late_recompaction(s, d):
     """Late rows taken into the days they belong to."""
     r = C.raw(s, d)
     early = clean.dedup_latest(r.filter("event_id % 7 != 0"), clean.KEYS, ("ts_utc", "event_id"))
-    late = r.filter((F.col("event_id") % 7 == 0) & (F.to_date("tbin_utc") == F.lit(C.DAY)))
+    late = r.filter("event_id % 7 = 0")
     return streams.recompact(early, late, ("ts_utc", "event_id")).select("station_id", "tbin_utc", "ts_utc", "event_id")
 
 
 # ---- models -----------------------------------------------------------------------------------------
 
-_PARTS: dict[tuple, dict] = {}
 HORIZON = 360
 
 
+def station_parts(s, d) -> tuple[DataFrame, dict]:
+    """The panel with weather, and the station tables and mapping that features need."""
+    panel = materialize(clean.enforce_schema(C.weathered(s, d)), "panel")
+    st = materialize(spatial.stations_of(panel), "stations")
+    return panel, {
+        "static": materialize(spatial.station_static(st, k=8), "static"),
+        "knn": materialize(spatial.knn_map(st, 5), "knn"),
+        "mapping": materialize(clean.status_mapping(panel), "status"),
+    }
+
+
+def training_rows(panel: DataFrame, parts: dict) -> DataFrame:
+    return materialize(ml.training_frame(panel, datetime(2024, 1, 1), date(2024, 1, 27), CFG, HORIZON, **parts), "training-rows")
+
+
 def model_parts(s, d) -> dict:
-    """Panel, station tables, training rows and a fitted model, once per session and folder."""
-    key = (s.sparkContext.applicationId, d)
-    if key not in _PARTS:
-        panel = materialize(clean.enforce_schema(C.weathered(s, d)), "panel")
-        st = materialize(spatial.stations_of(panel), "stations")
-        parts = {
-            "static": materialize(spatial.station_static(st, k=8), "static"),
-            "knn": materialize(spatial.knn_map(st, 5), "knn"),
-            "mapping": materialize(clean.status_mapping(panel), "status"),
-        }
-        rows = ml.training_frame(panel, datetime(2024, 1, 1), date(2024, 1, 27), CFG, HORIZON, **parts)
-        rows = materialize(rows, "training-rows")
-        pack, errors = ml.train(rows, HORIZON, max_iter=10, max_depth=4)
-        _PARTS[key] = {"panel": panel, "parts": parts, "rows": rows, "pack": pack, "errors": errors}
-    return _PARTS[key]
+    """Panel, station tables, training rows and a fitted model, made anew for each query."""
+    panel, parts = station_parts(s, d)
+    rows = training_rows(panel, parts)
+    pack, errors = ml.train(rows, HORIZON, max_iter=10, max_depth=4)
+    return {"panel": panel, "parts": parts, "rows": rows, "pack": pack, "errors": errors}
 
 
 @query
 def training_frame(s, d):
     """Feature rows with a known target, per station."""
-    rows = model_parts(s, d)["rows"]
-    return rows.groupBy("station_id").agg(
+    return training_rows(*station_parts(s, d)).groupBy("station_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("y_nb").alias("y_mean"), F.avg("lag_bikes_1").alias("lag1_mean"),
         F.count("knn_mean_bikes_lag1").alias("n_knn1"), F.count("roll_std_48").alias("n_std48"))
 
@@ -309,7 +320,7 @@ def station_static(s, d):
 @query
 def station_clusters(s, d):
     """Spatial clusters with their mean capacity."""
-    return model_parts(s, d)["parts"]["static"].groupBy("kmeans_cluster").agg(
+    return station_parts(s, d)[1]["static"].groupBy("kmeans_cluster").agg(
         F.count(F.lit(1)).alias("n"), F.max("te_cap_mean").alias("te_cap_mean"))
 
 
@@ -367,7 +378,7 @@ def _profiles(s, d) -> DataFrame:
 @query
 def cluster_profiles(s, d):
     """Stations per profile cluster at the best silhouette."""
-    c = ml.cluster_profiles(_profiles(s, d), k_max=4)
+    c = ml.cluster_profiles(_profiles(s, d))
     return c.labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumns(
         {"k": F.lit(c.k), "silhouette": F.lit(c.silhouette).cast("double"), "davies_bouldin": F.lit(c.davies_bouldin).cast("double")})
 
@@ -432,7 +443,7 @@ def network_dynamics_report(s, d):
 @query
 def network_stations_report(s, d):
     """Tables of the station report."""
-    return _sizes(s, compose.network_stations(C.events(s, d), CFG, k=3))
+    return _sizes(s, compose.network_stations(C.events(s, d), CFG))
 
 
 @query
@@ -453,16 +464,23 @@ def status_board(s, d):
 
 @query
 def monitoring_run(s, d):
-    """Two reports run in order and written with their manifests; a failing step is reported."""
+    """All reports run in order and written with their manifests; a failing step is reported."""
     out = work_path(s, "monitoring")
 
     def broken() -> compose.Report:
         raise ValueError("no data")
 
+    m = model_parts(s, d)
+    perf = materialize(C.perf(s, d), "perf")
     steps = {
-        "overview": lambda: compose.network_overview(C.panel(s, d), CFG, C.DAY),
+        "health": lambda: compose.data_health(C.raw(s, d), C.NOW, CFG),
+        "drift": lambda: compose.data_drift(C.drift_events(s, d), C.DRIFT_CFG),
+        "performance": lambda: compose.model_performance(perf, CFG, C.clusters(s, d)),
+        "explainability": lambda: compose.model_explainability(perf, CFG, m["pack"]),
         "broken": broken,
-        "health": lambda: {"kpis": quality.coverage_global(C.health(s, d), CFG)},
+        "overview": lambda: compose.network_overview(C.panel(s, d), CFG, C.DAY),
+        "dynamics": lambda: compose.network_dynamics(C.panel(s, d), CFG),
+        "stations": lambda: compose.network_stations(C.events(s, d), CFG),
     }
     result = compose.run_monitoring(s, steps, out, C.NOW)
     status = s.createDataFrame([(k, "ok" if e is None else "failed") for k, e in result.items()], "step string, state string")

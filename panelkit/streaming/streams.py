@@ -8,7 +8,9 @@ large as the open bins (or one row per station).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from panelkit.config import PanelConfig
 from panelkit.functions import columns as X
 from panelkit.operators.clean import KEYS, dedup_latest, repair_grid
+from panelkit.operators.quality import feed_freshness
 from panelkit.schema import enforce_schema
 from panelkit.session import work_path
 
@@ -121,23 +124,27 @@ OPEN_RUN = "type string, start_utc long, end_utc long, steps long"
 
 
 def _close_runs(min_steps: int):
-    """Per station: extend the open run row by row, emit it when the state changes."""
+    """Per station: the open run of the state and the batch's rows, cut where the value changes; closed runs are emitted."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, start, end, n = state.get if state.exists else ("", 0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values("tbin_utc")
-        done = []
-        for t, s in zip(rows["tbin_utc"].astype("int64"), rows["state"]):
-            if s == kind:
-                end, n = int(t), n + 1
-                continue
-            if kind and n >= min_steps:
-                done.append((key[0], kind, start, end, n))
-            kind, start, end, n = s, int(t), int(t), 1
-        state.update((kind, start, end, n))
-        out = pd.DataFrame(done, columns=["station_id", "type", "start_utc", "end_utc", "steps"])
+        rows = pd.concat(list(frames)).sort_values("tbin_utc", kind="stable")
         unit = rows["tbin_utc"].dt.unit
-        yield out.assign(**{c: pd.to_datetime(out[c], unit=unit) for c in ("start_utc", "end_utc")})
+        at, kind = rows["tbin_utc"].astype("int64").to_numpy(), rows["state"].to_numpy(object)
+        first = np.append(0, np.flatnonzero(kind[1:] != kind[:-1]) + 1)
+        last = np.append(first[1:], len(kind))
+        runs = pd.DataFrame({"type": kind[first], "start_utc": at[first], "end_utc": at[last - 1], "steps": last - first})
+        if state.exists:
+            was = dict(zip(runs.columns, state.get))
+            if runs.at[0, "type"] == was["type"]:
+                runs.loc[0, ["start_utc", "steps"]] = [was["start_utc"], was["steps"] + runs.at[0, "steps"]]
+            else:
+                runs = pd.concat([pd.DataFrame([was]), runs], ignore_index=True)
+        tail = runs.iloc[-1]
+        state.update((tail["type"], int(tail["start_utc"]), int(tail["end_utc"]), int(tail["steps"])))
+        done = runs.iloc[:-1]
+        done = done[(done["type"] != "") & (done["steps"] >= min_steps)].assign(station_id=key[0])
+        yield done.assign(**{c: pd.to_datetime(done[c], unit=unit) for c in ("start_utc", "end_utc")})[
+            ["station_id", "type", "start_utc", "end_utc", "steps"]]
 
     return step
 
@@ -173,39 +180,68 @@ def stream_sessions(df: DataFrame, gap: str = "10 minutes", delay: str = "10 min
 # ---- latest state, forecasts, late data ----------------------------------------------------------
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete `version=` folders below `path`."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in done)
+
+
 def start_latest(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep each station's latest row: changed stations are written per batch.
+    """Keep each station's latest row in a base table of one row per station.
 
-    A batch writes its own folder, so a repeated batch replaces itself.
+    A batch folds its rows into the version before it and writes its own version, so
+    a repeated batch replaces itself; the last two versions stay.
     """
     rest = [c for c in df.columns if c != "station_id"]
     latest = df.groupBy("station_id").agg(F.max(F.struct("ts_utc", *[c for c in rest if c != "ts_utc"])).alias("_r"))
     rows = latest.select("station_id", *[F.col(f"_r.`{c}`").alias(c) for c in rest])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, path) if v < batch_id]
+        if before:
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={before[-1]}"))
+        dedup_latest(batch, ["station_id"], ("ts_utc",)).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for v in before[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
 
     return run_to_end(rows.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return dedup_latest(spark.read.parquet(path).drop("batch"), ["station_id"], ("ts_utc",))
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
+
+
+def latest_freshness(spark: SparkSession, path: str, now) -> DataFrame:
+    """Age figures of the live state: station count, largest age, p50 and p95."""
+    return feed_freshness(read_latest(spark, path), now, ts="ts_utc")
 
 
 def start_forecast(df: DataFrame, pack, panel_path: str, out_path: str, checkpoint: str, cfg: PanelConfig = CFG, **parts) -> StreamingQuery:
-    """Per batch: store the new rows, predict from the recent bins, write the forecast."""
+    """Per batch: store the new rows by day and hour, predict from the recent bins, write the forecast.
+
+    Only the partitions of the recent bins are read; a repeated batch appends rows
+    that the dedup takes once.
+    """
     from panelkit.config import LAG_BINS, ROLL_BINS
-    from panelkit.operators.clean import window_filter
     from panelkit.operators.ml import predict_latest
+    from panelkit.sources.tables import read_panel, with_partitions
 
-    span = (max(*LAG_BINS, *ROLL_BINS) + 1) * cfg.bin_min
+    span = timedelta(minutes=(max(*LAG_BINS, *ROLL_BINS) + 1) * cfg.bin_min)
+    newest: list = []
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{panel_path}/batch={batch_id}")
-        panel = spark.read.parquet(panel_path).drop("batch")
-        end = panel.agg(F.max("tbin_utc")).scalar()
-        recent = window_filter(panel, "tbin_utc", end - F.expr(f"interval {span} minutes"), end, "[]")
+        with_partitions(batch, hour=True).write.mode("append").partitionBy("date", "hour").parquet(panel_path)
+        last = batch.agg(F.date_format(F.max("tbin_utc"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+        newest[:] = [x for x in (max(filter(None, [last, *newest]), default=None),) if x]
+        if not newest:
+            return
+        end = datetime.fromisoformat(newest[0])
+        recent = read_panel(spark, panel_path, end - span, end, bounds="[]", schema=batch.schema, partitions=("date", "hour"))
         out = predict_latest(dedup_latest(recent), pack, cfg, **parts)
         out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
