@@ -795,6 +795,9 @@ sql("training_frame", KNN + f""", tr AS (SELECT * FROM panel WHERE tbin_utc >= T
 SELECT f.station_id, count(*) AS n, {R('avg(y)', 'y_mean')}, {R('avg(l1)', 'lag1_mean')}, count(m.tbin_utc) AS n_knn1,
   count(*) FILTER (WHERE c48 >= 24) AS n_std48
 FROM f LEFT JOIN m ON m.station_id = f.station_id AND m.tbin_utc = f.tbin_utc - INTERVAL '360 minutes' WHERE y IS NOT NULL GROUP BY 1""")
+sql("ensure_columns", PANEL, f"SELECT station_id, count(bikes) AS n, {R('count(*) * 1.5', 'humidity')} FROM panel GROUP BY 1")
+sql("panel_apply", PANEL, f"SELECT station_id, count(*) AS n, {I('sum(bikes)', 'bikes')} FROM panel GROUP BY 1")
+
 sql("temporal_split", PANEL + ", c AS (SELECT quantile_cont(epoch(tbin_utc), 0.9) AS cut FROM panel)", f"""
 SELECT {I('epoch(tbin_utc) > cut', 'is_valid')}, count(*) AS n, {T('min(tbin_utc)', 'first_bin')}, {T('max(tbin_utc)', 'last_bin')} FROM panel, c GROUP BY 1""")
 sql("lookback", PANEL + ", r AS (SELECT * FROM panel WHERE tbin_utc >= (SELECT date_trunc('day', max(tbin_utc) - INTERVAL '5 days') FROM panel))", f"""
@@ -802,6 +805,14 @@ SELECT count(*) AS rows, count(DISTINCT station_id) AS stations, {T('min(tbin_ut
 sql("station_static", LAST_ST, f"""
 SELECT station_id, {R(hav('lat', 'lon', '48.853', '2.349'), 'dist_center_km')}, {I('floor(lon / (300.0 / 75000.0))', 'grid_x')},
   {I('floor(lat / (300.0 / 111000.0))', 'grid_y')} FROM st""")
+BASE = f"""WITH {PANEL}{WEATHER}, codes AS (SELECT status, row_number() OVER (ORDER BY status) - 1 AS status_code FROM (SELECT DISTINCT status FROM panel))
+SELECT station_id, {T('tbin_utc', 'tbin_utc')}, {I('capacity', 'capacity')}, {R('lat', 'lat')}, {R('lon', 'lon')}, {R('occ_ratio', 'occ_ratio')},
+  {I('status_code', 'status_code')}, {R(f'lag(temp_c) OVER {W0}', '"temp_C_lag1"')}, {R(f'lag(precip_mm) OVER {W0}', 'precip_mm_lag1')},
+  {R(f'lag(wind_mps) OVER {W0}', 'wind_mps_lag1')} FROM wp LEFT JOIN codes USING (status)"""
+ORACLES["feature_frame"] = f"SELECT * FROM ({BASE})" + "".join(
+    f" JOIN ({ORACLES[part]}) USING (station_id, tbin_utc)"
+    for part in ("lag_features", "rolling_features", "weather_join", "calendar_features", "neighbour_mean")
+) + f" JOIN ({ORACLES['station_static']}) USING (station_id)"
 sql("day_events", PANEL + ", codes AS (SELECT status, row_number() OVER (ORDER BY status) - 1 AS status_code FROM (SELECT DISTINCT status FROM panel))", f"""
 SELECT station_id, {T('tbin_utc', 'tbin_utc')}, {I('bikes', 'bikes')}, {R('occ_ratio', 'occ_ratio')}, {I('is_penury', 'is_penury')},
   {I('is_saturation', 'is_saturation')}, {I('status_code', 'status_code')}, {I('hour(panel.tbin_utc)', 'h')}, {I('minute(panel.tbin_utc)', 'min')}

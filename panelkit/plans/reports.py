@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelkit.config import PanelConfig
 from panelkit.operators import clean, drift, evaluate, features, ml, network, quality, spatial
 from panelkit.plans import catalog as C, compose
+from panelkit.schema import ensure_columns as ensure
 from panelkit.session import materialize, tune, work_path
 from panelkit.sources import adapters as A, feeds, tables
 from panelkit.streaming import streams
@@ -298,6 +299,31 @@ def training_frame(s, d):
         F.count("knn_mean_bikes_lag1").alias("n_knn1"), F.count("roll_std_48").alias("n_std48"))
 
 
+@query
+def feature_frame(s, d):
+    """All model inputs of every row but the fitted cluster and its mean."""
+    panel, parts = station_parts(s, d)
+    fitted = {"kmeans_cluster", "te_cap_mean", "mechanical", "ebike"}
+    return ml.feature_frame(panel, CFG, **parts).select("station_id", "tbin_utc", *[c for c in ml.FEATURES if c not in fitted])
+
+
+@query
+def ensure_columns(s, d):
+    """A required column that the table lacks is filled with the value named."""
+    rows = ensure(C.panel(s, d).select("station_id", "bikes"), ["bikes", "humidity"], 1.5)
+    return rows.groupBy("station_id").agg(F.count("bikes").alias("n"), F.sum("humidity").alias("humidity"))
+
+
+@query
+def panel_apply(s, d):
+    """A user's pandas function per station: rows and stock."""
+    def total(pdf):
+        return pdf.groupby("station_id", as_index=False).agg(n=("bikes", "size"), bikes=("bikes", "sum"))
+
+    rows = C.panel(s, d).select("station_id", "bikes")
+    return features.panel_apply(rows, total, "station_id string, n long, bikes long")
+
+
 @query
 def temporal_split(s, d):
     """Training and validation rows by time."""
