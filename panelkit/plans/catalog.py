@@ -649,11 +649,12 @@ def station_distributions(s, d):
 
 @query
 def forecast_map_view(s, d):
-    """Latest state with the forecast where there is one."""
-    f = features.latest_rows(perf(s, d).filter("horizon_bins = 1 and y_true is not null")).select(
-        "station_id", F.lit(360).alias("horizon_min"), F.col("y_pred_int").alias("bikes_pred_int"))
+    """Latest state with the forecast of each horizon where there is one."""
+    known = perf(s, d).filter("y_true is not null").select("station_id", "horizon_bins", "tbin_utc", "y_pred_int")
+    f = clean.dedup_latest(known, ["station_id", "horizon_bins"], ("tbin_utc",), unique=True).select(
+        "station_id", (F.col("horizon_bins") * 360).alias("horizon_min"), F.col("y_pred_int").alias("bikes_pred_int"))
     return views.forecast_map_view(network.availability_view(panel(s, d)), f).select(
-        "station_id", "num_bikes_available", "bikes_pred_int", "occ_now", "occ_pred")
+        "station_id", "horizon_min", "num_bikes_available", "bikes_pred_int", "occ_now", "occ_pred")
 
 
 @query

@@ -459,9 +459,9 @@ SELECT metric, CAST(least(coalesce(floor((v - lo) / nullif((hi - lo) / 20.0, 0))
 FROM l JOIN s USING (metric) WHERE v IS NOT NULL GROUP BY 1, 2""")
 
 sql("forecast_map_view", PERF + """, latest AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY tbin_utc DESC) = 1),
- f AS (SELECT station_id, y_pred_int FROM perf WHERE horizon_bins = 1 AND y_true IS NOT NULL
-   QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY tbin_utc DESC) = 1)""", f"""
-SELECT station_id, {I('bikes', 'num_bikes_available')}, {I('y_pred_int', 'bikes_pred_int')}, {R('bikes / CAST(capacity AS DOUBLE)', 'occ_now')},
+ f AS (SELECT station_id, horizon_bins * 360 AS horizon_min, y_pred_int FROM perf WHERE y_true IS NOT NULL
+   QUALIFY row_number() OVER (PARTITION BY station_id, horizon_bins ORDER BY tbin_utc DESC) = 1)""", f"""
+SELECT station_id, {I('horizon_min', 'horizon_min')}, {I('bikes', 'num_bikes_available')}, {I('y_pred_int', 'bikes_pred_int')}, {R('bikes / CAST(capacity AS DOUBLE)', 'occ_now')},
   {R('y_pred_int / CAST(capacity AS DOUBLE)', 'occ_pred')} FROM latest LEFT JOIN f USING (station_id)""")
 
 sql("forecast_lookup", PERF, f"""
