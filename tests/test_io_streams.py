@@ -1,6 +1,7 @@
 """Files, compaction, documents, streams and models."""
 
 import json
+import os
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -122,6 +123,16 @@ def landed(spark, dense, tmp):
     return f"{tmp}/in", day.schema
 
 
+def test_stream_latest_keeps_two_versions(spark, landed, tmp):
+    path, schema = landed
+    src = streams.file_stream(spark, path, schema, per_batch=1)
+    streams.start_latest(src, f"{tmp}/two", f"{tmp}/two-cp")
+    versions = [p for p in os.listdir(f"{tmp}/two") if p.startswith("version=")]
+    assert len(versions) <= 2
+    r = streams.latest_freshness(spark, f"{tmp}/two", datetime(2024, 4, 2)).first()
+    assert r.stations == 4 and r.max_min >= r.p95_min >= r.p50_min > 0
+
+
 def test_stream_dedup_drops_late_rows(spark, landed):
     path, schema = landed
     src = streams.file_stream(spark, path, schema, per_batch=1).drop("tbin_utc")
@@ -151,6 +162,47 @@ def test_stream_latest(spark, landed, tmp):
     assert got.count() == 4 and {r.b for r in got.collect()} == {863}
 
 
+def test_null_bins_reach_their_day(spark, dense, tmp):
+    rows = enforce_schema(dense.filter("s < 3")).withColumn(
+        "tbin_utc", F.when(F.pmod(F.unix_timestamp("ts_utc"), F.lit(7)) != 0, F.col("ts_utc")))
+    tables.write_bronze(rows, f"{tmp}/bronze-null")
+    bronze = tables.read_panel(spark, f"{tmp}/bronze-null", partitions=("date", "hour")).withColumn("date", F.to_date("tbin_utc"))
+    want = dense.filter("s < 3 and to_date(tbin_utc) = '2024-03-31'").count()
+    assert tables.compact_daily(bronze, date(2024, 3, 31), CFG).count() == want
+    # rows stored elsewhere without a bin have no partition date
+    loose = rows.withColumn("date", F.to_date("tbin_utc"))
+    assert tables.compact_daily(loose, date(2024, 3, 31), CFG).count() == want
+
+
+def test_unreadable_files_are_reported(spark, dense, tmp):
+    path = f"{tmp}/some-broken"
+    enforce_schema(dense.limit(10)).coalesce(1).write.parquet(path)
+    with open(f"{path}/part-broken.parquet", "wb") as f:
+        f.write(b"no parquet here")
+    with pytest.raises(Exception):
+        tables.read_panel(spark, path).collect()
+    assert tables.read_panel(spark, path, skip_unreadable=True).count() == 10
+    got = [r.path for r in tables.files_without_rows(spark, path).collect()]
+    assert len(got) == 1 and got[0].endswith("part-broken.parquet")
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from panelkit.session import shared_root
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        shared_root(Session())
+
+
 # ---- models -----------------------------------------------------------------------------------
 
 
