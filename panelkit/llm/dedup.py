@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelkit.llm.frames import fresh, text_or_empty
+from panelkit.session import materialize
 
 
 def content_hash(text: Column) -> Column:
@@ -38,35 +39,33 @@ def exact_groups(
     ids = rows.select("doc_id", "h", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     groups = ids.groupBy("h").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     shared = groups.filter("group_size > 1").select("h")
-    # Equal bytes inside the groups of one hash.
-    classes = (
+    # Equal bytes inside the groups of one hash; written without the texts, which thus travel once.
+    classes = materialize(
         rows.join(shared, "h")
         .groupBy("h", "text")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .select("h", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"),
+        "dedup-classes",
     )
-    collided = (
-        classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("group_size").alias("most")).filter("n > 1").select("h")
-    )
-    by_text = (
-        classes.join(collided, "h", "left_semi")
-        .select("h", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text", "keep_id", "group_size")
-    )
+    collided = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     clean = ids.join(groups.join(collided, "h", "left_anti"), "h").select("doc_id", "keep_id", "group_size", "text_sha256")
-    # Rows of a shared hash find their class by the text itself.
-    mixed = (
-        rows.join(collided, "h", "left_semi")
-        .join(by_text, ["h", "text"])
-        .select("doc_id", "keep_id", "group_size", "text_sha256")
-    )
+    # A hash shared by different texts: its classes, told apart by bytes above, are found again by their SHA-256.
+    apart = classes.join(collided, "h", "left_semi")
+    mixed = ids.join(apart, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", "text_sha256")
     return clean.unionByName(mixed).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, all columns: one per distinct text."""
-    sha = fresh(docs, "_sha")
-    kept = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"))
-    rows = docs.withColumn(sha, F.sha2(text_or_empty(text).cast("binary"), 256))
-    stay = rows.join(kept.distinct(), (rows[sha] == kept["_text"]) & rows[doc_id].eqNullSafe(kept["_id"]), "left_semi")
-    return stay.dropDuplicates([doc_id, sha]).drop(sha)
+    """The rows of `docs` that stay, all columns: one per distinct text.
+
+    One key of id and text serves the join and the removal of repeated rows, so texts travel once.
+    """
+    def key(identity: Column, sha: Column) -> Column:
+        return F.concat(F.coalesce(identity.cast("string"), F.lit("-")), F.lit(":"), sha)
+
+    name = fresh(docs, "_key")
+    kept = exact_groups(docs, doc_id, text).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias(name)).distinct()
+    rows = docs.withColumn(name, key(docs[doc_id], F.sha2(text_or_empty(text).cast("binary"), 256)))
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
