@@ -52,8 +52,9 @@ from panelkit.session import materialize
 K, DELTA = 5, 0.05
 # No word holds white space: names of the end and the begin of a text.
 END, BEGIN = b" ", b"\t"
-CHUNK_TOKENS = 1_200_000
-BUCKET_BYTES = 24_000_000
+CHUNK_TOKENS = 800_000
+BUCKET_BYTES = 12_000_000
+MOST_TASKS = 20_000
 LOW = 40  # bits of a word number in a bigram key
 
 
@@ -252,6 +253,11 @@ class Chunk:
 # --- words -----------------------------------------------------------------------------
 
 
+def spread_out(requests: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """Tasks follow the number of buckets, not a session setting."""
+    return requests.repartition(max(parts(requests.sparkSession), min(buckets, MOST_TASKS)), *keys)
+
+
 def word_requests(chunks: DataFrame) -> DataFrame:
     """(bucket, chunk, words, counts): each chunk's words with their training counts."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +306,7 @@ def merge_words(requests: DataFrame, buckets: int) -> DataFrame:
             rows.append(("answer", bucket, chunk, pack(ids * buckets + bucket), pack(counts), None))
         return _table(rows)
 
-    return requests.groupBy("bucket").applyInArrow(run, ANSWER)
+    return spread_out(requests, buckets, "bucket").groupBy("bucket").applyInArrow(run, ANSWER)
 
 
 ANSWER = "kind string, bucket int, chunk long, a binary, b binary, sizes array<long>"
@@ -423,7 +429,7 @@ def merge_bigrams(requests: DataFrame, uni: Unigrams, buckets: int) -> DataFrame
         return pa.Table.from_arrays(
             [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["kind", "bucket", "piece", "chunk", "a", "b", "sizes"])
 
-    return requests.groupBy("bucket", "piece").applyInArrow(
+    return spread_out(requests, buckets, "bucket", "piece").groupBy("bucket", "piece").applyInArrow(
         run, "kind string, bucket int, piece int, chunk long, a binary, b binary, sizes array<long>")
 
 
