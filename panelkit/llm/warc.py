@@ -10,6 +10,8 @@ Reading. A file is walked member by member (or record by record where it isn't
 compressed). A record counts when its member's checksum, its lengths and its digests
 hold. After a failed check the reader looks for the next offset at which a valid
 member or a version line starts, goes on there, and logs the bytes between as a gap.
+It does the same inside a member's content, also in what unpacks before a member fails;
+there only records with a block digest count.
 
 A file is one row of Spark's `binaryFile` source; `archive_bytes` sets the size of the
 files that are written here. Foreign files have to fit a task (2 GB at most).
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +35,7 @@ from urllib.parse import quote
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
+VERSION_LINE = re.compile(rb"WARC/[0-9]")
 # An empty gzip member: header, empty block, checksum and size of nothing.
 EMPTY_MEMBER = "\x1f\x8b\x08" + "\0" * 6 + "\x03\x03" + "\0" * 9
 RECORD = "urn:x-page:"
@@ -115,18 +119,39 @@ class Damaged(Exception):
     """A check failed; says which."""
 
 
-def _unpack(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at `at`; its checksum holds."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at `at` unpacks to, its end, and what failed ("" if its checksum holds)."""
     unpacker, content, view = zlib.decompressobj(31), [], memoryview(data)
     try:
         while not unpacker.eof and at < len(data):  # in pieces: what is left over is copied
-            content.append(unpacker.decompress(view[at:at + CHUNK]))
+            before, piece = unpacker.copy(), view[at:at + CHUNK]
+            content.append(unpacker.decompress(piece))
             at = min(at + CHUNK, len(data))
-    except zlib.error as e:
-        raise Damaged("member: checksum or data") from e
+    except zlib.error:
+        content.append(_up_to_error(before, piece))
+        return b"".join(content), at, "member: checksum or data"
     if not unpacker.eof:
-        raise Damaged("member: cut short")
-    return b"".join(content), at - len(unpacker.unused_data)
+        return b"".join(content), at, "member: cut short"
+    return b"".join(content), at - len(unpacker.unused_data), ""
+
+
+def _up_to_error(unpacker, piece: memoryview) -> bytes:
+    """What the bytes of a piece unpack to before its first fault."""
+    out = []
+    try:
+        for i in range(len(piece)):
+            out.append(unpacker.decompress(piece[i:i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _unpack(data: bytes, at: int) -> tuple[bytes, int]:
+    """Content and end of the gzip member at `at`; its checksum holds."""
+    content, end, fault = _inflate(data, at)
+    if fault:
+        raise Damaged(fault)
+    return content, end
 
 
 def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -165,19 +190,6 @@ def _payload(header: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def _unit(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the member or plain record at `at`, and its end."""
-    if data.startswith(MAGIC, at):
-        content, end = _unpack(data, at)
-        out, i = [], 0
-        while i < len(content):
-            header, block, i = _record(content, i)
-            out.append((header, _payload(header, block)))
-        return out, end
-    header, block, end = _record(data, at)
-    return [(header, _payload(header, block))], end
-
-
 def _holds(data: bytes, at: int) -> bool:
     try:
         _record(data, at)
@@ -186,33 +198,68 @@ def _holds(data: bytes, at: int) -> bool:
     return True
 
 
-def _next_start(data: bytes, after: int) -> int:
-    """The next offset from `after` on that starts a valid member or record.
+def _next_start(data: bytes, after: int, packed: bool = True) -> int:
+    """The next offset from `after` on that starts a valid member (if `packed`) or record.
 
     A version line at the start of a line is taken as it is (what follows is checked in
     turn); one that is glued to other bytes only if a whole record holds there.
     """
-    zipped, plain = data.find(MAGIC, after), data.find(b"WARC/1.", after)
-    while zipped >= 0 or plain >= 0:
-        if plain < 0 or 0 <= zipped < plain:
+    zipped, line = data.find(MAGIC, after) if packed else -1, VERSION_LINE.search(data, after)
+    while zipped >= 0 or line:
+        if not line or 0 <= zipped < line.start():
             try:
                 _unpack(data, zipped)
                 return zipped
             except Damaged:
                 zipped = data.find(MAGIC, zipped + 1)
-        elif data[plain - 1:plain] == b"\n" or _holds(data, plain):
-            return plain
+        elif data[line.start() - 1:line.start()] == b"\n" or _holds(data, line.start()):
+            return line.start()
         else:
-            plain = data.find(b"WARC/1.", plain + 1)
+            line = VERSION_LINE.search(data, line.start() + 1)
     return len(data)
 
 
+def _records(data: bytes, at: int = 0) -> Iterator[tuple]:
+    """Records and gaps of plain bytes from `at` on, with offsets in them."""
+    lost, reason = None, ""
+    while at < len(data):
+        try:
+            header, block, end = _record(data, at)
+            payload = _payload(header, block)
+        except Damaged as e:
+            lost, reason = (at, str(e)) if lost is None else (lost, reason)
+            at = _next_start(data, at + 1, packed=False)
+            continue
+        if lost is not None:
+            yield "gap", lost, at, reason, None
+            lost = None
+        yield "record", at, end, header, payload
+        at = end
+    if lost is not None:
+        yield "gap", lost, len(data), reason, None
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
-    """("record", start, end, header, payload) and ("gap", start, end, reason, None), in order."""
+    """("record", start, end, header, payload) and ("gap", start, end, reason, None), in order.
+
+    Offsets are those of the file; records and gaps inside a member have the member's.
+    Of a member that fails its check, records count whose own lengths and block digest
+    hold, and the member is logged as a gap up to where the reader goes on.
+    """
     at, lost, reason = 0, None, ""
     while at < len(data):
+        inside, fault = [], ""
         try:
-            records, end = _unit(data, at)
+            if data.startswith(MAGIC, at):
+                content, end, fault = _inflate(data, at)
+                inside = [e for e in _records(content) if not fault or e[0] == "record" and "warc-block-digest" in e[3]]
+                if fault and not inside:
+                    raise Damaged(fault)
+                if fault:
+                    end = _next_start(data, at + 1)
+            else:
+                header, block, end = _record(data, at)
+                inside = [("record", 0, 0, header, _payload(header, block))]
         except Damaged as e:
             lost, reason = (at, str(e)) if lost is None else (lost, reason)
             at = _next_start(data, at + 1)
@@ -220,8 +267,10 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if lost is not None:
             yield "gap", lost, at, reason, None
             lost = None
-        for header, payload in records:
-            yield "record", at, end, header, payload
+        for kind, _, _, what, payload in inside:
+            yield kind, at, end, what, payload
+        if fault:
+            yield "gap", at, end, fault, None
         at = end
     if lost is not None:
         yield "gap", lost, len(data), reason, None
