@@ -7,6 +7,7 @@ tables and streams below the shared folder.
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -266,6 +267,8 @@ def late_recompaction(s, d):
 # ---- models -----------------------------------------------------------------------------------------
 
 HORIZON = 360
+# Horizons that models are trained and evaluated for, multiples of the bin.
+HORIZONS = (HORIZON, 2 * HORIZON)
 
 
 def station_parts(s, d) -> tuple[DataFrame, dict]:
@@ -273,22 +276,27 @@ def station_parts(s, d) -> tuple[DataFrame, dict]:
     panel = materialize(clean.enforce_schema(C.weathered(s, d)), "panel")
     st = materialize(spatial.stations_of(panel), "stations")
     return panel, {
-        "static": materialize(spatial.station_static(st, k=8), "static"),
+        "static": materialize(spatial.station_static(st), "static"),
         "knn": materialize(spatial.knn_map(st, 5), "knn"),
         "mapping": materialize(clean.status_mapping(panel), "status"),
     }
 
 
-def training_rows(panel: DataFrame, parts: dict) -> DataFrame:
-    return materialize(ml.training_frame(panel, datetime(2024, 1, 1), date(2024, 1, 27), CFG, HORIZON, **parts), "training-rows")
+def training_rows(panel: DataFrame, parts: dict, horizon: int = HORIZON) -> DataFrame:
+    return materialize(ml.training_frame(panel, datetime(2024, 1, 1), date(2024, 1, 27), CFG, horizon, **parts), "training-rows")
 
 
 def model_parts(s, d) -> dict:
-    """Panel, station tables, training rows and a fitted model, made anew for each query."""
+    """Panel, station tables and a fitted model with its errors for each horizon, made anew for each query."""
     panel, parts = station_parts(s, d)
-    rows = training_rows(panel, parts)
-    pack, errors = ml.train(rows, HORIZON, max_iter=10, max_depth=4)
-    return {"panel": panel, "parts": parts, "rows": rows, "pack": pack, "errors": errors}
+    fitted = [ml.train(training_rows(panel, parts, h), h) for h in HORIZONS]
+    return {"panel": panel, "parts": parts, "packs": [p for p, _ in fitted], "errors": [e for _, e in fitted]}
+
+
+def per_horizon(frames: list[DataFrame]) -> DataFrame:
+    """One table of several, in the order of HORIZONS, with the horizon as a column."""
+    named = [f.withColumn("horizon_min", F.lit(h)) for h, f in zip(HORIZONS, frames)]
+    return reduce(DataFrame.unionByName, named)
 
 
 @query
@@ -352,28 +360,28 @@ def station_clusters(s, d):
 
 @query
 def model_errors(s, d):
-    """Validation error of the trained model."""
-    return model_parts(s, d)["errors"]
+    """Validation error of the trained models."""
+    return per_horizon(model_parts(s, d)["errors"])
 
 
 @query
 def feature_importance(s, d):
-    """Gain shares of the model's inputs."""
-    return ml.feature_importance(s, model_parts(s, d)["pack"])
+    """Gain shares of the models' inputs."""
+    return per_horizon([ml.feature_importance(s, p) for p in model_parts(s, d)["packs"]])
 
 
 @query
 def model_forecast(s, d):
-    """Forecast of every station from its last row."""
+    """Forecasts of every station from its last row."""
     m = model_parts(s, d)
-    return ml.predict_latest(m["panel"], m["pack"], CFG, C.NOW, **m["parts"])
+    return reduce(DataFrame.unionByName, [ml.predict_latest(m["panel"], p, CFG, C.NOW, **m["parts"]) for p in m["packs"]])
 
 
 @query
 def model_performance(s, d):
     """Errors of the model's own predictions on the last days, per horizon."""
     m = model_parts(s, d)
-    perf = materialize(compose.build_perf(m["panel"], date(2024, 1, 28), [m["pack"]], CFG, **m["parts"]), "perf")
+    perf = materialize(compose.build_perf(m["panel"], date(2024, 1, 28), m["packs"], CFG, **m["parts"]), "perf")
     return evaluate.performance_global(features.pick_prediction(perf))
 
 
@@ -381,7 +389,7 @@ def model_performance(s, d):
 def forecast_bundle(s, d):
     """Forecasts of all stations for every model, from the recent panel."""
     m = model_parts(s, d)
-    out = compose.build_forecast(m["panel"], [m["pack"]], datetime(2024, 1, 30, 18), CFG, **m["parts"])
+    out = compose.build_forecast(m["panel"], m["packs"], datetime(2024, 1, 30, 18), CFG, **m["parts"])
     return compose.forecast_status(out)
 
 
@@ -393,8 +401,10 @@ def stream_forecast(s, d):
     path = work_path(s, "panel-in")
     m["panel"].write.parquet(path)
     src = s.readStream.schema(m["panel"].schema).parquet(path)
-    streams.start_forecast(src, m["pack"], f"{root}/panel", f"{root}/out", f"{root}/checkpoint", CFG, **m["parts"])
-    return s.read.parquet(f"{root}/out").select("station_id", "horizon_min", "tbin_latest", "bikes_pred_int", "capacity_bin")
+    for p in m["packs"]:  # each stream has its own state
+        at = f"{root}/{p.horizon_min}"
+        streams.start_forecast(src, p, f"{at}/panel", f"{at}/out", f"{at}/checkpoint", CFG, **m["parts"])
+    return s.read.parquet(*[f"{root}/{h}/out" for h in HORIZONS]).select("station_id", "horizon_min", "tbin_latest", "bikes_pred_int", "capacity_bin")
 
 
 def _profiles(s, d) -> DataFrame:
@@ -448,10 +458,15 @@ def model_performance_report(s, d):
     return _sizes(s, compose.model_performance(materialize(C.perf(s, d), "perf"), CFG, C.clusters(s, d)))
 
 
+def explained(s: SparkSession, perf: DataFrame, packs: list[ml.ModelPack]) -> compose.Report:
+    """The explainability report with the importances of every horizon's model."""
+    return compose.model_explainability(perf, CFG) | {"feature_importance": per_horizon([ml.feature_importance(s, p) for p in packs])}
+
+
 @query
 def model_explainability_report(s, d):
     """Tables of the explainability report."""
-    return _sizes(s, compose.model_explainability(materialize(C.perf(s, d), "perf"), CFG, model_parts(s, d)["pack"]))
+    return _sizes(s, explained(s, materialize(C.perf(s, d), "perf"), model_parts(s, d)["packs"]))
 
 
 @query
@@ -502,7 +517,7 @@ def monitoring_run(s, d):
         "health": lambda: compose.data_health(C.raw(s, d), C.NOW, CFG),
         "drift": lambda: compose.data_drift(C.drift_events(s, d), C.DRIFT_CFG),
         "performance": lambda: compose.model_performance(perf, CFG, C.clusters(s, d)),
-        "explainability": lambda: compose.model_explainability(perf, CFG, m["pack"]),
+        "explainability": lambda: explained(s, perf, m["packs"]),
         "broken": broken,
         "overview": lambda: compose.network_overview(C.panel(s, d), CFG, C.DAY),
         "dynamics": lambda: compose.network_dynamics(C.panel(s, d), CFG),
