@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelkit.llm import ann, bpe, chat, dedup, katz, mixing, secrets, simhash, toxicity, warc
+from panelkit.llm import ann, bpe, chat, chosenpath, convrepair, dedup, katz, mixing, secrets, simhash, toxicity, warc, whitening
 from panelkit.llm.frames import crc_mod, table
 from panelkit.session import work_path
 
@@ -106,6 +106,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near copies."""
+    return chosenpath.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired."""
+    return convrepair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_warc": op2_warc,
@@ -117,4 +132,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_katz": op9_katz,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
+    "op12_chosen_path": op12_chosen_path,
+    "op13_conversation_repair": op13_conversation_repair,
 }

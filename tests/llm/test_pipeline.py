@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from test_similarity import kept as similar_kept
 
 from panelkit.llm import bpe, toxicity
 from panelkit.llm.frames import table
@@ -33,8 +34,8 @@ def test_pipeline_matches_plain_stages(spark, result):
     for i, t, s in sorted(clean):
         last[t or ""] = (i, t, s)
     once = sorted(last.values())
-    lead = brute.components({i: brute.xx_fingerprint(t) for i, t, _ in once})
-    kept = [r for r in once if lead[r[0]] == r[0]]
+    stay = set(similar_kept([(i, t) for i, t, _ in once]))
+    kept = [r for r in once if r[0] in stay]
     ranks = {t: i for i, t in enumerate(bpe.read_ranks(public_tokenizers.path(corpus_pipeline.VOCABULARY)))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     text = {i: t or "" for i, t, _ in kept}

@@ -5,10 +5,10 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-import pytest
 
-from panelkit.llm import jaccard
+from panelkit.llm import chosenpath
 from panelkit.llm.frames import table
+from panelkit.session import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,18 +64,16 @@ def corpus():
     return out + [(900, None), (901, " \n"), (902, ""), (None, out[0][1].upper()), (None, "alone")]
 
 
-@pytest.mark.parametrize("frequent", [4, 2, 10_000])
-def test_all_similar_pairs_link(spark, monkeypatch, frequent):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+def test_all_similar_pairs_link(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = jaccard.keep_one(df)
+    got = chosenpath.keep_one(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == kept(rows)
 
 
 def test_stage_finds_pairs_far_apart_in_bits(spark):
-    docs = table(spark, SF, "documents").dropDuplicates(["text"]).select("doc_id", "text", "source").localCheckpoint()
+    docs = materialize(table(spark, SF, "documents").dropDuplicates(["text"]).select("doc_id", "text", "source"), "once")
     want = kept([(r.doc_id, r.text) for r in docs.collect()])
     got = sorted((r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
     assert len(want) < docs.count() and got == want
@@ -84,5 +82,5 @@ def test_stage_finds_pairs_far_apart_in_bits(spark):
 def test_repeated_ids(spark):
     a, b = " ".join("abcdefghij"), " ".join("qrstuvwxyz")
     rows = [(3, a), (5, a + " k"), (5, b), (7, b), (5, b)]
-    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = chosenpath.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [(3, a), (5, b)]
