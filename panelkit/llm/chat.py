@@ -3,7 +3,7 @@ r"""Chat formatting: typed content parts, an escaped template and a loss mask.
 A message is a role and a list of typed parts. A visitor walks the parts in order
 and flattens them to text: text parts as they are, image, audio and document parts
 as one placeholder each. It records each attachment (turn, part, kind, reference,
-placeholder offset, expanded tokens): images count tiles of `TILE` pixels, audio
+placeholder's offset in the conversation, expanded tokens): images count tiles of `TILE` pixels, audio
 `AUDIO_RATE` tokens a second, documents `PAGE_TOKENS` a page.
 
 A conversation is the concatenation of its turns, each
@@ -26,12 +26,14 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TILE, AUDIO_RATE, PAGE_TOKENS = 28, 25, 512
 OPEN, SEP, CLOSE = "### ", ": ", "</turn>\n"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
-ATTACHMENT = "struct<part:int,kind:string,ref:string,n_tokens:bigint>"
+ATTACHMENT = "struct<part:int,kind:string,ref:string,offset:bigint,n_tokens:bigint>"
+VISITED = f"struct<part:int,body:string,held:string,files:array<{ATTACHMENT}>>"
+FILES = ("image", "audio", "document")
 
 
 def text_parts(text: Column) -> Column:
@@ -72,24 +74,40 @@ def part_tokens(p: Column) -> Column:
     )
 
 
-def flatten(parts: Column) -> Column:
-    """Ordered, escaped text of a message with a placeholder per attachment."""
-    def visit(p):
-        return (
-            F.when(_kind(p).isin("image", "audio", "document"), F.concat(F.lit("<|"), _kind(p), F.lit("|>")))
-            .otherwise(escape(F.coalesce(p["text"], F.lit(""))))
-        )
-    return F.array_join(F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), visit), "")
+def _parts(parts: Column) -> Column:
+    return F.coalesce(parts, F.array().cast(f"array<{PART}>"))
 
 
-def attachments(parts: Column) -> Column:
-    """One entry per image, audio or document part: part (its place), kind, ref, n_tokens."""
-    def visit(p, i):
-        return F.struct(
-            i.alias("part"), _kind(p).alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("n_tokens")
-        )
-    every = F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), visit)
-    return F.filter(every, lambda a: a["kind"].isin("image", "audio", "document"))
+def _placeholder(p: Column) -> Column:
+    return F.concat(F.lit("<|"), _kind(p), F.lit("|>"))
+
+
+def plain(parts: Column) -> Column:
+    """A message's text before escaping, placeholders in it."""
+    return F.array_join(F.transform(_parts(parts), lambda p: F.when(_kind(p).isin(*FILES), _placeholder(p)).otherwise(F.coalesce(p["text"], F.lit("")))), "")
+
+
+def visit(parts: Column) -> Column:
+    """A message's parts in order as struct (body, files): text parts that follow each other are escaped as one.
+
+    `body` is the escaped text with a placeholder per attachment; `files` has an entry for each of these: part (its
+    place), kind, ref, offset (code points before its placeholder in the body), n_tokens.
+    """
+    start = F.struct(
+        F.lit(0).alias("part"), F.lit("").alias("body"), F.lit("").alias("held"), F.array().cast(f"array<{ATTACHMENT}>").alias("files")).cast(VISITED)
+
+    def step(v: Column, p: Column) -> Column:
+        done = F.concat(v["body"], escape(v["held"]))
+        entry = F.struct(
+            v["part"].alias("part"), _kind(p).alias("kind"), p["ref"].alias("ref"), F.char_length(done).cast("long").alias("offset"),
+            part_tokens(p).alias("n_tokens"))
+        held = F.concat(v["held"], F.coalesce(p["text"], F.lit("")))
+        file = F.struct(v["part"] + 1, F.concat(done, _placeholder(p)), F.lit(""), F.concat(v["files"], F.array(entry))).cast(VISITED)
+        text = F.struct(v["part"] + 1, v["body"], held, v["files"]).cast(VISITED)
+        return F.when(_kind(p).isin(*FILES), file).otherwise(text)
+
+    return F.aggregate(_parts(parts), start, step, lambda v: F.struct(
+        F.concat(v["body"], escape(v["held"])).alias("body"), v["files"].alias("files")))
 
 
 def format_conversations(
@@ -98,43 +116,28 @@ def format_conversations(
 ) -> DataFrame:
     """Per conversation: conv_id, formatted, spans (start, length of each learned text, code points), attachments, expanded_tokens."""
     rows = messages.select(
-        F.col(conv_id).alias("conv_id"),
-        F.struct(
-            F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
-            flatten(F.col(parts)).alias("body"), attachments(F.col(parts)).alias("files"),
-        ).alias("m"),
-    )
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("turns"))
-    head = lambda m: F.concat(F.lit(OPEN), F.url_encode(m["role"]), F.lit(SEP))
-    # Offsets by one running fold over lengths, not over texts.
-    sizes = F.transform(
-        "turns",
-        lambda m: F.struct(
-            F.char_length(head(m)).cast("long").alias("before"), F.char_length(m["body"]).cast("long").alias("own"),
-            (m["role"] == learn).alias("learn"),
-        ),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    fold = F.aggregate(
-        sizes, start,
-        lambda a, m: F.struct(
-            (a["end"] + m["before"] + m["own"] + len(CLOSE)).alias("end"),
-            F.when(
-                m["learn"],
-                F.concat(a["spans"], F.array(F.struct((a["end"] + m["before"]).alias("start"), m["own"].alias("length")))),
-            ).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    files = F.flatten(
-        F.transform("turns", lambda m, i: F.transform(m["files"], lambda f: F.struct(
-            i.alias("message"), f["part"].alias("part"), f["kind"].alias("kind"), f["ref"].alias("ref"),
-            f["n_tokens"].alias("n_tokens"))))
+        F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
+        plain(F.col(parts)).alias("plain"), visit(F.col(parts)).alias("v"),
     )
+    rows = rows.select(
+        "conv_id", "turn", "role", "plain", F.concat(F.lit(OPEN), F.url_encode("role"), F.lit(SEP)).alias("head"),
+        F.col("v.body").alias("body"), F.col("v.files").alias("files"),
+    ).withColumns({"before": F.char_length("head").cast("long"), "own": F.char_length("body").cast("long")})
+    # Places and offsets by running sums over the conversation's rows, in the exchange that gathers them anyway.
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "plain", "body", F.to_json("files"))
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumns({
+        "message": F.row_number().over(order) - 1,
+        "start": F.coalesce(F.sum(F.col("before") + F.col("own") + len(CLOSE)).over(upto), F.lit(0)) + F.col("before"),
+    })
+    one = F.struct("message", "start", "own", "role", F.concat("head", "body", F.lit(CLOSE)).alias("text"), "files")
+    turns = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda m: m["role"] == learn), lambda m: F.struct(m["start"].alias("start"), m["own"].alias("length")))
+    files = F.flatten(F.transform("turns", lambda m: F.transform(m["files"], lambda f: F.struct(
+        m["message"].alias("message"), f["part"].alias("part"), f["kind"].alias("kind"), f["ref"].alias("ref"),
+        (m["start"] + f["offset"]).alias("offset"), f["n_tokens"].alias("n_tokens")))))
     return turns.select(
-        "conv_id",
-        F.array_join(F.transform("turns", lambda m: F.concat(head(m), m["body"], F.lit(CLOSE))), "").alias("formatted"),
-        fold.alias("spans"), files.alias("attachments"),
+        "conv_id", F.array_join(F.transform("turns", lambda m: m["text"]), "").alias("formatted"), spans.alias("spans"), files.alias("attachments"),
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, f: n + f["n_tokens"]))
 
 

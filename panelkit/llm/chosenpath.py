@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from panelkit.llm.bitmaps import bitmap, may_be_similar, shingle_set, similar, words_of
-from panelkit.llm.frames import fresh, parts, text_or_empty
+from panelkit.llm.frames import fresh, parts, small_batches, text_or_empty
 from panelkit.llm.graph import components
 from panelkit.operators.rows import small_side
 from panelkit.session import materialize
@@ -279,6 +279,7 @@ def links(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -
 
 def _labels(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(row, n, label) of rows (row, text): the same label for all rows of a component, blank texts share one."""
+    small_batches(rows.sparkSession)
     sketches = materialize(_sketched(rows, width), "path-sketches")
     first = materialize(sketches.groupBy("digest").agg(F.min("row").alias("node"), F.max("n").alias("n")), "path-classes")
     again = sketches.select("row", "digest").join(first.select("node", "digest"), "digest").filter("row <> node").select("row")

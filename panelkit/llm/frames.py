@@ -32,3 +32,8 @@ def fresh(df: DataFrame, name: str) -> str:
 def parts(spark: SparkSession, least: int = 1) -> int:
     """Partitions for a key-wise shuffle of rows that Spark can't size itself (packed arrays)."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let batches to Python hold at most `rows` rows: whole texts of any length stay within an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

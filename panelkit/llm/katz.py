@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelkit.llm.frames import parts
-from panelkit.session import materialize
+from panelkit.session import materialize, work_path
 
 K, DELTA = 5, 0.05
 # No word holds white space: names of the end and the begin of a text.
@@ -176,7 +176,7 @@ class Building:
 
 
 def build_chunks(docs: DataFrame, doc_id: str, text: str, train: Column, buckets: int) -> DataFrame:
-    """(chunk, doc_ids, train, sizes, words per bucket, tokens): local words are numbered by bucket, then by bytes."""
+    """(chunk, doc_ids, train, sizes, buckets it has words of, those words, tokens): local words are numbered by bucket, then by bytes."""
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), train.alias("train"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text")
     )
@@ -189,16 +189,16 @@ def build_chunks(docs: DataFrame, doc_id: str, text: str, train: Column, buckets
         order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        home, cut = np.unique(bucket[order], return_index=True)
         in_order = [words[i] for i in order]
-        blobs = [pack_words(in_order[cut[i]:cut[i + 1]]) for i in range(buckets)]
+        blobs = [pack_words(in_order[a:b]) for a, b in zip(cut, [*cut[1:], len(order)])]
         row = {
             "chunk": [TaskContext.get().partitionId() << 32 | number], "doc_ids": pa.array([b.docs], pa.list_(arrow_kind)),
-            "train": [b.train], "sizes": [list(map(len, b.tokens))], "words": [blobs], "tokens": [pack(place[np.concatenate(b.tokens)])],
+            "train": [b.train], "sizes": [list(map(len, b.tokens))], "buckets": [home.tolist()], "words": [blobs], "tokens": [pack(place[np.concatenate(b.tokens)])],
         }
         return pa.RecordBatch.from_pydict(row, schema=pa.schema([
             ("chunk", pa.int64()), ("doc_ids", pa.list_(arrow_kind)), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())),
-            ("words", pa.list_(pa.binary())), ("tokens", pa.binary())]))
+            ("buckets", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())), ("tokens", pa.binary())]))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, number = Building(), 0
@@ -213,17 +213,22 @@ def build_chunks(docs: DataFrame, doc_id: str, text: str, train: Column, buckets
 
     schema = (
         f"chunk long, doc_ids array<{'string' if arrow_kind == pa.string() else 'long'}>, train array<boolean>, "
-        "sizes array<int>, words array<binary>, tokens binary"
+        "sizes array<int>, buckets array<int>, words array<binary>, tokens binary"
     )
     return rows.mapInArrow(run, schema)
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """`df` as a table bucketed by `key` in the warehouse: joins on it move the other side only."""
+    """`df` as files bucketed by `key` below the shared folder: joins on it move the other side only.
+
+    The catalog entry that bucketing needs goes at once; the files go with the other intermediate tables.
+    """
     spark = df.sparkSession
     name = f"panelkit_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts(spark), key).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    df.write.bucketBy(parts(spark), key).format("parquet").option("path", work_path(spark, "bucketed")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def _rows(f: pa.RecordBatch) -> Iterator[dict]:
@@ -267,7 +272,7 @@ def word_requests(chunks: DataFrame) -> DataFrame:
                 counts = np.bincount(c.tokens[c.train], minlength=1)
                 at, out = 0, []
                 begins = int(sum(row["train"]))
-                for bucket, blob in enumerate(row["words"]):
+                for bucket, blob in zip(row["buckets"], row["words"]):
                     words = unpack_words(blob)
                     own = np.zeros(len(words), np.int64)
                     have = counts[at:at + len(words)]
@@ -281,7 +286,7 @@ def word_requests(chunks: DataFrame) -> DataFrame:
                     [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
                     ["bucket", "chunk", "words", "counts"])
 
-    return chunks.select("chunk", "train", "sizes", "words", "tokens").mapInArrow(run, "bucket int, chunk long, words binary, counts binary")
+    return chunks.select("chunk", "train", "sizes", "buckets", "words", "tokens").mapInArrow(run, "bucket int, chunk long, words binary, counts binary")
 
 
 def merge_words(requests: DataFrame, buckets: int) -> DataFrame:
@@ -326,7 +331,7 @@ def summed(answers: DataFrame, n: int) -> list[int]:
 def by_chunk(answers: DataFrame, *order: str) -> DataFrame:
     """(chunk, answers): a chunk's answers, as many as it asked for, in `order`."""
     return (
-        answers.filter("kind = 'answer'").groupBy("chunk")
+        answers.groupBy("chunk")
         .agg(F.sort_array(F.collect_list(F.struct(*order, "a", "b"))).alias("answers"))
     )
 
@@ -342,9 +347,13 @@ def _word_answers(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def _begin(row: dict, buckets: int) -> int:
     """Local number of the begin: words are in order of bucket, then bytes."""
-    home = zlib.crc32(BEGIN) % buckets
-    lists = [unpack_words(blob) for blob in row["words"][:home + 1]]
-    return sum(map(len, lists[:-1])) + lists[-1].index(BEGIN)
+    home, at = zlib.crc32(BEGIN) % buckets, 0
+    for bucket, blob in zip(row["buckets"], row["words"]):
+        words = unpack_words(blob)
+        if bucket == home:
+            return at + words.index(BEGIN)
+        at += len(words)
+    raise ValueError("a chunk without a begin")
 
 
 class Lookup:
@@ -404,7 +413,8 @@ def context_sums(count: np.ndarray, second: np.ndarray, of: np.ndarray, n: int,
 def merge_bigrams(requests: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
     """Per bucket and piece: 'table' (keys, counts), an 'answer' per chunk, and 'spread' (contexts, sums) of spread contexts.
 
-    An answer has the chunk's counts and the sums of the contexts of its unseen bigrams, in order of key.
+    An answer has the chunk's counts and the sums (of spread contexts: the numbers) of the contexts of its unseen
+    bigrams, in order of key.
     """
     def run(key, table):
         bucket, piece = key[0].as_py(), key[1].as_py()
@@ -423,8 +433,10 @@ def merge_bigrams(requests: DataFrame, uni: Unigrams, buckets: int) -> DataFrame
         ends = np.cumsum(list(map(len, keys)))
         for chunk, a, b in zip(table["chunk"].to_pylist(), np.append(0, ends[:-1]), ends):
             own = place[a:b]
-            missing = np.unique(of[own[count[own] == 0]]) if piece < 0 else np.zeros(0, np.int64)
-            rows.append(("answer", bucket, piece, chunk, pack(count[own]), sums[missing].tobytes(), None))
+            missing = np.unique(of[own[count[own] == 0]])
+            # The sums of a spread context are known when its pieces are added up; until then its number stands for them.
+            about = sums[missing] if piece < 0 else context[missing] * buckets + bucket
+            rows.append(("answer", bucket, piece, chunk, pack(count[own]), about.tobytes(), None))
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         return pa.Table.from_arrays(
             [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["kind", "bucket", "piece", "chunk", "a", "b", "sizes"])
@@ -433,23 +445,43 @@ def merge_bigrams(requests: DataFrame, uni: Unigrams, buckets: int) -> DataFrame
         run, "kind string, bucket int, piece int, chunk long, a binary, b binary, sizes array<long>")
 
 
-def spread_contexts(answers: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of the contexts that hold more than a bucket's worth of tokens: fewer than there are buckets."""
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def with_spread_sums(pairs: DataFrame) -> DataFrame:
+    """The answers, those about spread contexts with the sums over all pieces in place of the contexts' numbers."""
+    names = [f"s{i}" for i in range(CONTEXT)]
+
+    def sums(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             for a, b in zip(f.column(0).to_pylist(), f.column(1).to_pylist()):
-                sums = np.frombuffer(b).reshape(-1, CONTEXT)
+                part = np.frombuffer(b).reshape(-1, CONTEXT)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(a, np.int64)), *(pa.array(sums[:, i]) for i in range(CONTEXT))],
-                    ["number", *(f"s{i}" for i in range(CONTEXT))])
+                    [pa.array(np.frombuffer(a, np.int64)), *(pa.array(part[:, i]) for i in range(CONTEXT))], ["number", *names])
 
-    names = [f"s{i}" for i in range(CONTEXT)]
-    rows = (
-        answers.filter("kind = 'spread'").select("a", "b")
-        .mapInArrow(run, ", ".join(["number long", *(f"{n} double" for n in names)]))
-        .groupBy("number").agg(*[F.sum(n).alias(n) for n in names]).collect()
+    def asked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for chunk, bucket, piece, b in zip(*(c.to_pylist() for c in f.columns)):
+                number = np.frombuffer(b, np.int64)
+                same = [np.full(len(number), x) for x in (chunk, bucket, piece)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(same[0], pa.int64()), pa.array(same[1], pa.int32()), pa.array(same[2], pa.int32()), pa.array(number)],
+                    ["chunk", "bucket", "piece", "number"])
+
+    def packed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            flat = [np.asarray(x or [], np.float64).ravel().tobytes() for x in f.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*f.columns[:4], pa.array(flat, pa.binary())], ["chunk", "bucket", "piece", "a", "b"])
+
+    total = (
+        pairs.filter("kind = 'spread'").select("a", "b").mapInArrow(sums, ", ".join(["number long", *(f"{n} double" for n in names)]))
+        .groupBy("number").agg(*[F.sum(n).alias(n) for n in names]).select("number", F.array(*names).alias("sums"))
+    )
+    answers = pairs.filter("kind = 'answer'").select("chunk", "bucket", "piece", "a", "b")
+    spread, place = answers.filter("piece >= 0"), ["chunk", "bucket", "piece"]
+    found = (
+        spread.select(*place, "b").mapInArrow(asked, "chunk long, bucket int, piece int, number long").join(total, "number").groupBy(*place)
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "sums"))), lambda r: r["sums"]).alias("rows"))
     )
-    return {r["number"]: np.array(r[1:]) for r in rows}
+    filled = spread.drop("b").join(found, place, "left").select(*place, "a", "rows")
+    return answers.filter("piece < 0").unionByName(filled.mapInArrow(packed, "chunk long, bucket int, piece int, a binary, b binary"))
 
 
 # --- scores ---------------------------------------------------------------------------------
@@ -459,7 +491,6 @@ def spread_contexts(answers: DataFrame) -> dict[int, np.ndarray]:
 class Model:
     uni: Unigrams
     bi: Discounts
-    spread: dict[int, np.ndarray]
     buckets: int
 
     def alpha(self, sums: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -488,11 +519,8 @@ def score_chunks(chunks: DataFrame, model: Model, schema: str) -> DataFrame:
                     unseen = np.flatnonzero(pair[a:b] == 0) + a
                     if not len(unseen):
                         continue
-                    which, of = np.unique(x.number[unseen], return_inverse=True)
-                    if y["piece"] < 0:
-                        sums = np.frombuffer(y["b"]).reshape(-1, CONTEXT)
-                    else:
-                        sums = np.stack([model.spread[n] for n in which.tolist()])
+                    of = np.unique(x.number[unseen], return_inverse=True)[1]
+                    sums = np.frombuffer(y["b"]).reshape(-1, CONTEXT)
                     alpha[unseen] = model.alpha(sums, context[unseen][np.unique(of, return_index=True)[1]])[of]
                 logs = np.empty(len(pair))
                 logs[x.order] = np.log10(model.probability(pair, context, word, alpha))
@@ -519,12 +547,12 @@ def katz_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     # n_1..n_K and all larger ones.
     larger = types[K + 1]
     uni = Unigrams(total, distinct, d, float(d.lost(np.array([*types[:K], larger]))))
-    asked = chunks.join(by_chunk(words, "bucket"), "chunk")
+    asked = chunks.join(by_chunk(words.filter("kind = 'answer'"), "bucket"), "chunk")
     pairs = materialize(merge_bigrams(bigram_requests(asked, uni, buckets), uni, buckets), "katz-bigrams")
-    model = Model(uni, Discounts.good_turing(summed(pairs, K + 1)), spread_contexts(pairs), buckets)
+    model = Model(uni, Discounts.good_turing(summed(pairs, K + 1)), buckets)
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
     scored = score_chunks(
-        asked.join(by_chunk(pairs, "bucket", "piece").withColumnRenamed("answers", "pairs"), "chunk"), model,
+        asked.join(by_chunk(with_spread_sums(pairs), "bucket", "piece").withColumnRenamed("answers", "pairs"), "chunk"), model,
         f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

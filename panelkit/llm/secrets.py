@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from panelkit.llm.frames import text_or_empty
 
-RULES = "2"
+RULES = "3"
 BASE = ("assign", "access", "hex")
 # The base patterns. ASCII letters only fold case where the kind says so.
 ASSIGN = re.compile(
@@ -38,13 +38,14 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-# Added kinds: a literal that must occur, and a pattern.
+# Added kinds: a literal that must occur, and a pattern. A match may start only where no character of its own
+# class stands before it, so that no part of a text is walked from more than one start.
 ADDED = {
     "private_key": ("-----BEGIN", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
-    "jwt": ("eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    "jwt": ("eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     "forge_token": ("gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")),
-    "chat_token": ("xox", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
-    "url_password": ("://", re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@")),
+    "chat_token": ("xox", re.compile(r"(?<![A-Za-z0-9-])xox[abprs]-[A-Za-z0-9-]{10,}")),
+    "url_password": ("://", re.compile(r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@")),
 }
 KINDS = (*BASE, *ADDED)
 FINDING = T.ArrayType(T.StructType([

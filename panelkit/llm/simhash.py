@@ -41,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from panelkit.llm.frames import fresh, parts as partitions, text_or_empty
+from panelkit.llm.frames import parts as partitions, text_or_empty
 from panelkit.llm.graph import components
 from panelkit.operators.rows import small_side
 from panelkit.session import materialize
@@ -411,13 +411,3 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     groups = linked.join(whole, "label").select("fp", "component_id")
     by_class = classes.join(groups, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(by_class, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is their component's smallest, all columns; of rows with that id, one text."""
-    key = fresh(docs, "_stay")
-    stay = (
-        simhash_components(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias(key)).distinct()
-    )
-    return docs.join(stay, docs[doc_id].eqNullSafe(stay[key]), "left_semi")

@@ -33,6 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from urllib.parse import quote
 
+from panelkit.operators.rows import small_side
+from panelkit.session import materialize
+
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/[0-9]")
@@ -88,7 +91,10 @@ def with_revisits(pages: DataFrame, page_id: str, url: str, payload: str, least_
         .filter("n > 1").drop("n")
     )
     again = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    return rows.join(first, "same", "left").select(
+    # Rows without a digest have no join to make; equal payloads are fewer than pages.
+    shared = small_side(materialize(first, "warc-shared"))
+    small = rows.filter("same IS NULL").withColumn("refers_to", F.lit(None).cast(rows.schema["page_id"].dataType))
+    return rows.filter("same IS NOT NULL").join(shared, "same", "left").unionByName(small).select(
         "page_id", "url", "payload", F.when(again, F.col("refers_to")).alias("refers_to"), again.alias("is_revisit")
     )
 
@@ -97,7 +103,7 @@ def write_archives(
     pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html",
     *, least_bytes: int = 1000, archive_bytes: int = 16_000_000,
 ) -> None:
-    """Writes archives of about `archive_bytes` of payload each below `path`."""
+    """Writes archives of about `archive_bytes` of payload each below `path`: rows are dealt evenly over as many as that takes."""
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             ids, urls, bodies, refs, again = (f.column(i).to_pylist() for i in range(5))
@@ -105,7 +111,7 @@ def write_archives(
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     size = pages.agg(F.sum(F.octet_length(F.col(payload).cast("string")))).first()[0] or 0
-    rows = with_revisits(pages, page_id, url, payload, least_bytes).coalesce(1 + size // archive_bytes)
+    rows = with_revisits(pages, page_id, url, payload, least_bytes).repartition(1 + size // archive_bytes)
     (
         rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
         .write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").text(path)
