@@ -14,15 +14,15 @@ their whole sets is at least `num / den`; a component is what links reach.
    which joins a dense group in as many comparisons as it has members.
 4. Of nodes that still hold several components, small ones (`SMALL` classes) are compared
    exhaustively, across components only; large ones branch again.
-5. What is still large and mixed after `DEPTH` levels is cut in blocks and compared pair of
-   blocks by pair of blocks, so no node is dropped.
+5. Where branching no longer thins large nodes out (texts that are alike, but not enough), or after
+   `DEPTH` levels, they are cut in blocks and compared pair of blocks by pair of blocks, so no node is dropped.
 
 Candidates pass an exact bound from parity bitmaps (`bitmaps`) and are then confirmed on
 the whole sets. Recall: at similarity s the chance that no tree keeps a pair together is
 (1 - r)^TREES, with r the chance in one tree. For a node compared at the first level
-r = 1 - exp(-s / BRANCH): 1e-10 missed at s = 0.85, 6e-10 at 0.8. In nodes that branch on and on r
-falls to the survival of the branching process, 0.53 and 0.45: 6e-6 and 7e-5. Links that
-others of a component replace don't count. The tests compare with all pairs.
+r = 1 - exp(-s / BRANCH): 3e-11 missed at s = 0.85, 1e-10 at 0.8; at the second level 4e-8 and 1e-7. In
+nodes that branch on and on r falls to the survival of the branching process, 0.33 and 0.24: 4e-4 and
+4e-3. Links that others of a component replace don't count. The tests compare with all pairs.
 
 Defined results: null and blank texts have the empty set (n_shingles 0) and link with
 nothing. Ids may repeat or be null: rows are told apart by a number of their own; a
@@ -46,7 +46,9 @@ from panelkit.llm.graph import components
 from panelkit.operators.rows import small_side
 from panelkit.session import materialize
 
-TREES, SLOTS, BRANCH, DEPTH, SEED = 16, 64, 0.6, 8, 20
+TREES, SLOTS, BRANCH, DEPTH, SEED = 20, 64, 0.7, 8, 20
+# Large nodes branch again only while that leaves fewer than this share of their rows in large nodes.
+SHRINK = 0.75
 # Classes of a node that are compared exhaustively, and of one block.
 SMALL, BLOCK = 64, 1024
 # Rows of nodes whose masks are made at a time.
@@ -193,23 +195,54 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int
     return materialize(both.mapInArrow(check, "a long, b long"), "path-links")
 
 
+def _near_pairs(rows: list[tuple], num: int, den: int) -> tuple[list, list]:
+    """(a, b): pairs of rows (node, n, label, bits) with different labels whose sizes and bitmaps allow a link."""
+    a, b, groups = [], [], {}
+    for row in rows:
+        groups.setdefault(len(row[3]), []).append(row)
+    held = {w: (*(np.array([r[i] for r in g]) for i in range(3)), np.frombuffer(b"".join(r[3] for r in g), np.uint64).reshape(len(g), -1)) for w, g in groups.items()}
+    for w, (node, n, label, bits) in held.items():
+        others = [(node, n, label, bits, bits, True)]
+        for narrow in (x for x in held if x < w):
+            folded = bits
+            while folded.shape[1] * 8 > narrow:
+                folded = folded[:, :folded.shape[1] // 2] ^ folded[:, folded.shape[1] // 2:]
+            others.append((*held[narrow], folded, False))
+        for node_b, n_b, label_b, bits_b, mine, same in others:
+            for i in range(0, len(node), 64):
+                x = slice(i, i + 64)
+                fit = (n[x, None] * den >= n_b * num) & (n_b * den >= n[x, None] * num) & (label[x, None] != label_b)
+                if same:
+                    fit &= np.arange(i, i + len(node[x]))[:, None] > np.arange(len(node_b))
+                p, q = np.nonzero(fit)
+                for j in range(0, len(p), 1 << 16):
+                    pj, qj = p[j:j + (1 << 16)] + i, q[j:j + (1 << 16)]
+                    differ = np.bitwise_count(mine[pj] ^ bits_b[qj]).sum(axis=1, dtype=np.int64)
+                    ok = differ * (den + num) <= (n[pj] + n_b[qj]) * (den - num)
+                    a += node[pj[ok]].tolist()
+                    b += node_b[qj[ok]].tolist()
+    return a, b
+
+
 def _across(rows: DataFrame, key: list[str], num: int, den: int) -> DataFrame:
     """Pairs (a, b) within each place `key` of rows (key, node, n, label, bits), across labels and not ruled out."""
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, []
+
+        def found() -> pa.RecordBatch:
+            a, b = _near_pairs(held, num, den)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for f in frames:
             columns = [c.to_pylist() for c in f.columns]
-            a, b = [], []
             for at, row in zip(zip(*columns[4:]), zip(*columns[:4])):
                 if at != place:
+                    if len(held) > 1:
+                        yield found()
                     place, held = at, []
-                node, n, label, bits = row
-                for other, m, theirs, their_bits in held:
-                    if label != theirs and n * den >= m * num and m * den >= n * num and may_be_similar(n, bits, m, their_bits, num, den):
-                        a.append(node)
-                        b.append(other)
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if len(held) > 1:
+            yield found()
 
     n = parts(rows.sparkSession)
     return rows.repartition(n, *key).sortWithinPartitions(*key).select("node", "n", "label", "bits", *key).mapInArrow(compare, "a long, b long")
@@ -229,7 +262,7 @@ def _in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def links(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
     """(node, label) of the classes that link with others: label is the smallest node reachable."""
-    label, open_ = None, None
+    label, open_, large = None, None, 0
 
     def join(new: DataFrame) -> None:
         """Take in new links: the components of their ends' labels rename those labels."""
@@ -271,8 +304,11 @@ def links(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -
         bits = classes.select("node", "bits")
         join(_confirmed(_across(rest.filter(F.col("c") <= SMALL).join(bits, "node"), ["key"], num, den), rows, width, num, den))
         open_ = materialize(mixed(rest.filter(F.col("c") > SMALL).drop("label")), "path-large")
-        if open_.limit(1).count() == 0:
+        large, before = open_.count(), large
+        if not large:
             return label
+        if level and large > SHRINK * before:
+            break
     join(_confirmed(_in_blocks(open_.join(bits, "node"), num, den), rows, width, num, den))
     return label
 
