@@ -6,17 +6,15 @@ all of them and a wide table adds rows, not jobs.
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelkit.config import EMA_ALPHA, PanelConfig
 from panelkit.functions import columns as X
-from panelkit.operators.quantiles import (
-    bin_left_closed, counted, quantiles, quantiles_of_counts, unique_edges,
-)
+from panelkit.operators.quantiles import bin_left_closed, counted, quantiles_of_counts, unique_edges
 from panelkit.operators.rows import combine
+from panelkit.operators.scan import ema
 from panelkit.session import materialize
 
 CFG = PanelConfig()
@@ -132,23 +130,40 @@ def _bin_shares(vc: DataFrame, groups: list[str], edges: DataFrame, small: bool)
     )
 
 
-def _edges(vc: DataFrame, groups: list[str], points: int) -> DataFrame:
+def _distinct(q: Column) -> Column:
     """Distinct quantile edges, to 12 digits like the values.
 
     Interpolation can miss a value it should hit by one rounding, which would
     leave two edges where there is one.
     """
-    q = quantiles_of_counts(vc, groups, [i / points for i in range(points + 1)], name="_q")
-    return q.select(*groups, unique_edges(F.transform("_q", lambda e: F.round(e, 12))).alias("_edges"))
+    return unique_edges(F.transform(q, lambda e: F.round(e, 12)))
 
 
-def psi(vc: DataFrame, groups: list[str], stats: DataFrame, bins: int = CFG.psi_bins, small: bool = True) -> DataFrame:
+def window_edges(vc: DataFrame, groups: list[str], bins: int, points: int, more: DataFrame | None = None) -> DataFrame:
+    """Per group `_ref` (edges of reference quantile bins) and `_pooled` (quantile points of both windows), one rank pass.
+
+    `more` adds value counts (groups, _kind, _v, _w); their medians come as `_medians`, a map by kind.
+    """
+    ref = vc.filter("win = 'ref'").select(*groups, F.lit("_ref").alias("_kind"), "_v", "_w")
+    pooled = vc.groupBy(*groups, "_v").agg(F.sum("_w").alias("_w")).select(*groups, F.lit("_pooled").alias("_kind"), "_v", "_w")
+    counts = ref.unionByName(pooled)
+    if more is not None:
+        counts = counts.unionByName(more.select(*groups, "_kind", "_v", "_w"))
+    probs = [i / bins for i in range(bins + 1)] + [i / (points - 1) for i in range(points)] + [0.5]
+    q = quantiles_of_counts(counts, [*groups, "_kind"], probs, name="_q")
+    part = lambda kind, at, n: F.max(F.when(F.col("_kind") == kind, F.slice("_q", at, n)))
+    out = q.groupBy(*groups).agg(
+        part("_ref", 1, bins + 1).alias("_ref"), part("_pooled", bins + 2, points).alias("_pooled"),
+        F.map_from_entries(F.collect_list(F.struct("_kind", F.element_at("_q", -1)))).alias("_medians"))
+    return materialize(out.select(*groups, _distinct(F.col("_ref")).alias("_ref"), _distinct(F.col("_pooled")).alias("_pooled"), "_medians"), "window-edges")
+
+
+def psi(vc: DataFrame, groups: list[str], stats: DataFrame, edges: DataFrame, small: bool = True) -> DataFrame:
     """Population stability index on reference quantile bins; null when undefined.
 
     Bins empty in both windows add nothing, so only occupied bins are built.
     """
-    ref = vc.filter("win = 'ref'").select(*groups, "_v", "_w")
-    edges = _edges(ref, groups, bins)
+    edges = edges.select(*groups, F.col("_ref").alias("_edges"))
     c = _bin_shares(vc, groups, edges, small)
     tot = c.groupBy(*groups).agg(F.sum("c_ref").alias("t_ref"), F.sum("c_cur").alias("t_cur"))
     p = F.try_divide("c_ref", "t_ref") + EPS
@@ -166,10 +181,9 @@ def psi(vc: DataFrame, groups: list[str], stats: DataFrame, bins: int = CFG.psi_
     )
 
 
-def ks(vc: DataFrame, groups: list[str], stats: DataFrame, points: int = CFG.ks_points, small: bool = True) -> DataFrame:
+def ks(vc: DataFrame, groups: list[str], stats: DataFrame, edges: DataFrame, small: bool = True) -> DataFrame:
     """Largest gap of the two distribution functions on pooled quantiles."""
-    pooled = vc.groupBy(*groups, "_v").agg(F.sum("_w").alias("_w"))
-    edges = _edges(pooled, groups, points - 1)
+    edges = edges.select(*groups, F.col("_pooled").alias("_edges"))
     c = _bin_shares(vc, groups, edges, small)
     upto = Window.partitionBy(*groups).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     tot = c.groupBy(*groups).agg(F.sum("c_ref").alias("t_ref"), F.sum("c_cur").alias("t_cur"))
@@ -211,7 +225,8 @@ def drift_metrics(
     stats = materialize(window_stats(vc, g), "feature-stats")
     # One row per feature: bounded by the table's columns.
     out = stats.filter(_enough()).select("feature", "n_ref", "n_cur")
-    for part in (psi(vc, g, stats, cfg.psi_bins), ks(vc, g, stats, cfg.ks_points), mean_var_delta(stats, g)):
+    edges = window_edges(vc, g, cfg.psi_bins, cfg.ks_points)
+    for part in (psi(vc, g, stats, edges), ks(vc, g, stats, edges), mean_var_delta(stats, g)):
         out = out.join(F.broadcast(part), "feature", "left")
     return out
 
@@ -225,33 +240,16 @@ def drift_by_zone(df: DataFrame, cfg: PanelConfig = CFG, means: DataFrame | None
     z = means.withColumn("zone", X.zone_label("lat", "lon", 2, ",", district=district)).filter("zone is not null")
     vc = materialize(counted(z, ["zone", "win"], metric), "zone-counts")
     stats = window_stats(vc, ["zone"]).filter(_enough())
-    ref = z.filter("win = 'ref'")
-    median = lambda c: quantiles(ref, ["zone"], c, [0.5], name="_q").select("zone", F.col("_q")[0].alias(c))
-    place = median("lat").join(median("lon"), "zone", "full")
-    return psi(vc, ["zone"], stats, cfg.psi_bins, small=False).join(place, "zone", "left")
-
-
-def ema(df: DataFrame, value: str, order: str, keys: tuple[str, ...] = (), alpha: float = EMA_ALPHA) -> DataFrame:
-    """Exponential moving average; null inputs give null and leave the state.
-
-    Each value folds the values before it as far back as they weigh over 1e-20, so
-    rows stay rows. A series (all rows, without keys) is one window: meant for daily
-    series of one entry per day.
-    """
-    reach = math.ceil(46 / -math.log(1 - alpha)) if alpha < 1 else 1
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(-reach, 0)
-    x = F.col(value).cast("double")
-    recent = F.collect_list(x).over(window)
-    fold = F.aggregate(F.slice(recent, 2, reach), F.get(recent, F.lit(0)), lambda e, v: e * (1.0 - alpha) + v * alpha)
-    out = F.lit(None).cast("double").alias(f"{value}_ema")
-    known = df.filter(x.isNotNull()).select(*keys, order, fold.alias(f"{value}_ema"))
-    return known.unionByName(df.filter(x.isNull()).select(*keys, order, out))
+    place = z.filter("win = 'ref'").unpivot(["zone"], ["lat", "lon"], "_kind", "_value")
+    edges = window_edges(vc, ["zone"], cfg.psi_bins, 2, counted(place, ["zone", "_kind"], "_value"))
+    at = edges.select("zone", F.col("_medians")["lat"].alias("lat"), F.col("_medians")["lon"].alias("lon"))
+    return psi(vc, ["zone"], stats, edges, small=False).join(at, "zone", "left")
 
 
 def occupancy_ema(df: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:
     """EMA of the network's mean occupancy per local day."""
     daily = df.groupBy(X.local_day("tbin_utc", cfg.tz).alias("date_local")).agg(F.avg("occ_ratio").alias("occ_ratio"))
-    return ema(daily, "occ_ratio", "date_local")
+    return ema(daily, "occ_ratio", "date_local", alpha=EMA_ALPHA)
 
 
 def drift_summary(metrics: DataFrame, cfg: PanelConfig = CFG) -> DataFrame:

@@ -14,7 +14,7 @@ from panelkit.config import ACF_LAGS, EXPLAIN_HIST_BINS, QQ_POINTS, PanelConfig
 from panelkit.functions import columns as X
 from panelkit.operators.blocks import positions, runs
 from panelkit.operators.quantiles import (
-    bin_right_closed, quantiles, unique_edges,
+    bin_right_closed, counted, quantiles, quantiles_of_counts, unique_edges,
 )
 from panelkit.operators.rows import small_side
 from panelkit.session import materialize
@@ -121,10 +121,26 @@ def scored(perf: DataFrame) -> DataFrame:
     return rows.filter(F.abs(F.col("resid").cast("double")) < float("inf"))
 
 
+def value_pairs(perf: DataFrame) -> DataFrame:
+    """(horizon, y_true, y_hat, resid, _w): distinct truth and prediction with their frequency, written once."""
+    rows = perf.select(H, "y_true", "y_hat", resid().alias("resid"))
+    return materialize(rows.groupBy(H, "y_true", "y_hat", "resid").agg(F.count(F.lit(1)).alias("_w")), "value-pairs")
+
+
+def _weighted(pairs: DataFrame, groups: list[str], value) -> DataFrame:
+    """Value counts (see `counted`) from counts of pairs."""
+    return counted(pairs, groups, value, F.col("_w"))
+
+
+def weighted_mean(value) -> Column:
+    v = X.col(value).cast("double")
+    return F.sum(v * F.col("_w")) / F.sum(F.when(v.isNotNull(), F.col("_w")))
+
+
 def residual_histogram(perf: DataFrame, bins: int = CFG.hist_bins) -> DataFrame:
     """Equal-width histogram of residuals within +-p99 of their size; empty bins included."""
-    used = scored(perf)
-    q = quantiles(used, [H], F.abs("resid"), [0.99], name="_q")
+    used = value_pairs(scored(perf))
+    q = quantiles_of_counts(_weighted(used, [H], F.abs("resid")), [H], [0.99], name="_q")
     top99 = F.col("_q")[0]
     half = q.select(H, F.when(top99 > 0, top99).otherwise(X.dbl(1)).alias("half"), F.col("n"))
     step = F.col("half") * X.dbl(2) / X.dbl(bins)
@@ -135,8 +151,7 @@ def residual_histogram(perf: DataFrame, bins: int = CFG.hist_bins) -> DataFrame:
         (F.col("resid") >= edge(F.col("_b") + 1)) & (F.col("_b") < bins - 1), F.col("_b") + 1
     ).otherwise(F.col("_b"))
     counts = (
-        used.groupBy(H, "resid").agg(F.count(F.lit(1)).alias("_w"))
-        .join(F.broadcast(half), H)
+        used.join(F.broadcast(half), H)
         .filter(F.abs("resid") <= F.col("half"))
         .withColumn("_b", guess)
         .groupBy(H, fixed.cast("int").alias("bin"))
@@ -198,17 +213,17 @@ def acf(perf: DataFrame, nlags: int = ACF_LAGS, cfg: PanelConfig = CFG, parity:
 
 def heteroscedasticity(perf: DataFrame, q: int = 20) -> DataFrame:
     """MAE per quantile bin of the truth."""
-    binned = _quantile_bins(scored(perf), "y_true", q)
-    return binned.groupBy(H, "bin").agg(F.avg(F.abs("resid")).alias("mae"), F.count(F.lit(1)).alias("n"))
+    binned = _quantile_bins(value_pairs(scored(perf)), "y_true", q)
+    return binned.groupBy(H, "bin").agg(weighted_mean(F.abs("resid")).alias("mae"), F.sum("_w").alias("n"))
 
 
-def _quantile_bins(used: DataFrame, value: str, q: int) -> DataFrame:
-    """`bin` over (a, b] quantile bins of `value`; equal edges merge."""
-    edges = quantiles(used, [H], value, [i / q for i in range(q + 1)], name="_q").select(
+def _quantile_bins(pairs: DataFrame, value: str, q: int) -> DataFrame:
+    """`bin` of counted pairs over (a, b] quantile bins of `value`; equal edges merge."""
+    edges = quantiles_of_counts(_weighted(pairs, [H], value), [H], [i / q for i in range(q + 1)], name="_q").select(
         H, unique_edges("_q").alias("_edges")
     )
     return (
-        used.join(F.broadcast(edges), H)
+        pairs.join(F.broadcast(edges), H)
         .withColumn("bin", bin_right_closed(F.col(value).cast("double"), "_edges"))
         .drop("_edges")
         .filter("bin is not null")
@@ -240,22 +255,17 @@ def calibration_fit(perf: DataFrame, by: tuple[str, ...] = (), tz: str = CFG.tz)
 
 def calibration_bins(perf: DataFrame, q: int = 20) -> DataFrame:
     """Mean prediction and mean truth per quantile bin of the prediction."""
-    used = perf.filter("y_hat is not null")
-    binned = _quantile_bins(used, "y_hat", q)
+    binned = _quantile_bins(value_pairs(perf.filter("y_hat is not null")), "y_hat", q)
     return binned.groupBy(H, "bin").agg(
-        F.avg(F.col("y_hat").cast("double")).alias("y_pred_mean"),
-        F.avg(F.col("y_true").cast("double")).alias("y_true_mean"),
-        F.count(F.lit(1)).alias("n"),
+        weighted_mean("y_hat").alias("y_pred_mean"), weighted_mean("y_true").alias("y_true_mean"), F.sum("_w").alias("n"),
     )
 
 
 def relative_error_levels(perf: DataFrame, q: int = 3) -> DataFrame:
     """Mean |error| / max(1, y) per tercile of the truth."""
-    binned = _quantile_bins(scored(perf), "y_true", q)
+    binned = _quantile_bins(value_pairs(scored(perf)), "y_true", q)
     rel = F.abs("resid") / F.greatest(F.col("y_true").cast("double"), X.dbl(1))
-    return binned.groupBy(H, F.col("bin").alias("level")).agg(
-        F.avg(rel).alias("mape_like"), F.count(F.lit(1)).alias("n")
-    )
+    return binned.groupBy(H, F.col("bin").alias("level")).agg(weighted_mean(rel).alias("mape_like"), F.sum("_w").alias("n"))
 
 
 def bias_by_station(perf: DataFrame) -> DataFrame:

@@ -149,13 +149,13 @@ def last_bins(df: DataFrame, bins: int, ts: str = "tbin_utc") -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= bins).drop("_rn")
 
 
-def recent_history(df: DataFrame, minutes: int = 60, ts: str = "tbin_utc", bin_min: int = 5) -> DataFrame:
-    """Rows of a clean panel within `minutes` of their station's last row, from one scan.
+def recent_history(df: DataFrame, minutes: int = 60, ts: str = "tbin_utc", bin_min: int | None = None) -> DataFrame:
+    """Rows within `minutes` of their station's last row, from one scan.
 
-    On the grid these are at most minutes / bin_min + 1 rows, so a rank limit comes
-    first and the time filter sees that little per station.
+    Callers of a clean panel, with one row per station and bin of `bin_min` minutes, say so: then these are at most
+    minutes / bin_min + 1 rows, and a rank limit comes before the time filter. Otherwise time alone decides.
     """
-    tail = last_bins(df, minutes // bin_min + 1, ts)
+    tail = df if bin_min is None else last_bins(df, minutes // bin_min + 1, ts)
     last = F.max(ts).over(Window.partitionBy("station_id"))
     return tail.withColumn("_last", last).filter(F.unix_timestamp("_last") - F.unix_timestamp(ts) <= minutes * 60).drop("_last")
 

@@ -22,6 +22,7 @@ from panelkit.operators.features import (
 from panelkit.operators.quantiles import quantiles
 from panelkit.operators.rows import small_side
 from panelkit.operators.spatial import knn_map, neighbour_mean, station_static, stations_of
+from panelkit.operators.trees import node_table, split_importances
 from panelkit.operators.views import importance_share
 from panelkit.session import materialize
 
@@ -169,10 +170,17 @@ def predict_latest(df: DataFrame, pack: ModelPack, cfg: PanelConfig = CFG, now=N
 
 
 def feature_importance(spark, pack: ModelPack, k: int | None = None) -> DataFrame:
-    """Gain share of each feature; one row per model input."""
-    weights = pack.model.stages[-1].featureImportances.toArray().tolist()
+    """Per model input: importance with its share, and gain, weight, cover and shares counted from the trees' nodes.
+
+    Inputs that no tree splits on have zeros.
+    """
+    model = pack.model.stages[-1]
+    weights = model.featureImportances.toArray().tolist()
     rows = spark.createDataFrame(list(zip(pack.features, weights)), "feature string, importance double")
-    return importance_share(rows, k)
+    splits = split_importances(node_table(spark, model, pack.features))
+    zero = {c: F.coalesce(c, F.lit(0).cast(t)) for c, t in splits.dtypes if c != "feature"}
+    # One row per model input on both sides.
+    return importance_share(rows, k).join(F.broadcast(splits), "feature", "left").withColumns(zero)
 
 
 # ---- clustering -----------------------------------------------------------------------------------

@@ -287,8 +287,7 @@ def lag_features(s, d):
 @query
 def lag_features_by_time(s, d):
     """Lags of stock by grid time: a gap gives null."""
-    return features.lags(panel(s, d), bins=(1, 2, 4), cfg=CFG, mode="time").select(
-        "station_id", "tbin_utc", "lag_bikes_1", "lag_bikes_2", "lag_bikes_4")
+    return features.lags(panel(s, d), cfg=CFG, mode="time").select("station_id", "tbin_utc", *[f"lag_bikes_{n}" for n in LAG_BINS])
 
 
 @query
@@ -300,9 +299,9 @@ def rolling_features(s, d):
 
 @query
 def rolling_features_by_time(s, d):
-    """Rolling mean and deviation over the last day of grid time."""
-    return features.rolling(panel(s, d), bins=(4,), cfg=CFG, mode="time").select(
-        "station_id", "tbin_utc", "roll_mean_4", "roll_std_4")
+    """Rolling mean and deviation over the grid time before."""
+    return features.rolling(panel(s, d), cfg=CFG, mode="time").select(
+        "station_id", "tbin_utc", *[f"roll_{f}_{n}" for n in ROLL_BINS for f in ("mean", "std")])
 
 
 @query

@@ -191,8 +191,8 @@ sql("lag_features", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, " +
     I(f"lag(bikes, {n}) OVER {W0}", f"lag_bikes_{n}") for n in (1, 2, 3, 6, 12, 24, 36, 48)) + " FROM panel")
 
 sql("lag_features_by_time", PANEL, f"SELECT p.station_id, {T('p.tbin_utc', 'tbin_utc')}, " + ", ".join(
-    I(f"l{n}.bikes", f"lag_bikes_{n}") for n in (1, 2, 4)) + " FROM panel p " + " ".join(
-    f"LEFT JOIN panel l{n} ON l{n}.station_id = p.station_id AND l{n}.tbin_utc = p.tbin_utc - INTERVAL '{360 * n} minutes'" for n in (1, 2, 4)))
+    I(f"l{n}.bikes", f"lag_bikes_{n}") for n in (1, 2, 3, 6, 12, 24, 36, 48)) + " FROM panel p " + " ".join(
+    f"LEFT JOIN panel l{n} ON l{n}.station_id = p.station_id AND l{n}.tbin_utc = p.tbin_utc - INTERVAL '{360 * n} minutes'" for n in (1, 2, 3, 6, 12, 24, 36, 48)))
 
 
 def rolls(frame: str, n: int) -> str:
@@ -204,8 +204,8 @@ def rolls(frame: str, n: int) -> str:
 
 sql("rolling_features", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, " + ", ".join(
     rolls(f"ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING", n) for n in (3, 6, 12, 24, 36, 48)) + " FROM panel")
-sql("rolling_features_by_time", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, " + rolls(
-    "RANGE BETWEEN INTERVAL '1440 minutes' PRECEDING AND INTERVAL '360 minutes' PRECEDING", 4) + " FROM panel")
+sql("rolling_features_by_time", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, " + ", ".join(
+    rolls(f"RANGE BETWEEN INTERVAL '{360 * n} minutes' PRECEDING AND INTERVAL '360 minutes' PRECEDING", n) for n in (3, 6, 12, 24, 36, 48)) + " FROM panel")
 
 W12 = "OVER (PARTITION BY station_id ORDER BY tbin_utc ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"
 X_T = "epoch(tbin_utc) / 21600.0"
@@ -739,6 +739,7 @@ WHERE tbin_utc >= TIMESTAMP '2024-01-10 06:00:00' AND tbin_utc < TIMESTAMP '2024
 
 IN_DAY = "CAST(panel.tbin_utc AS DATE) = DATE '2024-01-24'"
 sql("daily_compaction", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, {T('ts_utc', 'ts_utc')}, status FROM panel WHERE {IN_DAY}")
+sql("stream_compaction", PANEL, f"SELECT station_id, {T('tbin_utc', 'tbin_utc')}, {T('ts_utc', 'ts_utc')}, status FROM panel")
 sql("monthly_compaction", PANEL, """
 SELECT '2024-01' AS month, count(*) AS rows, count(DISTINCT station_id) AS stations FROM panel WHERE strftime(tbin_utc, '%Y-%m') = '2024-01'""")
 sql("training_base", PANEL, f"SELECT station_id, count(*) AS n, {T('max(tbin_utc)', 'last_bin')}, 0 AS n_temp FROM panel GROUP BY 1")

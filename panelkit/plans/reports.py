@@ -17,7 +17,7 @@ from panelkit.plans import catalog as C, compose
 from panelkit.schema import ensure_columns as ensure
 from panelkit.session import materialize, tune, work_path
 from panelkit.sources import adapters as A, feeds, tables
-from panelkit.streaming import streams
+from panelkit.streaming import late, streams
 
 CFG = C.CFG
 REPORT_QUERIES: dict[str, C.Query] = {}
@@ -264,6 +264,15 @@ def late_recompaction(s, d):
     return streams.recompact(early, late, ("ts_utc", "event_id")).select("station_id", "tbin_utc", "ts_utc", "event_id")
 
 
+@query
+def stream_compaction(s, d):
+    """Files in any order of time, compacted by day as they land: late rows rewrite their days."""
+    rows, at = C.raw(s, d), work_path(s, "stream-compaction")
+    rows.repartition(4, "event_id").write.parquet(f"{at}/in")
+    late.start_daily(streams.file_stream(s, f"{at}/in", rows.schema, per_batch=1), f"{at}/out", f"{at}/checkpoint", CFG, ("ts_utc", "event_id"))
+    return late.read_days(s, f"{at}/out", rows.schema).select("station_id", "tbin_utc", "ts_utc", "status")
+
+
 # ---- models -----------------------------------------------------------------------------------------
 
 HORIZON = 360
@@ -348,7 +357,7 @@ def lookback(s, d):
 @query
 def station_static(s, d):
     """Static station features; the cluster is left out of the comparison."""
-    return spatial.station_static(C.stations(s, d), k=8).select("station_id", "dist_center_km", "grid_x", "grid_y")
+    return spatial.station_static(C.stations(s, d)).select("station_id", "dist_center_km", "grid_x", "grid_y")
 
 
 @query
@@ -404,7 +413,8 @@ def stream_forecast(s, d):
     for p in m["packs"]:  # each stream has its own state
         at = f"{root}/{p.horizon_min}"
         streams.start_forecast(src, p, f"{at}/panel", f"{at}/out", f"{at}/checkpoint", CFG, **m["parts"])
-    return s.read.parquet(*[f"{root}/{h}/out" for h in HORIZONS]).select("station_id", "horizon_min", "tbin_latest", "bikes_pred_int", "capacity_bin")
+    issued = [s.read.parquet(f"{root}/{h}/out") for h in HORIZONS]
+    return reduce(DataFrame.unionByName, issued).select("station_id", "horizon_min", "tbin_latest", "bikes_pred_int", "capacity_bin")
 
 
 def _profiles(s, d) -> DataFrame:
