@@ -15,6 +15,30 @@ import xxhash
 SEED = 42
 # Bits of a bitmap.
 NARROW, WIDE = 64, 1 << 16
+# Words whose hashes a process keeps, and the odd number that joins the hashes of adjacent words.
+KEPT_WORDS, STEP = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
+
+
+class _WordHashes(dict):
+    """XXH64 (moved to signed range) of each word seen; started anew beyond KEPT_WORDS words or for long ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, SEED) - (1 << 63)
+        if len(word) <= 64:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_word_hashes = _WordHashes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers: multiplications between shifts."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -23,16 +47,20 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shingle_set(words: list[bytes], width: int) -> np.ndarray:
-    """Sorted distinct XXH64 hashes (signed) of the word shingles; fewer words are one shingle, none the empty set."""
+    """Sorted distinct 64-bit hashes (signed) of the word shingles; fewer words are one shingle, none the empty set.
+
+    A shingle's hash is a polynomial in its words' XXH64, with the number of words as start, mixed once.
+    """
     if not words:
         return np.zeros(0, np.int64)
-    joined = memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    last = ends[width - 1:] if len(words) >= width else ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist())), np.uint64, len(last))
-    return np.unique(hashes.view(np.int64))
+    hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    width = min(width, len(words))
+    out = np.full(len(words) - width + 1, width, np.uint64)
+    for i in range(width):
+        out *= STEP
+        out += hashes[i:i + len(out)]
+    out = np.sort(_mixed(out).view(np.int64))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def bitmap(members: np.ndarray) -> bytes:

@@ -50,7 +50,7 @@ TREES, SLOTS, BRANCH, DEPTH, SEED = 20, 64, 0.7, 8, 20
 # Large nodes branch again only while that leaves fewer than this share of their rows in large nodes.
 SHRINK = 0.75
 # Classes of a node that are compared exhaustively, and of one block.
-SMALL, BLOCK = 64, 1024
+SMALL, BLOCK = 2048, 1024
 # Rows of nodes whose masks are made at a time.
 STEP = 1 << 13
 
