@@ -66,7 +66,7 @@ def corpus(seed=3):
     return out + [(900, None, "x"), (901, " \n", "x"), (902, "", None), (None, out[0][1].upper(), "x"), (None, "alone here", "x"), (7, "repeated id of another text", "x")]
 
 
-@pytest.mark.parametrize("small,depth,block", [(64, 8, 1024), (4, 1, 16)])
+@pytest.mark.parametrize("small,depth,block", [(chosenpath.SMALL, chosenpath.DEPTH, chosenpath.BLOCK), (64, 8, 1024), (4, 1, 16)])
 def test_equals_all_pairs(spark, monkeypatch, small, depth, block):
     monkeypatch.setattr(chosenpath, "SMALL", small)
     monkeypatch.setattr(chosenpath, "DEPTH", depth)
@@ -96,3 +96,19 @@ def test_bitmaps_turn_no_similar_pair_away():
         a, b = (bitmaps.shingle_set([str(w).encode() for w in t], 1) for t in (base, other))
         if bitmaps.similar(a, b, 85, 100):
             assert bitmaps.may_be_similar(len(a), bitmaps.bitmap(a), len(b), bitmaps.bitmap(b), 85, 100)
+
+
+def test_shingle_sets(monkeypatch):
+    monkeypatch.setattr(bitmaps, "KEPT_WORDS", 5)  # the kept hashes are thrown away many times
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 100) for _ in range(rnd.randint(1, 40))) for _ in range(60)] + ["", "one", "one one", "one one one one"]
+    members = {}
+    for t in texts:
+        for width in (1, 3, 5):
+            s = bitmaps.shingle_set(bitmaps.words_of(t), width)
+            assert len(s) == len(sets(t, width)) and (s[1:] > s[:-1]).all()
+            for h in s.tolist():
+                members.setdefault(h, set()).add((width, t))
+    whole = set().union(*(sets(t, w) for t in texts for w in (1, 3, 5)))
+    assert len(members) == len(whole)
+    assert bitmaps.shingle_set([b"a", b"b"], 2).tolist() != bitmaps.shingle_set([b"b", b"a"], 2).tolist()
