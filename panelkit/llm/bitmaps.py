@@ -9,29 +9,16 @@ byte a member; pairs that are similar are never turned away.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import xxhash
 
 SEED = 42
 # Bits of a bitmap.
 NARROW, WIDE = 64, 1 << 16
-# Words whose hashes a process keeps, and the odd number that joins the hashes of adjacent words.
-KEPT_WORDS, STEP = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    """XXH64 (moved to signed range) of each word seen; started anew beyond KEPT_WORDS words or for long ones."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, SEED) - (1 << 63)
-        if len(word) <= 64:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_word_hashes = _WordHashes()
+# The odd number that joins the hashes of adjacent words.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,7 +40,7 @@ def shingle_set(words: list[bytes], width: int) -> np.ndarray:
     """
     if not words:
         return np.zeros(0, np.int64)
-    hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
     width = min(width, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):

@@ -51,8 +51,8 @@ TREES, SLOTS, BRANCH, DEPTH, SEED = 20, 64, 0.7, 8, 20
 SHRINK = 0.75
 # Classes of a node that are compared exhaustively, and of one block.
 SMALL, BLOCK = 2048, 1024
-# Rows of nodes whose masks are made at a time.
-STEP = 1 << 13
+# Rows of nodes whose masks are made at a time; rows and partners of a tile of bitmaps.
+STEP, TILE = 1 << 13, (64, 512)
 
 
 # --- signatures ----------------------------------------------------------------
@@ -63,13 +63,15 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, SLOTS, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, SLOTS, np.uint32)
 
 
+FACTORS, SHIFTS = (x[:, None] for x in _multipliers())
+
+
 def signature(members: np.ndarray) -> np.ndarray:
     """The minwise token of each slot, from a set of 64-bit hashes."""
-    a, b = _multipliers()
     low = (members ^ (members >> 32)).astype(np.uint32)
     out = np.full(SLOTS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(low), 1 << 14):  # bounds the table of a long text
-        out = np.minimum(out, (low[None, i:i + (1 << 14)] * a[:, None] + b[:, None]).min(axis=1))
+    for i in range(0, len(low), 512):  # a table that stays in the processor's cache
+        out = np.minimum(out, (low[None, i:i + 512] * FACTORS + SHIFTS).min(axis=1))
     return out
 
 
@@ -196,31 +198,44 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int
 
 
 def _near_pairs(rows: list[tuple], num: int, den: int) -> tuple[list, list]:
-    """(a, b): pairs of rows (node, n, label, bits) with different labels whose sizes and bitmaps allow a link."""
+    """(a, b): pairs of rows (node, n, label, bits) with different labels whose sizes and bitmaps allow a link.
+
+    Rows of one bitmap width are sorted by size, so a tile of them meets one range of others; a tile is
+    left as soon as the words of its bitmaps compared so far rule out all its pairs.
+    """
     a, b, groups = [], [], {}
-    for row in rows:
+    for row in sorted(rows, key=lambda r: r[1]):
         groups.setdefault(len(row[3]), []).append(row)
     held = {w: (*(np.array([r[i] for r in g]) for i in range(3)), np.frombuffer(b"".join(r[3] for r in g), np.uint64).reshape(len(g), -1)) for w, g in groups.items()}
     for w, (node, n, label, bits) in held.items():
-        others = [(node, n, label, bits, bits, True)]
-        for narrow in (x for x in held if x < w):
-            folded = bits
-            while folded.shape[1] * 8 > narrow:
-                folded = folded[:, :folded.shape[1] // 2] ^ folded[:, folded.shape[1] // 2:]
-            others.append((*held[narrow], folded, False))
-        for node_b, n_b, label_b, bits_b, mine, same in others:
-            for i in range(0, len(node), 64):
-                x = slice(i, i + 64)
-                fit = (n[x, None] * den >= n_b * num) & (n_b * den >= n[x, None] * num) & (label[x, None] != label_b)
-                if same:
-                    fit &= np.arange(i, i + len(node[x]))[:, None] > np.arange(len(node_b))
-                p, q = np.nonzero(fit)
-                for j in range(0, len(p), 1 << 16):
-                    pj, qj = p[j:j + (1 << 16)] + i, q[j:j + (1 << 16)]
-                    differ = np.bitwise_count(mine[pj] ^ bits_b[qj]).sum(axis=1, dtype=np.int64)
-                    ok = differ * (den + num) <= (n[pj] + n_b[qj]) * (den - num)
-                    a += node[pj[ok]].tolist()
-                    b += node_b[qj[ok]].tolist()
+        n = n.astype(np.int64)
+        for w_b in (x for x in held if x <= w):
+            node_b, n_b, label_b, bits_b = held[w_b]
+            n_b, mine, across = n_b.astype(np.int64), bits, np.ascontiguousarray(bits_b.T)
+            while mine.shape[1] * 8 > w_b:
+                mine = mine[:, :mine.shape[1] // 2] ^ mine[:, mine.shape[1] // 2:]
+            for i in range(0, len(node), TILE[0]):
+                x = slice(i, i + TILE[0])
+                lo = np.searchsorted(n_b * den, n[x][0] * num, "left")
+                hi = np.searchsorted(n_b * num, n[x][-1] * den, "right")
+                if w_b == w:
+                    hi = min(hi, i + TILE[0])
+                for j in range(lo, hi, TILE[1]):
+                    y = slice(j, min(j + TILE[1], hi))
+                    fit = (n[x, None] * den >= n_b[y] * num) & (n_b[y] * den >= n[x, None] * num) & (label[x, None] != label_b[y])
+                    if w_b == w:
+                        fit &= np.arange(i, i + len(node[x]))[:, None] > np.arange(j, j + len(node_b[y]))
+                    if not fit.any():
+                        continue
+                    most = np.where(fit, (n[x, None] + n_b[y]) * (den - num) // (den + num), -1)
+                    differ = np.zeros(fit.shape, np.int64)
+                    for k in range(mine.shape[1]):
+                        differ += np.bitwise_count(mine[x, k, None] ^ across[k, y])
+                        if k % 4 == 3 and (differ > most).all():
+                            break
+                    p, q = np.nonzero(differ <= most)
+                    a += node[i + p].tolist()
+                    b += node_b[j + q].tolist()
     return a, b
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from panelkit.llm import bitmaps, chosenpath
@@ -87,6 +88,23 @@ def test_empty_and_long(spark):
     assert got(spark.createDataFrame(rows, SCHEMA)) == plain(rows)
 
 
+def test_tiles_find_the_pairs_that_one_by_one_comparing_finds(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(0, 0, 0, bitmaps.bitmap(np.zeros(0, np.int64)))]
+    for i in range(1, 260):  # sizes over several widths, ties among them, near copies in labels of their own and shared ones
+        size = int(rng.choice([1, 2, 60, 64, 65, 120, 128, 130, 500, 2000]))
+        s = np.unique(np.concatenate((np.arange(size - size // 10), rng.integers(1 << 40, 1 << 50, size // 10))))
+        rows.append((i, len(s), i if i % 3 else 0, bitmaps.bitmap(s)))
+    for tile in ((64, 512), (7, 5)):
+        monkeypatch.setattr(chosenpath, "TILE", tile)
+        for num, den in ((85, 100), (1, 2)):
+            fit = {frozenset((a, b)) for a, na, la, x in rows for b, nb, lb, y in rows if la != lb and na * den >= nb * num
+                   and nb * den >= na * num and bitmaps.may_be_similar(na, x, nb, y, num, den)}
+            a, b = chosenpath._near_pairs(rows, num, den)
+            assert len(a) == len(fit) and {frozenset(p) for p in zip(a, b)} == fit and fit
+    assert chosenpath._near_pairs([], 85, 100) == ([], [])
+
+
 def test_bitmaps_turn_no_similar_pair_away():
     rnd = random.Random(1)
     for _ in range(300):
@@ -98,8 +116,7 @@ def test_bitmaps_turn_no_similar_pair_away():
             assert bitmaps.may_be_similar(len(a), bitmaps.bitmap(a), len(b), bitmaps.bitmap(b), 85, 100)
 
 
-def test_shingle_sets(monkeypatch):
-    monkeypatch.setattr(bitmaps, "KEPT_WORDS", 5)  # the kept hashes are thrown away many times
+def test_shingle_sets():
     rnd = random.Random(2)
     texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 100) for _ in range(rnd.randint(1, 40))) for _ in range(60)] + ["", "one", "one one", "one one one one"]
     members = {}
