@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from panelkit.operators import ml, spatial
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import functions as F
+
+from panelkit.operators import features, ml, spatial
 from panelkit.plans import reports
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +24,47 @@ def test_models_use_defaults_and_two_horizons(spark, monkeypatch):
     got = reports.model_errors(spark, SF)
     assert trained == [(360, {}), (720, {})] and clustered == [{}]
     assert {r.horizon_min for r in got.collect()} == {360, 720}
+
+
+def same_rows(a, b):
+    assert a.columns == b.columns
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_features_are_made_once_for_all_horizons(spark, monkeypatch):
+    made, whole = [], ml.feature_frame
+    monkeypatch.setattr(ml, "feature_frame", lambda *a, **options: made.append(a) or whole(*a, **options))
+    monkeypatch.setattr(ml, "train", lambda rows, horizon: (horizon, rows))
+    m = reports.model_parts(spark, SF)
+    assert len(made) == 1
+    for h, rows in zip(reports.HORIZONS, m["errors"]):
+        one = ml.training_frame(m["panel"], *reports.TRAINED, reports.CFG, h, **m["parts"])
+        assert not one.isEmpty()
+        same_rows(rows, one)
+
+
+def test_serving_features_are_those_of_the_last_rows(spark):
+    panel, parts = reports.station_parts(spark, SF)
+    want = features.latest_rows(ml.feature_frame(panel, reports.CFG, **parts))
+    same_rows(ml.feature_frame(panel, reports.CFG, latest=True, **parts), want)
+
+
+def test_training_reads_bounded_partitions(spark, monkeypatch):
+    seen = []
+
+    class Watched(GBTRegressor):
+        def fit(self, rows):
+            sizes = rows.filter("NOT is_valid").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+            seen.extend(n for n in sizes if n)
+            return super().fit(rows)
+
+    monkeypatch.setattr(ml, "GBTRegressor", Watched)
+    monkeypatch.setattr(ml, "FIT_ROWS", 100, raising=False)
+    rows = spark.range(4000).select(
+        F.timestamp_seconds(F.col("id") * 300).alias("tbin_utc"), (F.col("id") % 7).cast("double").alias("y_nb"), (F.col("id") % 5).cast("float").alias("a"))
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    pack, errors = ml.train(rows, 360, max_iter=2, features=["a"])
+    assert sum(seen) == 3600 and max(seen) <= 100
+    assert errors.first().n_valid == 400 and spark.conf.get("spark.sql.files.minPartitionNum", None) == before
+    scored = pack.model.transform(ml.model_input(rows, ["a"])).agg(F.count("y_pred").alias("n")).first()
+    assert scored.n == 4000
