@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelkit.llm.frames import fresh, text_or_empty
+from panelkit.operators.rows import small_side
 from panelkit.session import materialize
 
 
@@ -28,6 +29,11 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def shared_hashes(rows: DataFrame, name: str) -> DataFrame:
+    """The values of column `name` on two rows or more, a written table."""
+    return materialize(rows.groupBy(name).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(name), "dedup-shared")
+
+
 def exact_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, hasher: Callable[[Column], Column] = content_hash
 ) -> DataFrame:
@@ -60,12 +66,17 @@ def exact_groups(
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay, all columns: one per distinct text.
 
-    One key of id and text serves the join and the removal of repeated rows, so texts travel once.
+    Rows whose hash nobody shares stay where they are; only the others are grouped. Among these one key of id and
+    text serves the join and the removal of repeated rows.
     """
     def key(identity: Column, sha: Column) -> Column:
         return F.concat(F.coalesce(identity.cast("string"), F.lit("-")), F.lit(":"), sha)
 
     name = fresh(docs, "_key")
-    kept = exact_groups(docs, doc_id, text).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias(name)).distinct()
-    rows = docs.withColumn(name, key(docs[doc_id], F.sha2(text_or_empty(text).cast("binary"), 256)))
-    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
+    rows = docs.withColumn(name, content_hash(text_or_empty(text)))
+    side = small_side(shared_hashes(rows.select(name), name))
+    among = rows.join(side, name, "left_semi").drop(name)
+    kept = exact_groups(among, doc_id, text).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias(name)).distinct()
+    keyed = among.withColumn(name, key(among[doc_id], F.sha2(text_or_empty(text).cast("binary"), 256)))
+    once = keyed.join(kept, name, "left_semi").dropDuplicates([name])
+    return rows.join(side, name, "left_anti").unionByName(once).drop(name)

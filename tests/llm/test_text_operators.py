@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm import chat, dedup, mixing, simhash
 from panelkit.llm.graph import components
+from panelkit.session import materialize
 
 MESSAGES = "conv_id long, turn long, role string, text string"
 DOCS = "doc_id long, text string, source string"
@@ -88,6 +89,15 @@ def test_keep_one_of_each_text(spark):
     assert dedup.keep_one(df.limit(0)).count() == dedup.exact_groups(df.limit(0)).count() == 0
 
 
+def test_texts_of_their_own_stay_in_place(spark):
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.least("id", F.lit(50))).alias("text")).repartition(3)
+    placed = materialize(df, "placed").withColumn("at", F.spark_partition_id())
+    assert placed.select("at").distinct().count() > 1
+    got = dedup.keep_one(placed).withColumn("now", F.spark_partition_id()).collect()
+    assert sorted(r.doc_id for r in got) == [*range(50), 59]
+    assert all(r.now == r.at for r in got if r.doc_id < 50)
+
+
 # ---- mixing -------------------------------------------------------------------------------
 
 
