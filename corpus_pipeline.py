@@ -9,11 +9,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import bpe, chosenpath, dedup, mixing, toxicity
+from panelkit.llm import bpe, chosenpath, dedup, mixing, simhash, toxicity
 from panelkit.llm.frames import small_batches, table
 from panelkit.session import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+# Words of a shingle in the near dedup.
+WIDTH = 5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +32,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word Jaccard similarity of 0.8 or more the row with the smallest id stays.
 
-    The chosen-path join stands in for SimHash here: fingerprints of such pairs lie more bits apart than it can search.
+    SimHash over five-word shingles proposes pairs, which the whole shingle sets confirm. The chosen-path join adds the
+    links of pairs whose fingerprints lie further apart than SimHash can search.
     """
-    return chosenpath.keep_one(docs, width=5, num=4, den=5)
+    def propose(rows: DataFrame) -> DataFrame:
+        return simhash.near_pairs(rows, "row", width=WIDTH)
+
+    return chosenpath.keep_one(docs, width=WIDTH, num=4, den=5, propose=propose)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,8 @@ SHRINK = 0.75
 SMALL, BLOCK = 2048, 1024
 # Rows of nodes whose masks are made at a time; rows and partners of a tile of bitmaps.
 STEP, TILE = 1 << 13, (64, 512)
+# Rows (row, text) to pairs (a, b) of rows that may link.
+Proposer = Callable[[DataFrame], DataFrame]
 
 
 # --- signatures ----------------------------------------------------------------
@@ -275,8 +277,13 @@ def _in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
 # --- the join ----------------------------------------------------------------------
 
 
-def links(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
-    """(node, label) of the classes that link with others: label is the smallest node reachable."""
+def links(
+    rows: DataFrame, classes: DataFrame, width: int, num: int, den: int, candidates: DataFrame | None = None
+) -> DataFrame | None:
+    """(node, label) of the classes that link with others: label is the smallest node reachable.
+
+    `candidates` (a, b) are pairs of nodes that another method proposes; they are confirmed like all others, first.
+    """
     label, open_, large = None, None, 0
 
     def join(new: DataFrame) -> None:
@@ -304,6 +311,8 @@ def links(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -
         keys = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("key")
         return named.join(keys, "key", "left_semi")
 
+    if candidates is not None:
+        join(_confirmed(_filtered(candidates, classes, num, den), rows, width, num, den))
     for level in range(DEPTH + 1):
         keys = materialize(_first_level(classes) if open_ is None else _next_level(open_, classes), "path-nodes")
         shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -328,7 +337,7 @@ def links(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -
     return label
 
 
-def _labels(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _labels(rows: DataFrame, width: int, num: int, den: int, propose: Proposer | None = None) -> DataFrame:
     """(row, n, label) of rows (row, text): the same label for all rows of a component, blank texts share one."""
     small_batches(rows.sparkSession)
     sketches = materialize(_sketched(rows, width), "path-sketches")
@@ -336,7 +345,8 @@ def _labels(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     again = sketches.select("row", "digest").join(first.select("node", "digest"), "digest").filter("row <> node").select("row")
     rest = small_side(materialize(again, "path-repeats"))
     classes = sketches.filter("n > 0").join(rest, "row", "left_anti").select(F.col("row").alias("node"), "n", "bits", "slots")
-    label = links(rows, classes, width, num, den)
+    candidates = propose(rows.join(rest, "row", "left_anti")) if propose else None
+    label = links(rows, classes, width, num, den, candidates)
     if label is None:
         label = first.select("node", F.col("node").alias("label"))
     known = first.join(label, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
@@ -354,12 +364,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
         "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """Of each component the row smallest by (id, text), null ids last; all columns. Blank texts are one group."""
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, num: int = 4, den: int = 5,
+    propose: Proposer | None = None,
+) -> DataFrame:
+    """Of each component the row smallest by (id, text), null ids last; all columns. Blank texts are one group.
+
+    `propose` gets rows (row, text), one of each set, and returns pairs (a, b) of rows to confirm before the trees' own.
+    """
     row = fresh(docs, "_row")
     held = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "path-rows")
     rows = held.select(F.col(row).alias("row"), text_or_empty(text).alias("text"))
-    group = _labels(rows, width, num, den).select(F.col("row").alias(row), F.col("label").alias("_label"))
+    group = _labels(rows, width, num, den, propose).select(F.col("row").alias(row), F.col("label").alias("_label"))
     several = group.groupBy("_label").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_label")
     group = materialize(group.join(several, "_label"), "path-groups")
     order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.sha2(text_or_empty(text).cast("binary"), 256), F.col(row))

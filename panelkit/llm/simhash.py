@@ -80,14 +80,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(set_bits * 2 > len(hashes)).tobytes(), "big")
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(text: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter(map(fingerprint, text), np.uint64, len(text)).view(np.int64))
-
-
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number."""
-    return docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(text_or_empty(text)).alias("fp"))
+    @F.pandas_udf(T.LongType())
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    return docs.select(F.col(doc_id).alias("doc_id"), prints(text_or_empty(text)).alias("fp"))
 
 
 # --- parts and thresholds -----------------------------------------------------------
@@ -411,3 +410,13 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     groups = linked.join(whole, "label").select("fp", "component_id")
     by_class = classes.join(groups, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(by_class, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 3, tau: int = TAU) -> DataFrame:
+    """(a, b): pairs of ids, unique and not null, that connect all rows whose fingerprints lie within `tau` bits."""
+    prints = materialize(fingerprints(docs, doc_id, text, width), "fingerprints")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    equal = prints.join(classes, "fp").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    x, y = (classes.select(F.col("fp").alias(t), F.col("least").alias(f"least_{t}")) for t in "ab")
+    near = links(classes, tau).distinct().join(x, "a").join(y, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return materialize(equal.unionByName(near), "simhash-pairs")

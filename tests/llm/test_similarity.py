@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
-from panelkit.llm import chosenpath
+from panelkit.llm import chosenpath, simhash
 from panelkit.llm.frames import table
+from panelkit.llm.graph import components
 from panelkit.session import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +86,41 @@ def test_repeated_ids(spark):
     rows = [(3, a), (5, a + " k"), (5, b), (7, b), (5, b)]
     got = chosenpath.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [(3, a), (5, b)]
+
+
+def near_copies():
+    """A long text, three copies with a word more or less, and another text."""
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(4000)}" for _ in range(3000)]
+    texts = [words, [*words, "tail"], ["head", *words], words[:-1], [f"v{rnd.randrange(4000)}" for _ in range(3000)]]
+    return [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_simhash_proposes_the_pairs_within_its_radius(spark):
+    rows = near_copies() + [(11, "one two"), (12, "ONE  two"), (13, ""), (14, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    group = {i: {j for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3} for i in prints}
+    label = {i: min(g) for i, g in group.items()}
+    assert sum(len(g) > 1 for g in group.values()) > 4
+    pairs = simhash.near_pairs(df, width=5)
+    assert {r.node: r.label for r in components(pairs).collect()} == {i: label[i] for i, g in group.items() if len(g) > 1}
+    assert all((prints[r.a] ^ prints[r.b]).bit_count() <= 3 for r in pairs.collect())
+
+
+def test_stage_runs_simhash_over_five_words(spark, monkeypatch):
+    asked, near = [], simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda *a, **options: asked.append(options) or near(*a, **options))
+    # Without the trees' nodes the pairs that SimHash proposes are all there is.
+    monkeypatch.setattr(chosenpath, "_first_level", lambda classes: classes.select(F.lit(0).cast("long").alias("key"), "node", "n").limit(0))
+    rows = near_copies()
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert asked == [{"width": 5}]
+    assert sorted(r.doc_id for r in got) == kept(rows) == [1, 5]
+
+
+def test_proposals_are_confirmed_on_whole_sets(spark):
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    every = lambda r: r.select(F.col("row").alias("a")).crossJoin(r.select(F.col("row").alias("b"))).filter("a > b")
+    assert sorted(r.doc_id for r in chosenpath.keep_one(df, propose=every).collect()) == [1, 5]
