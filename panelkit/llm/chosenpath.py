@@ -10,10 +10,11 @@ their whole sets is at least `num / den`; a component is what links reach.
    holds to the child named by the class's token in that slot. A class is handed on 1 / BRANCH
    times on average, a pair of similarity s stays together in s / BRANCH children: above
    one for wanted pairs, so they survive, and below for others, which fall apart.
-3. All classes of a node are compared with the smallest class of their size band (a star),
-   which joins a dense group in as many comparisons as it has members.
-4. Of nodes that still hold several components, small ones (`SMALL` classes) are compared
-   exhaustively, across components only; large ones branch again.
+3. Small nodes (`SMALL` classes) are compared exhaustively, across components only, and hand on a spanning
+   forest of their candidates: a dense group of g classes costs less than g of them. A node part of whose
+   forest the whole sets refute may hide other links; it is compared again and hands on all.
+4. In large nodes all classes are compared with the smallest class of their size band (a star), which joins a
+   dense group in as many comparisons as it has members. Those that still hold several components branch again.
 5. Where branching no longer thins large nodes out (texts that are alike, but not enough), or after
    `DEPTH` levels, they are cut in blocks and compared pair of blocks by pair of blocks, so no node is dropped.
 
@@ -49,8 +50,10 @@ from panelkit.session import materialize
 TREES, SLOTS, BRANCH, DEPTH, SEED = 20, 64, 0.7, 8, 20
 # Large nodes branch again only while that leaves fewer than this share of their rows in large nodes.
 SHRINK = 0.75
-# Classes of a node that are compared exhaustively, and of one block.
+# Classes of a place that are compared exhaustively, and of one block.
 SMALL, BLOCK = 2048, 1024
+# Pairs in a batch from Python, and of a place's pairs held before they are thinned to a forest.
+PAIRS, EDGES = 1 << 14, 1 << 17
 # Rows of nodes whose masks are made at a time; rows and partners of a tile of bitmaps.
 STEP, TILE = 1 << 13, (64, 512)
 # Rows (row, text) to pairs (a, b) of rows that may link.
@@ -199,79 +202,140 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int
     return materialize(both.mapInArrow(check, "a long, b long"), "path-links")
 
 
-def _near_pairs(rows: list[tuple], num: int, den: int) -> tuple[list, list]:
+def _near_pairs(rows: list[tuple], num: int, den: int, forest: bool = False) -> tuple[list, list]:
     """(a, b): pairs of rows (node, n, label, bits) with different labels whose sizes and bitmaps allow a link.
 
-    Rows of one bitmap width are sorted by size, so a tile of them meets one range of others; a tile is
+    With `forest` only so many of them as connect, labels taken as connected, what all of them connect: the nearest.
+    """
+    found = list(_candidates(rows, num, den, forest))
+    return tuple([x for f in found for x in f[i].tolist()] for i in (0, 1))
+
+
+def _candidates(rows: list[tuple], num: int, den: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of `_near_pairs` in parts."""
+    rows = sorted(rows, key=lambda r: (len(r[3]), r[1], r[0]))
+    node, n, label = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    tree = np.unique(label, return_inverse=True)[1]
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    for p, q, far in _tiles([r[3] for r in rows], n, tree, num, den):
+        if not forest:
+            yield node[p], node[q]
+            continue
+        held = [np.append(x, y) for x, y in zip(held, (p, q, far / (n[p] + n[q])))]
+        if len(held[0]) > EDGES:
+            held = _spanning(tree, *held)
+    if len(held[0]):
+        p, q, _ = _spanning(tree, *held)
+        yield node[p], node[q]
+
+
+def _tiles(bits: list[bytes], n: np.ndarray, tree: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(p, q, differing bits): the pairs of rows in different trees that sizes and bitmaps allow, tile by tile.
+
+    Rows come by bitmap width and size, so a tile of them meets one range of others; a tile is
     left as soon as the words of its bitmaps compared so far rule out all its pairs.
     """
-    a, b, groups = [], [], {}
-    for row in sorted(rows, key=lambda r: r[1]):
-        groups.setdefault(len(row[3]), []).append(row)
-    held = {w: (*(np.array([r[i] for r in g]) for i in range(3)), np.frombuffer(b"".join(r[3] for r in g), np.uint64).reshape(len(g), -1)) for w, g in groups.items()}
-    for w, (node, n, label, bits) in held.items():
-        n = n.astype(np.int64)
-        for w_b in (x for x in held if x <= w):
-            node_b, n_b, label_b, bits_b = held[w_b]
-            n_b, mine, across = n_b.astype(np.int64), bits, np.ascontiguousarray(bits_b.T)
-            while mine.shape[1] * 8 > w_b:
+    widths, first = np.unique([len(x) for x in bits], return_index=True)
+    ends = np.append(first[1:], len(bits))
+    held = [np.frombuffer(b"".join(bits[s:e]), np.uint64).reshape(e - s, -1) for s, e in zip(first, ends)]
+    for wide in range(len(widths)):
+        for narrow in range(wide + 1):
+            mine, across, start = held[wide], np.ascontiguousarray(held[narrow].T), first[narrow]
+            while mine.shape[1] * 8 > widths[narrow]:
                 mine = mine[:, :mine.shape[1] // 2] ^ mine[:, mine.shape[1] // 2:]
-            for i in range(0, len(node), TILE[0]):
-                x = slice(i, i + TILE[0])
-                lo = np.searchsorted(n_b * den, n[x][0] * num, "left")
-                hi = np.searchsorted(n_b * num, n[x][-1] * den, "right")
-                if w_b == w:
-                    hi = min(hi, i + TILE[0])
-                for j in range(lo, hi, TILE[1]):
-                    y = slice(j, min(j + TILE[1], hi))
-                    fit = (n[x, None] * den >= n_b[y] * num) & (n_b[y] * den >= n[x, None] * num) & (label[x, None] != label_b[y])
-                    if w_b == w:
-                        fit &= np.arange(i, i + len(node[x]))[:, None] > np.arange(j, j + len(node_b[y]))
+            n_b = n[start:ends[narrow]]
+            for i in range(first[wide], ends[wide], TILE[0]):
+                x = slice(i, min(i + TILE[0], ends[wide]))
+                lo = start + np.searchsorted(n_b * den, n[i] * num, "left")
+                hi = start + np.searchsorted(n_b * num, n[x.stop - 1] * den, "right")
+                for j in range(lo, min(hi, x.stop), TILE[1]):
+                    y = slice(j, min(j + TILE[1], hi, x.stop))
+                    fit = (n[x, None] * den >= n[y] * num) & (n[y] * den >= n[x, None] * num) & (tree[x, None] != tree[y])
+                    if wide == narrow:
+                        fit &= np.arange(i, x.stop)[:, None] > np.arange(j, y.stop)
                     if not fit.any():
                         continue
-                    most = np.where(fit, (n[x, None] + n_b[y]) * (den - num) // (den + num), -1)
+                    most = np.where(fit, (n[x, None] + n[y]) * (den - num) // (den + num), -1)
                     differ = np.zeros(fit.shape, np.int64)
                     for k in range(mine.shape[1]):
-                        differ += np.bitwise_count(mine[x, k, None] ^ across[k, y])
+                        differ += np.bitwise_count(mine[i - first[wide]:x.stop - first[wide], k, None] ^ across[k, j - start:y.stop - start])
                         if k % 4 == 3 and (differ > most).all():
                             break
                     p, q = np.nonzero(differ <= most)
-                    a += node[i + p].tolist()
-                    b += node_b[j + q].tolist()
-    return a, b
-
-
-def _across(rows: DataFrame, key: list[str], num: int, den: int) -> DataFrame:
-    """Pairs (a, b) within each place `key` of rows (key, node, n, label, bits), across labels and not ruled out."""
+                    if len(p):
+                        yield p + i, q + j, differ[p, q]
+
+
+def _spanning(tree: np.ndarray, p: np.ndarray, q: np.ndarray, far: np.ndarray) -> list[np.ndarray]:
+    """Of the edges (p, q, far) a minimum spanning forest of the trees: each tree takes its nearest edge until none is left."""
+    order = np.argsort(far, kind="stable")
+    u, v, left, kept = tree[p[order]], tree[q[order]], np.arange(len(order)), []
+    while True:
+        apart = u != v
+        u, v, left = u[apart], v[apart], left[apart]
+        if not len(left):
+            kept = order[np.sort(np.concatenate(kept))] if kept else order[:0]
+            return [p[kept], q[kept], far[kept]]
+        ends, others = np.append(u, v), np.append(v, u)
+        at, nearest = np.unique(ends[by := np.argsort(np.append(left, left), kind="stable")], return_index=True)
+        nearest = by[nearest]
+        kept.append(np.unique(left[nearest % len(left)]))
+        over = np.arange(tree.max() + 1)
+        over[at] = others[nearest]
+        mutual = over[over] == np.arange(len(over))
+        over[mutual] = np.minimum(over, np.arange(len(over)))[mutual]
+        while (over != over[over]).any():
+            over = over[over]
+        u, v = over[u], over[v]
+
+
+def _across(rows: DataFrame, key: list[str], num: int, den: int, forest: bool) -> DataFrame:
+    """Pairs (a, b, *key) as by `_near_pairs` within each place `key` of rows (*key, node, n, label, bits)."""
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, []
 
-        def found() -> pa.RecordBatch:
-            a, b = _near_pairs(held, num, den)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def found() -> Iterator[pa.RecordBatch]:
+            pairs, size = [], 0
+            for x in _candidates(held, num, den, forest):
+                pairs.append(x)
+                size += len(x[0])
+                if size >= PAIRS:
+                    yield batch(pairs, size)
+                    pairs, size = [], 0
+            if size:
+                yield batch(pairs, size)
+
+        def batch(pairs: list[tuple], size: int) -> pa.RecordBatch:
+            ends = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*pairs)]
+            return pa.RecordBatch.from_arrays([*ends, *(pa.array(np.full(size, v, np.int64)) for v in place)], ["a", "b", *key])
 
         for f in frames:
             columns = [c.to_pylist() for c in f.columns]
             for at, row in zip(zip(*columns[4:]), zip(*columns[:4])):
                 if at != place:
                     if len(held) > 1:
-                        yield found()
+                        yield from found()
                     place, held = at, []
                 held.append(row)
         if len(held) > 1:
-            yield found()
+            yield from found()
 
-    n = parts(rows.sparkSession)
-    return rows.repartition(n, *key).sortWithinPartitions(*key).select("node", "n", "label", "bits", *key).mapInArrow(compare, "a long, b long")
+    spread = rows.repartition(parts(rows.sparkSession), *key).sortWithinPartitions(*key)
+    return spread.select("node", "n", "label", "bits", *key).mapInArrow(compare, ", ".join(f"{c} long" for c in ("a", "b", *key)))
 
 
-def _in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """As `_across` for nodes of any size c: blocks of about BLOCK rows meet pairwise, each pair of blocks in its own place."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    cut = rows.withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (key, lo, hi, node, n) for nodes of any size: blocks of about BLOCK rows meet pairwise, each pair of blocks in its own place."""
+    size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
+    cut = rows.join(size, "key").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
     met = cut.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    placed = met.withColumn("lo", F.least("_i", "_j")).withColumn("hi", F.greatest("_i", "_j"))
-    return _across(placed, ["key", "lo", "hi"], num, den)
+    lo, hi = (f("_i", "_j").cast("long") for f in (F.least, F.greatest))
+    return met.select("key", lo.alias("lo"), hi.alias("hi"), "node", "n")
+
+
+def _banded(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """`rows` with their size band: sizes that allow a link lie in one band or in adjoining ones."""
+    return rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)))
 
 
 # --- the join ----------------------------------------------------------------------
@@ -305,35 +369,56 @@ def links(
         return df.withColumn("label", F.col("node")) if label is None else df.join(
             label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def mixed(df: DataFrame) -> DataFrame:
-        """Rows of nodes that hold several components."""
+    def mixed(df: DataFrame, key: list[str]) -> DataFrame:
+        """Rows of places that hold several components."""
         named = labelled(df)
-        keys = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("key")
-        return named.join(keys, "key", "left_semi")
+        keys = named.groupBy(*key).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select(*key)
+        return named.join(keys, key, "left_semi")
+
+    def told_apart(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose ends are not known to be linked."""
+        if label is None:
+            return pairs
+        x, y = (label.select(F.col("node").alias(t), F.col("label").alias(f"label_{t}")) for t in "ab")
+        return pairs.join(x, "a", "left").join(y, "b", "left").filter("NOT label_a <=> label_b OR label_a IS NULL").select(*pairs.columns)
+
+    def exhaust(placed: DataFrame, key: list[str]) -> None:
+        """Take in all links within the places `key` of rows (*key, node, n)."""
+        forest = materialize(_across(mixed(placed, key).join(bits, "node"), key, num, den, True), "path-forest")
+        if forest.limit(1).count() == 0:
+            return
+        join(_confirmed(forest.select("a", "b"), rows, width, num, den))
+        doubtful = materialize(told_apart(forest).select(*key).distinct(), "path-doubtful")
+        if doubtful.limit(1).count() == 0:
+            return
+        again = mixed(placed.join(small_side(doubtful), key, "left_semi"), key).join(bits, "node")
+        every = _across(again, key, num, den, False).select("a", "b").distinct()
+        join(_confirmed(every.join(forest.select("a", "b"), ["a", "b"], "left_anti"), rows, width, num, den))
 
     if candidates is not None:
         join(_confirmed(_filtered(candidates, classes, num, den), rows, width, num, den))
+    bits = classes.select("node", "bits")
     for level in range(DEPTH + 1):
         keys = materialize(_first_level(classes) if open_ is None else _next_level(open_, classes), "path-nodes")
         shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         node = materialize(keys.join(shared, "key"), "path-open")
-        banded = node.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)))
+        exhaust(node.filter(F.col("c") <= SMALL).drop("c"), ["key"])
+        wide = node.filter(F.col("c") > SMALL).drop("c")
+        if wide.limit(1).count() == 0:
+            return label
+        banded = _banded(wide, num, den)
         lead = banded.groupBy("key", "band").agg(F.min("node").alias("b"))
         stars = banded.join(lead, ["key", "band"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-        if label is not None:  # linked already
-            x, y = (label.select(F.col("node").alias(t), F.col("label").alias(f"label_{t}")) for t in "ab")
-            stars = stars.join(x, "a", "left").join(y, "b", "left").filter("NOT label_a <=> label_b OR label_a IS NULL").select("a", "b")
-        join(_confirmed(_filtered(stars, classes, num, den), rows, width, num, den))
-        rest = materialize(mixed(node).select("key", "node", "n", "c", "label"), "path-rest")
-        bits = classes.select("node", "bits")
-        join(_confirmed(_across(rest.filter(F.col("c") <= SMALL).join(bits, "node"), ["key"], num, den), rows, width, num, den))
-        open_ = materialize(mixed(rest.filter(F.col("c") > SMALL).drop("label")), "path-large")
+        join(_confirmed(_filtered(told_apart(stars), classes, num, den), rows, width, num, den))
+        open_ = materialize(mixed(wide, ["key"]).select("key", "node", "n"), "path-large")
         large, before = open_.count(), large
         if not large:
             return label
         if level and large > SHRINK * before:
             break
-    join(_confirmed(_in_blocks(open_.join(bits, "node"), num, den), rows, width, num, den))
+    met = materialize(_in_blocks(open_), "path-blocks")
+    for within in ("lo = hi", "lo < hi"):  # links within blocks first: across them a forest then has few to hand on
+        exhaust(met.filter(within), ["key", "lo", "hi"])
     return label
 
 

@@ -105,6 +105,54 @@ def test_tiles_find_the_pairs_that_one_by_one_comparing_finds(monkeypatch):
     assert chosenpath._near_pairs([], 85, 100) == ([], [])
 
 
+def test_forest_connects_what_all_pairs_connect(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):  # three dense groups with edits around the threshold, labels shared by some
+        s = np.arange(150) + (i % 3 << 20)
+        k = rng.integers(0, 25)
+        s = np.unique(np.concatenate((np.delete(s, rng.choice(150, k, replace=False)), rng.integers(1 << 40, 1 << 50, k // 3))))
+        rows.append((i, len(s), i if i % 7 else i % 3 + 10_000, bitmaps.bitmap(s)))
+
+    def groups(pairs):
+        parent = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for i, _, label, _ in rows:
+            parent[find(-1 - i)] = find(label)
+        for a, b in pairs:
+            parent[find(-1 - a)] = find(-1 - b)
+        return [frozenset(j for j, *_ in rows if find(-1 - j) == find(-1 - i)) for i, *_ in rows], len({find(r[2]) for r in rows})
+
+    every = list(zip(*chosenpath._near_pairs(rows, 85, 100)))
+    for edges in (chosenpath.EDGES, 700):
+        monkeypatch.setattr(chosenpath, "EDGES", edges)
+        forest = list(zip(*chosenpath._near_pairs(rows, 85, 100, True)))
+        assert groups(forest) == groups(every) and set(forest) <= set(every)
+        assert len(forest) == len({r[2] for r in rows}) - groups(every)[1] < len(every) / 50
+
+
+def test_dense_groups_hand_on_fewer_pairs_than_rows(spark, monkeypatch):
+    rnd = random.Random(4)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for g in range(8):  # groups that share a passage, so that places hold several of them
+        base = passage + [f"g{g}w{i}" for i in range(200)]
+        for i in range(50):
+            t = list(base)
+            t[rnd.randrange(60, 260)] = f"e{i}"
+            rows.append((100 * g + i, " ".join(t), "x"))
+    # Stars that miss a group leave all of it to the exhaustive step.
+    monkeypatch.setattr(chosenpath, "_filtered", lambda pairs, *a: pairs.limit(0))
+    made, across = [], chosenpath._across
+    monkeypatch.setattr(chosenpath, "_across", lambda df, *a: made.append((across(df, *a).count(), df.count())) or across(df, *a))
+    assert got(spark.createDataFrame(rows, SCHEMA)) == plain(rows)
+    assert made and all(pairs < n for pairs, n in made if n), made
+
+
 def test_bitmaps_turn_no_similar_pair_away():
     rnd = random.Random(1)
     for _ in range(300):
