@@ -10,11 +10,13 @@ their whole sets is at least `num / den`; a component is what links reach.
    holds to the child named by the class's token in that slot. A class is handed on 1 / BRANCH
    times on average, a pair of similarity s stays together in s / BRANCH children: above
    one for wanted pairs, so they survive, and below for others, which fall apart.
-3. Small nodes (`SMALL` classes) are compared exhaustively, across components only, and hand on a spanning
-   forest of their candidates: a dense group of g classes costs less than g of them. A node part of whose
-   forest the whole sets refute may hide other links; it is compared again and hands on all.
-4. In large nodes all classes are compared with the smallest class of their size band (a star), which joins a
-   dense group in as many comparisons as it has members. Those that still hold several components branch again.
+3. Small nodes (`SMALL` classes) are one place, others are cut in places of two adjoining size bands: sizes that
+   allow a link lie in one place. Small places are compared exhaustively, across components only, and hand on
+   a spanning forest of their candidates: a dense group of g classes costs less than g of them. A place
+   part of whose forest the whole sets refute may hide other links; it is compared again and hands on all.
+4. In large places all classes are compared with the smallest class of their size band in the node (a star),
+   which joins a dense group in as many comparisons as it has members. The classes of those that still hold
+   several components branch again.
 5. Where branching no longer thins large nodes out (texts that are alike, but not enough), or after
    `DEPTH` levels, they are cut in blocks and compared pair of blocks by pair of blocks, so no node is dropped.
 
@@ -338,6 +340,16 @@ def _banded(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)))
 
 
+def _placed(node: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (key, place, node, n, m) of rows (key, node, n, c): m rows are in the place."""
+    whole = node.filter(F.col("c") <= SMALL).select("key", F.lit(-2).cast("long").alias("place"), "node", "n", F.col("c").alias("m"))
+    wide = _banded(node.filter(F.col("c") > SMALL), num, den)
+    both = [wide.select("key", place.alias("place"), "node", "n") for place in (F.col("band"), F.col("band") - 1)]
+    cut = both[0].unionByName(both[1])
+    several = cut.groupBy("key", "place").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    return whole.unionByName(materialize(cut.join(several, ["key", "place"]), "path-places"))
+
+
 # --- the join ----------------------------------------------------------------------
 
 
@@ -401,16 +413,16 @@ def links(
     for level in range(DEPTH + 1):
         keys = materialize(_first_level(classes) if open_ is None else _next_level(open_, classes), "path-nodes")
         shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        node = materialize(keys.join(shared, "key"), "path-open")
-        exhaust(node.filter(F.col("c") <= SMALL).drop("c"), ["key"])
-        wide = node.filter(F.col("c") > SMALL).drop("c")
+        placed = _placed(materialize(keys.join(shared, "key"), "path-open"), num, den)
+        exhaust(placed.filter(F.col("m") <= SMALL).drop("m"), ["key", "place"])
+        wide = placed.filter(F.col("m") > SMALL).drop("m")
         if wide.limit(1).count() == 0:
             return label
-        banded = _banded(wide, num, den)
+        banded = _banded(wide.select("key", "node", "n").distinct(), num, den)
         lead = banded.groupBy("key", "band").agg(F.min("node").alias("b"))
         stars = banded.join(lead, ["key", "band"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
         join(_confirmed(_filtered(told_apart(stars), classes, num, den), rows, width, num, den))
-        open_ = materialize(mixed(wide, ["key"]).select("key", "node", "n"), "path-large")
+        open_ = materialize(mixed(wide, ["key", "place"]).select("key", "node", "n").distinct(), "path-large")
         large, before = open_.count(), large
         if not large:
             return label

@@ -153,6 +153,17 @@ def test_dense_groups_hand_on_fewer_pairs_than_rows(spark, monkeypatch):
     assert made and all(pairs < n for pairs, n in made if n), made
 
 
+def test_large_nodes_of_many_sizes_are_compared_without_branching(spark, monkeypatch):
+    rnd = random.Random(6)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(150):
+        t = passage + [f"t{i}w{rnd.randrange(10**6)}" for _ in range(int(68 * 1.02**i) - 58)]
+        rows += [(i, " ".join(t), "x"), (1000 + i, " ".join([*t, "tail"]), "x")]
+    monkeypatch.setattr(chosenpath, "SMALL", 48)
+    monkeypatch.setattr(chosenpath, "_next_level", lambda *a: pytest.fail("branched"))
+    assert got(spark.createDataFrame(rows, SCHEMA)) == plain(rows)
+
+
 def test_bitmaps_turn_no_similar_pair_away():
     rnd = random.Random(1)
     for _ in range(300):
