@@ -186,6 +186,8 @@ def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
 def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar on their whole sets, a written table."""
     pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "path-pairs")
+    if pairs.limit(1).count() == 0:
+        return pairs
     used = materialize(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "path-used")
     texts = rows.select("row", "text").join(small_side(used), "row", "left_semi")
 
