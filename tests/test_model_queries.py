@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from panelkit.operators import features, ml, spatial
+from panelkit.operators import clean, features, ml, spatial
 from panelkit.plans import reports
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +70,36 @@ def test_training_reads_bounded_partitions(spark, monkeypatch):
     assert errors.first().n_valid == 400 and spark.conf.get("spark.sql.files.minPartitionNum", None) == before
     scored = pack.model.transform(ml.model_input(rows, ["a"])).agg(F.count("y_pred").alias("n")).first()
     assert scored.n == 4000
+
+
+class Scorer:
+    """Stands for a fitted model: the capacity less a fixed number."""
+
+    def __init__(self, less):
+        self.less = less
+
+    def transform(self, rows):
+        return rows.withColumn("y_pred", F.col("capacity") - self.less)
+
+
+def test_bundle_holds_what_the_models_predict(spark, monkeypatch):
+    # Five stations on the six-hour grid up to 18:00 of 30 January; the last one's rows are all older than the history.
+    grid = spark.range(5 * 60).select((F.col("id") % 5).alias("s"), F.floor(F.col("id") / 5).alias("b"))
+    end = F.when(F.col("s") == 4, F.lit("2024-01-10 18:00:00")).otherwise("2024-01-30 18:00:00").cast("timestamp")
+    bin_ = F.timestamp_seconds(F.unix_timestamp(end) - F.col("b") * 6 * 3600)
+    panel = clean.enforce_schema(grid.select(
+        F.concat(F.lit("s"), "s").alias("station_id"), bin_.alias("ts_utc"), bin_.alias("tbin_utc"),
+        (F.col("b") % 10).cast("int").alias("bikes"), (20 + F.col("s")).cast("int").alias("capacity"), F.lit("OK").alias("status"),
+        (48.8 + F.col("s") * 0.01).alias("lat"), (2.3 + F.col("s") * 0.01).alias("lon")))
+    st = spatial.stations_of(panel)
+    parts = {"static": spatial.station_static(st, k=2), "knn": spatial.knn_map(st, 2), "mapping": clean.status_mapping(panel)}
+    packs = [ml.ModelPack(Scorer(less), h, f"v{h}", ("capacity",)) for h, less in ((360, 2.4), (720, 30.0))]
+    monkeypatch.setattr(reports, "model_parts", lambda s, d: {"panel": panel, "parts": parts, "packs": packs})
+    got = reports.forecast_bundle(spark, "")
+    now, rows = datetime(2024, 1, 30, 18), got.collect()
+    assert sorted((r.station_id, r.horizon_min, round(r.bikes_pred, 4), r.bikes_pred_int) for r in rows) == sorted(
+        p for i in range(4) for p in ((f"s{i}", 360, round(17.6 + i, 4), 18 + i), (f"s{i}", 720, -10.0 + i, 0)))
+    assert {(r.horizon_min, r.generated_at, r.rows, r.model_version) for r in rows} == {(360, now, 4, "v360"), (720, now, 4, "v720")}
+    assert {(r.horizon_min, r.tbin_latest, r.target_ts_utc) for r in rows} == {
+        (360, now, datetime(2024, 1, 31)), (720, now, datetime(2024, 1, 31, 6))}
+    assert {r.capacity_bin for r in rows} == {20, 21, 22, 23}
